@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import line_dedup, mixing
+from tallyspark.llm import line_dedup, minhash, mixing, packing, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pack": packing.op2_pack,
     "op5_mix": mixing.op5_mix,
     "op6_lines": line_dedup.op6_lines,
+    "op7_minhash": minhash.op7_minhash,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_topk": topk.op10_topk,
 }
 ORACLES: dict[str, str] = {
     "op5_mix": mixing.SQL,
     "op6_lines": line_dedup.SQL,
+    "op7_minhash": minhash.SQL,
+    "op10_topk": topk.SQL,
 }
