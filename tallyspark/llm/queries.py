@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import line_dedup, minhash, mixing, packing, secrets, topk
+from tallyspark.llm import licenses, line_dedup, minhash, mixing, packing, quality, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_pack": packing.op2_pack,
     "op5_mix": mixing.op5_mix,
     "op6_lines": line_dedup.op6_lines,
     "op7_minhash": minhash.op7_minhash,
+    "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
     "op10_topk": topk.op10_topk,
 }
