@@ -1,13 +1,56 @@
-"""The corpus pipeline: stages over documents, each an operator of tallyspark.llm."""
+"""The corpus pipeline: stages over documents, each an operator of tallyspark.llm.
+
+Each stage works on what its predecessor kept and returns the columns of documents, but for the last, which returns packed
+pieces. Every stage handles nulls, empty texts, repeated rows, empty tables and extra columns as its operator says.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import line_dedup, minhash, mixing, packing, quality
+from tallyspark.llm.common import stored, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, trained on the labelled ones among them, accepts."""
+    return quality.rejected_removed(docs, table(spark, sf_dir, "labels"))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many of them hold; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs)
+    changed = F.col("_n_dropped") > 0
+    out = out.withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest doc_id, of each group of near-duplicates (0.8 of five-word shingles shared)."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    mixed = mixing.mix(docs).filter(F.col("_copies") > 0)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences that hold all documents."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [("quality", quality_filter), ("lines", line_filter), ("near_duplicates", near_duplicate_filter), ("mixing", source_mix), ("packing", packed)]
+#: SQL has neither the classifier nor the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written before the next reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

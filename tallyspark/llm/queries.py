@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import licenses, line_dedup, minhash, mixing, packing, quality, secrets, topk
+from tallyspark.llm import caps, licenses, line_dedup, minhash, mixing, packing, quality, secrets, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
     "op2_pack": packing.op2_pack,
+    "op3_suffixes": suffixes.op3_suffixes,
+    "op4_caps": caps.op4_caps,
     "op5_mix": mixing.op5_mix,
     "op6_lines": line_dedup.op6_lines,
     "op7_minhash": minhash.op7_minhash,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": topk.op10_topk,
 }
 ORACLES: dict[str, str] = {
+    "op4_caps": caps.SQL,
     "op5_mix": mixing.SQL,
     "op6_lines": line_dedup.SQL,
     "op7_minhash": minhash.SQL,
