@@ -1,10 +1,410 @@
-"""The registered queries of the bank-statement jobs, and the DuckDB SQL for their rows."""
+"""The registered queries of the bank-statement jobs, and the DuckDB SQL for their rows.
+
+All of them run on the ledger that sources.events_ledger derives from the events table, whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import dims, text, values
+from tallyspark.jobs import oracles as o
+from tallyspark.operators import classify, enrich, export, insights, ledger, merge, metrics
+from tallyspark.sources import events_ledger, statements
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+ACCOUNT = ["account_id"]
+FILE = ["account_id", "file_idx"]
+MONEY = "decimal(18,2)"
+
+
+def registered(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger, classified."""
+    return classify.classify(events_ledger.ledger(spark, sf_dir))
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classified rows of both files of each account; the days that both cover twice."""
+    return events_ledger.statement_rows(tx(spark, sf_dir))
+
+
+LED = f"WITH {events_ledger.SQL}"
+FILED = f"{o.BASE}, ft AS (SELECT tx.*, 0 AS file_idx, 'part0.csv' AS file_name FROM tx WHERE date <= DATE '{events_ledger.FILE_ENDS}' UNION ALL SELECT tx.*, 1, 'part1.csv' FROM tx WHERE date >= DATE '{events_ledger.FILE_STARTS}')"
+
+
+@registered(f"{LED} SELECT * FROM led")
+def ledger_rows(spark, sf_dir):
+    return events_ledger.ledger(spark, sf_dir)
+
+
+@registered(f"{LED} SELECT account_id, seq, {o.NORMAL} AS normalized, {o.KEY} AS dedup_key FROM led")
+def description_keys(spark, sf_dir):
+    d = F.col("description")
+    return events_ledger.ledger(spark, sf_dir).select("account_id", "seq", text.normalize(d).alias("normalized"), text.dedup_key(d).alias("dedup_key"))
+
+
+@registered(f"{o.BASE} SELECT account_id, seq, kind FROM tx")
+def detect_kind(spark, sf_dir):
+    return events_ledger.ledger(spark, sf_dir).select("account_id", "seq", text.detect_kind(text.normalize(F.col("description")), F.col("direction")).alias("kind"))
+
+
+@registered(rf"{o.BASE} SELECT account_id, seq, concat('ID', nm) AS nmid, nullif(regexp_extract(n, '\b936\d{{12,16}}\b'), '') AS mpan, acquirer, hint AS name_hint, CASE WHEN nm IS NULL OR rf <> nm THEN rf END AS reference FROM tx WHERE kind = 'qris'".replace("concat('ID', nm)", "'ID' || nm"))
+def qris_meta(spark, sf_dir):
+    rows = tx(spark, sf_dir).filter(F.col("kind") == "qris")
+    return rows.select("account_id", "seq", *[F.col(f"qris.{c}") for c in ("nmid", "mpan", "acquirer", "name_hint", "reference")])
+
+
+@registered(f"{o.BASE} SELECT account_id, seq, kind, merchant, category, confidence, source, no_merchant_info FROM tx")
+def classified(spark, sf_dir):
+    return tx(spark, sf_dir).select("account_id", "seq", "kind", "merchant", "category", "confidence", "source", "no_merchant_info")
+
+
+def _headline(keys: list[str]) -> str:
+    return f"""{o.BASE} SELECT {o.comma(keys)}{o.total("direction = 'credit'")} AS income, {o.total("direction = 'debit'")} AS expense, count(*) AS n, min(date) AS period_start, max(date) AS period_end,
+{o.money("sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END)")} AS net, CAST(greatest(1, max(date) - min(date) + 1) AS INTEGER) AS days, {o.ratio(f"sum(CASE WHEN {o.SPENDING} THEN amount END)", "greatest(1, max(date) - min(date) + 1)")} AS avg_daily_expense,
+{o.ratio("sum(CASE WHEN direction = 'debit' THEN amount END)", "count(*) FILTER (direction = 'debit')")} AS avg_transaction,
+CASE WHEN coalesce(sum(CASE WHEN direction = 'credit' THEN amount END), 0) > 0 THEN {o.ratio("sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END)", "sum(CASE WHEN direction = 'credit' THEN amount END)")} ELSE 0 END AS savings_rate FROM tx{o.grouped(keys)}"""
+
+
+@registered(_headline(ACCOUNT))
+def headline_metrics(spark, sf_dir):
+    return metrics.headline_metrics(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(_headline([]))
+def headline_metrics_whole(spark, sf_dir):
+    return metrics.headline_metrics(tx(spark, sf_dir), [])
+
+
+@registered(f"""{o.BASE} SELECT account_id, count(*) FILTER (kind = 'qris') AS qris_count, {o.total("kind = 'qris'")} AS qris_total FROM tx GROUP BY account_id""")
+def qris_metrics(spark, sf_dir):
+    return metrics.qris_metrics(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"""{o.BASE} SELECT account_id, count(*) FILTER (source = 'ai') AS ai_identified, count(*) FILTER (no_merchant_info) AS no_merchant_info_count, {o.total("no_merchant_info")} AS no_merchant_info_total, {o.ratio(f"count(*) FILTER ({o.IDENTIFIED})", "count(*)")} AS identified_share FROM tx GROUP BY account_id""")
+def identification_metrics(spark, sf_dir):
+    return metrics.identification_metrics(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{LED} SELECT account_id, arg_max(balance, (date, seq)) AS ending_balance FROM led GROUP BY account_id")
+def ending_balance(spark, sf_dir):
+    return metrics.ending_balance(events_ledger.ledger(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE} {o.by_category(ACCOUNT)}")
+def by_category(spark, sf_dir):
+    return metrics.by_category(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE} {o.by_category([])}")
+def by_category_whole(spark, sf_dir):
+    return metrics.by_category(tx(spark, sf_dir), [])
+
+
+@registered(f"{o.BASE} {o.by_merchant(ACCOUNT)}")
+def by_merchant(spark, sf_dir):
+    return metrics.by_merchant(tx(spark, sf_dir), ACCOUNT)
+
+
+_MONTHS = ", ".join(o.q(m[:3]) for m in dims.MONTHS)
+
+
+@registered(f"""{LED} SELECT account_id, strftime(date, '%Y-%m') AS month, {o.total("direction = 'credit'")} AS income, {o.total("direction = 'debit'")} AS expense, {o.money("sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END)")} AS net,
+concat([{_MONTHS}][CAST(strftime(min(date), '%m') AS INTEGER)], ' ', strftime(min(date), '%y')) AS label FROM led GROUP BY account_id, strftime(date, '%Y-%m')""")
+def by_month(spark, sf_dir):
+    return metrics.by_month(events_ledger.ledger(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"""{LED} SELECT account_id, date, {o.total("direction = 'credit'")} AS income, {o.total("direction = 'debit'")} AS expense, arg_max(balance, seq) AS balance FROM led GROUP BY account_id, date""")
+def by_day(spark, sf_dir):
+    return metrics.by_day(events_ledger.ledger(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE} {o.by_weekday()}")
+def by_weekday(spark, sf_dir):
+    return metrics.by_weekday(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE}, {o.RECURRING} SELECT * FROM rec")
+def detect_recurring(spark, sf_dir):
+    return metrics.detect_recurring(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE}, {o.RECURRING} SELECT account_id, round(sum(monthly_estimate), 2) AS monthly_total, count(*) AS n, count(*) FILTER (tentative) AS n_tentative FROM rec GROUP BY account_id")
+def recurring_total(spark, sf_dir):
+    return metrics.recurring_total(metrics.detect_recurring(tx(spark, sf_dir), ACCOUNT), ACCOUNT)
+
+
+ANOMALY = ["account_id", "seq", "date", "category", "label", "amount", "ratio"]
+
+
+@registered(f"{o.BASE}, {o.anomalies([], 'ORDER BY t.amount DESC, t.account_id, t.date, t.seq', 8)}")
+def detect_anomalies(spark, sf_dir):
+    return metrics.detect_anomalies(tx(spark, sf_dir), []).select(ANOMALY)
+
+
+@registered(f"{o.BASE}, {o.anomalies(ACCOUNT, 'PARTITION BY t.account_id ORDER BY t.amount DESC, t.date, t.seq', 8)}")
+def detect_anomalies_by_account(spark, sf_dir):
+    return metrics.detect_anomalies(tx(spark, sf_dir), ACCOUNT).select(ANOMALY)
+
+
+@registered(f"{LED}, {o.RECONCILED} SELECT account_id, seq, direction, direction_confidence, corrected FROM rc")
+def reconcile_direction(spark, sf_dir):
+    rows = events_ledger.ledger(spark, sf_dir)
+    return ledger.reconcile_direction(rows, ACCOUNT, direction="raw_direction").select("account_id", "seq", "direction", "direction_confidence", "corrected")
+
+
+@registered(f"""{LED}, {o.FEES} SELECT account_id, seq, description, CAST(CASE WHEN has_fee THEN amount + fee_amount ELSE amount END AS DECIMAL(18,2)) AS amount, CAST(CASE WHEN has_fee THEN fee_amount END AS DECIMAL(18,2)) AS fee, CASE WHEN has_fee THEN later ELSE balance END AS balance FROM f1 WHERE NOT is_fee""")
+def attach_fees(spark, sf_dir):
+    return ledger.attach_fees(events_ledger.ledger(spark, sf_dir), ACCOUNT).select("account_id", "seq", "description", "amount", "fee", "balance")
+
+
+@registered(f"""{LED}, x AS (SELECT account_id, arg_min(balance - CASE WHEN direction = 'credit' THEN amount ELSE -amount END, seq) AS opening, arg_max(balance, seq) AS closing, sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END) AS moved FROM led GROUP BY account_id)
+SELECT account_id, CAST(opening AS DECIMAL(18,2)) AS opening, closing, CAST(moved AS DECIMAL(18,2)) AS moved, abs(opening + moved - closing) <= 0.01 AS balanced FROM x""")
+def balance_check(spark, sf_dir):
+    out = ledger.balance_reconciliation_check(events_ledger.ledger(spark, sf_dir), ACCOUNT)
+    return out.withColumns({c: F.col(c).cast(MONEY) for c in ("opening", "moved")})
+
+
+@registered(f"{o.BASE} SELECT account_id, seq, CAST(date - lag(date) OVER (PARTITION BY account_id, merchant ORDER BY date, seq) AS INTEGER) AS gap FROM tx WHERE merchant IS NOT NULL")
+def payment_gaps(spark, sf_dir):
+    return ledger.payment_gaps(tx(spark, sf_dir).filter(F.col("merchant").isNotNull()), ACCOUNT, ["date", "seq"]).select("account_id", "seq", "gap")
+
+
+@registered(f"{LED}, x AS (SELECT account_id, seq, amount, CAST(row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, date, seq) AS INTEGER) AS rank FROM led WHERE direction = 'debit') SELECT * FROM x WHERE rank <= 10")
+def largest_debits(spark, sf_dir):
+    return metrics.largest_debits(events_ledger.ledger(spark, sf_dir), ACCOUNT).select("account_id", "seq", "amount", "rank")
+
+
+@registered(f"""{o.BASE}, c AS ({o.by_category(ACCOUNT)}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, category) AS rk FROM c)
+SELECT account_id, CAST(least(rk, 5) AS INTEGER) AS rank, CASE WHEN rk > 4 THEN '__other' ELSE category END AS category, {o.money('sum(total)')} AS total, CAST(sum(n) AS BIGINT) AS n, round(sum(share), 6) AS share, CASE WHEN max(rk) > 4 THEN concat(count(*), ' kategori lain') ELSE any_value(label) END AS label FROM r GROUP BY account_id, least(rk, 5), CASE WHEN rk > 4 THEN '__other' ELSE category END""")
+def top_categories(spark, sf_dir):
+    return metrics.top_categories_with_other(tx(spark, sf_dir), ACCOUNT, 4)
+
+
+@registered(f"{o.BASE}, m AS ({o.by_merchant(ACCOUNT)}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total DESC, merchant) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 10")
+def top_merchants(spark, sf_dir):
+    return metrics.top_merchants(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE}, m AS ({o.by_merchant(ACCOUNT)}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY n DESC, total DESC, merchant) AS rk FROM m WHERE n >= 8 AND merchant <> {o.q(dims.UNIDENTIFIED)}) SELECT * EXCLUDE (rk) FROM r WHERE rk = 1")
+def most_frequent_merchant(spark, sf_dir):
+    return metrics.most_frequent_merchant(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{o.BASE}, d AS ({o.by_weekday()}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, place) AS rk FROM d) SELECT * EXCLUDE (rk, place) FROM r WHERE rk = 1")
+def busiest_weekday(spark, sf_dir):
+    return metrics.busiest_weekday(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{LED} SELECT account_id, seq, date, amount FROM led ORDER BY date, account_id, seq LIMIT 50 OFFSET 100")
+def page(spark, sf_dir):
+    return metrics.page(events_ledger.ledger(spark, sf_dir).select("account_id", "seq", "date", "amount"), ["date", "account_id", "seq"], 50, 100)
+
+
+@registered(f"{LED}, d AS (SELECT account_id, date, arg_max(balance, seq) AS balance FROM led GROUP BY account_id, date) SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY account_id) >= 2")
+def daily_balance_series(spark, sf_dir):
+    return metrics.daily_balance_series(events_ledger.ledger(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{LED} SELECT account_id, seq, file_idx, CAST(row_number() OVER (PARTITION BY account_id ORDER BY date, file_idx, seq) AS INTEGER) AS place FROM files")
+def chronological(spark, sf_dir):
+    rows = events_ledger.statement_rows(events_ledger.ledger(spark, sf_dir))
+    return merge.chronological(rows, ACCOUNT).select("account_id", "seq", "file_idx", "place")
+
+
+@registered(f"{LED} SELECT account_id, file_idx, file_name, concat('f', file_idx, '-', seq) AS id, amount FROM files")
+def union_statements(spark, sf_dir):
+    rows = events_ledger.ledger(spark, sf_dir).withColumn("id", F.col("seq").cast("string"))
+    parts = [rows.filter(F.col("date") <= F.lit(events_ledger.FILE_ENDS).cast("date")), rows.filter(F.col("date") >= F.lit(events_ledger.FILE_STARTS).cast("date"))]
+    return merge.union_statements(parts, ["part0.csv", "part1.csv"]).select("account_id", "file_idx", "file_name", "id", "amount")
+
+
+@registered(f"{LED} SELECT DISTINCT account_id, file_name FROM files")
+def distinct_source_files(spark, sf_dir):
+    return events_ledger.statement_rows(events_ledger.ledger(spark, sf_dir)).select("account_id", "file_name").distinct()
+
+
+@registered(f"{LED} SELECT account_id, file_idx, seq, date, amount, direction, balance FROM files QUALIFY file_idx = min(file_idx) OVER (PARTITION BY account_id, date, direction, amount, balance, upper(description))")
+def cross_file_dedup(spark, sf_dir):
+    rows = events_ledger.statement_rows(events_ledger.ledger(spark, sf_dir))
+    return merge.remove_cross_file_duplicates(rows).select("account_id", "file_idx", "seq", "date", "amount", "direction", "balance")
+
+
+_PERIODS = "p AS (SELECT account_id, file_idx, file_name, min(date) AS a, max(date) AS b FROM files GROUP BY ALL)"
+_OVERLAPS = "ov AS (SELECT x.account_id, x.file_name AS file_a, y.file_name AS file_b FROM p x JOIN p y ON x.account_id = y.account_id AND x.file_idx < y.file_idx AND x.a <= y.b AND y.a <= x.b)"
+
+
+@registered(f"{LED}, {_PERIODS}, {_OVERLAPS} SELECT * FROM ov")
+def overlapping_files(spark, sf_dir):
+    rows = events_ledger.statement_rows(events_ledger.ledger(spark, sf_dir))
+    files = rows.groupBy("account_id", "file_idx", "file_name").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+    return merge.overlapping_files(files, ACCOUNT)
+
+
+@registered(f"{FILED} SELECT account_id, file_idx, file_name, count(*) AS n_rows, count(*) FILTER {o.NEEDS} AS needs_ai, min(date) AS period_start, max(date) AS period_end FROM ft GROUP BY ALL".replace("FILTER (", "FILTER (WHERE (").replace("AS needs_ai", ") AS needs_ai").replace("0.6)) )", "0.6)))"))
+def statement_summary(spark, sf_dir):
+    return merge.statement_files(filed(spark, sf_dir), ACCOUNT)
+
+
+_KEPT = "kp AS (SELECT * FROM ft QUALIFY file_idx = min(file_idx) OVER (PARTITION BY account_id, date, direction, amount, balance, upper(description)))"
+_SUMMARY = f"sm AS (SELECT account_id, count(*) AS n_rows, min(date) AS period_start, max(date) AS period_end, sum(CASE WHEN {o.NEEDS} THEN 1 ELSE 0 END) AS needs_ai, count(*) FILTER (no_merchant_info) AS no_merchant_info FROM kp GROUP BY account_id), nb AS (SELECT account_id, count(*) AS n, count(DISTINCT file_idx) AS n_files FROM ft GROUP BY account_id)"
+
+
+@registered(f"{FILED}, {_KEPT}, {_SUMMARY} SELECT sm.account_id, n_rows, period_start, period_end, CAST(needs_ai AS BIGINT) AS needs_ai, no_merchant_info, n_files, n - n_rows AS duplicates_removed FROM sm JOIN nb ON sm.account_id = nb.account_id")
+def merge_summary(spark, sf_dir):
+    rows = filed(spark, sf_dir)
+    return merge.merge_summary(rows, merge.remove_cross_file_duplicates(rows), ACCOUNT)
+
+
+@registered(f"""{FILED}, {_KEPT}, {_SUMMARY}, {_PERIODS}, {_OVERLAPS}, {o.RECONCILED}
+SELECT account_id, 'info' AS level, 'direction_corrected' AS code, count(*) AS n FROM rc WHERE corrected GROUP BY account_id UNION ALL
+SELECT sm.account_id, 'info', 'duplicates_removed', n - n_rows FROM sm JOIN nb ON sm.account_id = nb.account_id WHERE n > n_rows UNION ALL SELECT account_id, 'info', 'files_overlap', count(*) FROM ov GROUP BY account_id""")
+def statement_warnings(spark, sf_dir):
+    rows = filed(spark, sf_dir)
+    summary = merge.merge_summary(rows, merge.remove_cross_file_duplicates(rows), ACCOUNT)
+    files = rows.groupBy("account_id", "file_idx", "file_name").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+    corrected = ledger.reconcile_direction(events_ledger.ledger(spark, sf_dir), ACCOUNT, direction="raw_direction")
+    return merge.statement_warnings(summary, merge.overlapping_files(files, ACCOUNT), corrected, ACCOUNT)
+
+
+@registered(f"{o.BASE} SELECT account_id, seq FROM tx JOIN cat ON category = id WHERE direction = 'debit' AND (confidence < 0.6 OR source = 'unknown') AND (contains(lower(description), 'prima') OR contains(lower(coalesce(merchant, '')), 'prima') OR contains(lower(label), 'prima'))")
+def filter_transactions(spark, sf_dir):
+    return classify.filter_transactions(tx(spark, sf_dir), direction="debit", only_unclear=True, query=" Prima ").select("account_id", "seq")
+
+
+@registered(f"{o.BASE} SELECT account_id, seq FROM tx WHERE {o.NEEDS}")
+def needs_enrichment(spark, sf_dir):
+    return tx(spark, sf_dir).filter(classify.needs_enrichment()).select("account_id", "seq")
+
+
+@registered(f"{o.BASE} SELECT account_id, category, label, category_group, emoji, count(*) AS n FROM tx JOIN cat ON category = id GROUP BY ALL")
+def with_category(spark, sf_dir):
+    return classify.with_category(tx(spark, sf_dir)).groupBy("account_id", "category", "label", "category_group", "emoji").agg(F.count("*").alias("n"))
+
+
+# Corrections by hand that the two queries below apply, by template of the ledger.
+_FIXED_KEYS = {"QRIS # ID# ZZQX PRIMA": "rumah_tangga", "QRIS # ID# WRG MKN BU SRI": "makan_minum"}
+
+
+@registered(f"""{o.BASE}, ky AS (SELECT tx.*, {o.KEY} AS k FROM tx), fx AS (SELECT *, CASE k {' '.join(f'WHEN {o.q(k)} THEN {o.q(c)}' for k, c in _FIXED_KEYS.items())} END AS f FROM ky)
+SELECT account_id, seq, CASE WHEN f <> category THEN f ELSE category END AS category, CASE WHEN f <> category THEN 'manual' ELSE source END AS source, CASE WHEN f <> category THEN 1.0 ELSE confidence END AS confidence FROM fx""")
+def apply_overrides(spark, sf_dir):
+    rows = tx(spark, sf_dir)
+    fixed = F.array(*[F.struct(F.lit(k).alias("dedup_key"), F.lit(c).alias("category")) for k, c in _FIXED_KEYS.items()])
+    overrides = rows.select("account_id").distinct().select("account_id", F.inline(fixed))
+    return enrich.apply_overrides(rows, overrides, ACCOUNT).select("account_id", "seq", "category", "source", "confidence")
+
+
+@registered(f"""{o.BASE}, ky AS (SELECT tx.*, {o.KEY} AS k FROM tx), lt AS (SELECT account_id, k, arg_max(CASE WHEN seq % 3 = 0 THEN 'donasi_zakat' ELSE 'hiburan' END, seq) AS f FROM ky WHERE seq % 70 = 10 AND kind = 'qris' GROUP BY account_id, k)
+SELECT ky.account_id, seq, coalesce(f, category) AS category, CASE WHEN f IS NOT NULL THEN 'manual' ELSE source END AS source FROM ky LEFT JOIN lt ON ky.account_id = lt.account_id AND ky.k = lt.k""")
+def set_override(spark, sf_dir):
+    rows = tx(spark, sf_dir)
+    chosen = rows.filter((F.col("seq") % 70 == 10) & (F.col("kind") == "qris")).select("account_id", "seq", F.when(F.col("seq") % 3 == 0, "donasi_zakat").otherwise("hiburan").alias("category"), F.col("seq").alias("updated_at"))
+    return enrich.set_override(rows, chosen, ACCOUNT).select("account_id", "seq", "category", "source")
+
+
+_REPS = f"rp AS (SELECT account_id, {o.DEDUP.format('upper(substr(description, 1, 300))')} AS dedup_key, min(seq) AS first_seq, arg_min(tx.seq, (date, seq)) AS seq FROM tx WHERE {o.NEEDS} GROUP BY ALL)"
+
+
+@registered(f"{o.BASE}, {_REPS} SELECT account_id, dedup_key, seq FROM rp")
+def enrichment_representatives(spark, sf_dir):
+    return enrich.representatives(tx(spark, sf_dir), ACCOUNT, ["date", "seq"]).select("account_id", "dedup_key", "seq")
+
+
+@registered(f"{o.BASE}, {_REPS}, b AS (SELECT account_id, CAST((row_number() OVER (PARTITION BY account_id ORDER BY seq) - 1) // 30 AS INTEGER) AS batch FROM rp) SELECT account_id, batch, count(*) AS n FROM b GROUP BY ALL")
+def enrichment_batches(spark, sf_dir):
+    reps = enrich.representatives(tx(spark, sf_dir), ACCOUNT, ["date", "seq"])
+    return enrich.batches(reps, ACCOUNT).filter(F.get_json_object("payload", "$[0].keterangan").isNotNull()).select("account_id", "batch", "n")
+
+
+_GUESS = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(upper(description), {o.q(k)})' for k in keys)} THEN {{{i}}}" for i, (keys, _, _) in enumerate(enrich.GUESSES)) + " ELSE {3} END"
+_GUESSED = [_GUESS.format(*[o.q(g[at]) for g in enrich.GUESSES], o.q(enrich.NO_GUESS[at - 1])) for at in (1, 2)]
+
+
+@registered(f"{o.BASE} SELECT account_id, seq, CASE WHEN {o.NEEDS} THEN {_GUESSED[0]} ELSE merchant END AS merchant, CASE WHEN {o.NEEDS} THEN {_GUESSED[1]} ELSE category END AS category, CASE WHEN {o.NEEDS} THEN 'ai' ELSE source END AS source, CASE WHEN {o.NEEDS} THEN 0.7 ELSE confidence END AS confidence FROM tx")
+def enriched(spark, sf_dir):
+    return enrich.enrich(tx(spark, sf_dir), ACCOUNT, enrich.guess, ["date", "seq"]).select("account_id", "seq", "merchant", "category", "source", "confidence")
+
+
+@registered()
+def findings(spark, sf_dir):
+    return insights.build_insights(tx(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"""{o.BASE} SELECT CAST(date AS VARCHAR) AS tanggal, description AS keterangan, coalesce(merchant, '') AS merchant, label AS kategori, CASE WHEN direction = 'debit' THEN 'keluar' ELSE 'masuk' END AS arah, CAST(CAST(round(amount) AS DECIMAL(18,0)) AS VARCHAR) AS nominal,
+CAST(CAST(round(balance) AS DECIMAL(18,0)) AS VARCHAR) AS saldo, CASE source {' '.join(f'WHEN {o.q(k)} THEN {o.q(v)}' for k, v in dims.SOURCE_LABELS.items())} END AS sumber, printf('%.2f', confidence) AS keyakinan, '' AS file FROM tx JOIN cat ON category = id""")
+def export_rows(spark, sf_dir):
+    return export.export_columns(tx(spark, sf_dir).withColumn("file_name", F.lit("")))
+
+
+def _written(amount: str) -> str:
+    """An amount as Indonesian statements write it, by Spark SQL."""
+    return f"translate(format_number({amount}, 2), ',.', '.,')"
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's files as delimited text, with a preamble and headings: account_id, file_idx, line_no, text."""
+    rows = events_ledger.statement_rows(events_ledger.ledger(spark, sf_dir))
+    body = F.concat_ws(";", F.date_format("date", "dd/MM/yyyy"), "description", F.when(F.col("direction") == "debit", F.expr(_written("amount"))).otherwise(""), F.when(F.col("direction") == "credit", F.expr(_written("amount"))).otherwise(""), F.expr(_written("balance")))
+    head = F.array(*[F.struct(F.lit(i).cast("long").alias("line_no"), F.lit(t).alias("text")) for i, t in enumerate(("Rekening Koran Bank Mandiri", "Periode : 01/01/2024 s/d 31/12/2024", "", "Tanggal;Keterangan;Debit;Kredit;Saldo"))])
+    return rows.select(*FILE, F.inline(F.array(F.struct((F.col("seq") + 10).alias("line_no"), body.alias("text"))))).union(rows.select(*FILE).distinct().select(*FILE, F.inline(head)))
+
+
+@registered(f"{LED} SELECT account_id, file_idx, seq + 10 AS seq, date, description, amount, direction, balance FROM files")
+def ingest_csv(spark, sf_dir):
+    return statements.csv_records(csv_lines(spark, sf_dir), FILE).filter(~F.col("skipped")).select(*FILE, "seq", "date", "description", "amount", "direction", "balance")
+
+
+@registered(f"{LED} SELECT DISTINCT account_id, file_idx, ';' AS delimiter, 'mandiri' AS bank, CAST(1.0 AS DOUBLE) AS bank_confidence, '2024-01-01' AS period_start, '2024-12-31' AS period_end FROM files")
+def ingest_files(spark, sf_dir):
+    lines = csv_lines(spark, sf_dir)
+    found = statements.statement_files(lines, FILE).join(statements.detect_delimiter(lines, FILE), FILE)
+    return found.select(*FILE, "delimiter", "bank", "bank_confidence", "period_start", "period_end")
+
+
+@registered(f"{LED} SELECT account_id, file_idx, seq + 10 AS seq, date, amount, direction, balance FROM files")
+def ingest_lines(spark, sf_dir):
+    rows = events_ledger.statement_rows(events_ledger.ledger(spark, sf_dir))
+    cell = lambda s, x: F.struct(s.cast("string").alias("str"), F.lit(float(x)).alias("x"))
+    date, amount, balance = F.date_format("date", "dd/MM/yyyy"), F.expr(_written("amount")), F.expr(_written("balance"))
+    said = F.regexp_replace("description", r"\b(DB|CR|D|K)\b", "")
+    cells = F.array(cell(date, 50), cell(said, 108), cell(amount, 330), cell(balance, 486))
+    cells = F.when(F.col("direction") == "credit", F.array(cell(date, 50), cell(said, 108), cell(amount, 408), cell(balance, 486))).otherwise(cells)
+    lines = rows.select(*FILE, (F.col("seq") + 10).alias("line_no"), F.concat_ws(" ", date, said, amount, balance).alias("text"), cells.alias("cells"))
+    head = F.struct(F.lit(0).cast("long").alias("line_no"), F.lit("Tanggal Uraian Debet Kredit Saldo").alias("text"), F.array(cell(F.lit("Tanggal"), 50), cell(F.lit("Uraian"), 108), cell(F.lit("Debet"), 330), cell(F.lit("Kredit"), 408), cell(F.lit("Saldo"), 486)).alias("cells"))
+    lines = lines.union(rows.select(*FILE).distinct().select(*FILE, F.inline(F.array(head))))
+    return statements.parse_statement_lines(lines, FILE).select(*FILE, "seq", "date", "amount", "direction", "balance")
+
+
+@registered(f"{LED} SELECT account_id, seq, amount AS indonesian, amount AS english, CAST(-amount AS DECIMAL(18,2)) AS negative, date, CAST(date AS VARCHAR) AS leading FROM led")
+def values_read_back(spark, sf_dir):
+    """Amounts and dates, written in several ways and read again."""
+    rows = events_ledger.ledger(spark, sf_dir)
+    read = lambda s: values.parse_amount(s)
+    month = F.get(F.array(*[F.lit(m) for m in dims.MONTHS]), F.month("date") - 1)
+    return rows.select(
+        "account_id", "seq", read(F.concat(F.lit("Rp "), F.expr(_written("amount")))).alias("indonesian"), read(F.format_number("amount", 2)).alias("english"), read(F.concat(F.lit("("), F.expr(_written("amount")), F.lit(")"))).alias("negative"),
+        values.find_date(F.concat_ws(" ", F.lit("tgl"), F.dayofmonth("date").cast("string"), month, F.year("date").cast("string"))).getField("iso").cast("date").alias("date"),
+        values.find_leading_date(F.concat(F.date_format("date", "dd-MM-yy"), F.lit(" TRSF"))).getField("iso").alias("leading"),
+    )
+
+
+@registered(f"""{LED} SELECT account_id, seq, concat('Rp ', replace(format('{{:,}}', CAST(round(amount) AS BIGINT)), ',', '.')) AS rupiah, concat(CAST(day(date) AS INTEGER), ' ', [{_MONTHS}][CAST(month(date) AS INTEGER)], ' ', year(date)) AS tanggal FROM led""")
+def values_written(spark, sf_dir):
+    """Amounts and dates in words of reports."""
+    return events_ledger.ledger(spark, sf_dir).select("account_id", "seq", values.rupiah(F.col("amount")).alias("rupiah"), values.tanggal(F.col("date")).alias("tanggal"))
