@@ -38,10 +38,9 @@ def qris_meta(n: Column) -> Column:
     terminal = F.coalesce(or_null(F.regexp_extract(n, r"\b(?:TID|TERMINAL)\s?:?\s?([A-Z0-9]{6,})\b", 1)), or_null(F.regexp_extract(n, r"\b(A0\d{6,})\b", 1)))
     number = or_null(F.regexp_extract(n, r"\b(\d{12,})\b", 1))
     acquirer = F.get(F.filter(literals(dims.ACQUIRERS), lambda a: F.contains(n, a)), 0)
-    noise = literals(dims.NOISE_WORDS)
 
     def telling(w: Column) -> Column:
-        return (F.length(w) >= 2) & ~F.array_contains(noise, w) & ~w.eqNullSafe(acquirer) & ~w.rlike(r"^\d+$") & ~(w.rlike(r"\d") & (F.length(w) > 5))
+        return (F.length(w) >= 2) & ~w.isin(dims.NOISE_WORDS) & ~w.eqNullSafe(acquirer) & ~w.rlike(r"^\d+$") & ~(w.rlike(r"\d") & (F.length(w) > 5))
 
     hint = or_null(F.array_join(F.filter(F.split(n, " "), telling), " "))
     return F.struct(
@@ -81,20 +80,19 @@ def has_name_like_token(hint: Column) -> Column:
 
 def title_case(s: Column) -> Column:
     """Each word capitalised; acronyms and words of one or two letters in upper case."""
-    word = lambda w: F.when(F.array_contains(literals(dims.ACRONYMS), F.upper(w)) | (F.length(w) <= 2), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+    word = lambda w: F.when(F.upper(w).isin(dims.ACRONYMS) | (F.length(w) <= 2), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
     return F.array_join(F.transform(F.filter(F.split(s, r"\s+"), lambda w: w != ""), word), " ")
 
 
 def fee_label(n: Column, fallback: Column) -> Column:
     """A name for a fee from its own normalised text: its first four words that tell something."""
-    words = F.filter(F.split(n, " "), lambda w: w.rlike("^[A-Z]{2,}$") & ~F.array_contains(literals(dims.FEE_NOISE), w))
+    words = F.filter(F.split(n, " "), lambda w: w.rlike("^[A-Z]{2,}$") & ~w.isin(dims.FEE_NOISE))
     return F.when(F.size(words) == 0, fallback).otherwise(title_case(F.array_join(F.slice(words, 1, 4), " ")))
 
 
 def extract_counterparty(n: Column) -> Column:
     """The other party of a transfer: the longest run of plain words that are no stop words, the last one of equals."""
-    stop = literals(dims.STOP_WORDS)
-    marked = F.transform(F.split(n, " "), lambda w: F.when(w.rlike("^[A-Z]{2,}$") & ~F.array_contains(stop, w), w).otherwise(F.lit("|")))
+    marked = F.transform(F.split(n, " "), lambda w: F.when(w.rlike("^[A-Z]{2,}$") & ~w.isin(dims.STOP_WORDS), w).otherwise(F.lit("|")))
     runs = F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r)), lambda r: r != "")
     ranked = F.transform(runs, lambda r, i: F.struct(F.size(F.split(r, " ")).alias("words"), i.alias("at"), r.alias("name")))
     name = F.array_max(ranked)["name"]

@@ -75,7 +75,7 @@ def find_date(text: Column) -> Column:
         (short, F.when(month(short).isNotNull() & group(short, 1).isNotNull(), yearless(month(short), group(short, 1)))),
         (bare, F.when(group(bare, 1).between(1, 31) & group(bare, 2).between(1, 12), yearless(group(bare, 2), group(bare, 1)))),
     ]
-    return F.coalesce(*[F.when(iso.isNotNull(), F.struct(iso.alias("iso"), F.regexp_extract(text, p, 0).alias("raw"), (F.regexp_instr(text, F.lit(p)) - 1).alias("index"))) for p, iso in found])
+    return F.coalesce(*[F.when(iso.isNotNull(), F.struct(iso.alias("iso"), F.regexp_extract(text, p, 0).alias("raw"), F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{p})", 1)).alias("index"))) for p, iso in found])
 
 
 def find_leading_date(text: Column) -> Column:
