@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,36 +13,46 @@ MONEY = "decimal(18,2)"
 AMOUNT = r"-?\(?(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)\)?-?"
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once however often it is used: a column that is repeated in an expression is repeated in the plan."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def parse_amount(raw: Column) -> Column:
     """A written amount as decimal, or null: Indonesian or English separators, minus before or after, or parentheses."""
-    s = F.trim(raw)
-    bracketed = s.rlike(r"^\(.*\)$")
-    s1 = F.when(bracketed, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    front = F.startswith(s1, F.lit("-"))
-    s2 = F.when(front, F.substr(s1, F.lit(2))).otherwise(s1)
-    back = F.endswith(s2, F.lit("-"))
-    s3 = F.when(back, F.substr(s2, F.lit(1), F.length(s2) - 1)).otherwise(s2)
-    s4 = F.regexp_replace(F.regexp_replace(s3, r"(?i)^(?:Rp|IDR)\.?\s*", ""), r"\s+", "")
-    fine = s4.rlike(r"^[\d.,]*\d[\d.,]*$")
-    dots, commas = F.regexp_count(s4, F.lit(r"\.")), F.regexp_count(s4, F.lit(","))
-    last = F.regexp_extract(s4, r"([.,])[^.,]*$", 1)
-    behind = F.length(F.regexp_extract(s4, r"[.,]([^.,]*)$", 1))
-    mixed, single = (dots > 0) & (commas > 0), dots + commas == 1
-    decimal = mixed | (single & (behind != 3))
-    whole = F.regexp_replace(F.when(decimal, F.regexp_extract(s4, r"^(.*)[.,][^.,]*$", 1)).otherwise(s4), "[.,]", "")
-    part = F.when(decimal, F.regexp_extract(s4, r"[.,]([^.,]*)$", 1)).otherwise("")
-    value = F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), F.when(part == "", "0").otherwise(part)).try_cast(MONEY)
-    return F.when(fine & (last.isNotNull()), F.when(bracketed | front | back, -value).otherwise(value))
+
+    def number(s: Column) -> Column:
+        last = r"^(.*)[.,]([^.,]*)$"
+        parts = F.struct(
+            F.regexp_count(s, F.lit(r"\.")).alias("dots"), F.regexp_count(s, F.lit(",")).alias("commas"), F.regexp_extract(s, last, 1).alias("front"), F.regexp_extract(s, last, 2).alias("back"), s.alias("all")
+        )
+
+        def value(p: Column) -> Column:
+            decimal = ((p["dots"] > 0) & (p["commas"] > 0)) | ((p["dots"] + p["commas"] == 1) & (F.length(p["back"]) != 3))
+            whole = F.regexp_replace(F.when(decimal, p["front"]).otherwise(p["all"]), "[.,]", "")
+            return F.concat(F.lit("0"), whole, F.lit("."), F.when(decimal, p["back"]).otherwise(""), F.lit("0")).try_cast(MONEY)
+
+        return F.when(s.rlike(r"^[\d.,]*\d[\d.,]*$"), let(parts, value))
+
+    def signed(s: Column) -> Column:
+        inner = F.when(s.rlike(r"^\(.*\)$"), F.regexp_replace(s, r"^\((.*)\)$", "$1")).otherwise(s)
+        plain = let(inner, lambda i: F.regexp_replace(F.regexp_replace(i, "^-", ""), "-$", ""))
+        body = F.regexp_replace(F.regexp_replace(plain, r"(?i)^(?:Rp|IDR)\.?\s*", ""), r"\s+", "")
+        negative = s.rlike(r"^\(.*\)$|^-|.-$")
+        return let(let(body, number), lambda v: F.when(negative, -v).otherwise(v))
+
+    return let(F.trim(raw), signed)
 
 
 def looks_like_amount(raw: Column) -> Column:
     """Whether a piece of text can be an amount: not a long reference number, not a year, not beyond 1e12."""
-    s = F.regexp_replace(F.trim(raw), r"(?i)^(?:Rp|IDR)\.?\s*", "")
-    digits = F.length(F.regexp_replace(s, r"\D", ""))
-    value = parse_amount(s)
-    plain = ~s.rlike("[.,]")
-    ok = s.rlike(r"^-?\(?[\d.,]+\)?-?$") & (digits > 0) & value.isNotNull() & ~(plain & (digits > 9)) & ~(plain & (digits == 4) & value.between(1990, 2100)) & (F.abs(value) <= F.lit(10**12))
-    return F.coalesce(ok, F.lit(False))
+
+    def fits(s: Column) -> Column:
+        digits, plain = F.length(F.regexp_replace(s, r"\D", "")), ~s.rlike("[.,]")
+        ok = let(parse_amount(s), lambda v: v.isNotNull() & (F.abs(v) <= F.lit(10**12)) & ~(plain & (digits == 4) & v.between(1990, 2100)))
+        return F.when(s.rlike(r"^-?\(?[\d.,]+\)?-?$") & ~(plain & (digits > 9)), ok)
+
+    return F.coalesce(let(F.regexp_replace(F.trim(raw), r"(?i)^(?:Rp|IDR)\.?\s*", ""), fits), F.lit(False))
 
 
 def month_number(name: Column) -> Column:
@@ -53,35 +65,53 @@ def month_number(name: Column) -> Column:
 
 def iso_date(year: Column, month: Column, day: Column) -> Column:
     """yyyy-mm-dd of a date that exists between 1990 and 2100, or null; two-digit years above 70 are of the last century."""
-    y = F.when(year < 100, year + F.when(year > 70, 1900).otherwise(2000)).otherwise(year)
-    text = F.format_string("%04d-%02d-%02d", y, month, day)
-    return F.when(y.between(1990, 2100) & month.between(1, 12) & day.between(1, 31) & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull(), text)
+
+    def dated(d: Column) -> Column:
+        y = F.when(d["y"] < 100, d["y"] + F.when(d["y"] > 70, 1900).otherwise(2000)).otherwise(d["y"])
+        real = lambda t: F.when(F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).isNotNull() & F.substring(t, 1, 4).between("1990", "2100"), t)
+        return F.when((d["y"] < 10_000) & d["m"].between(1, 12) & d["d"].between(1, 31), let(F.format_string("%04d-%02d-%02d", y, d["m"], d["d"]), real))
+
+    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), dated)
 
 
 def find_date(text: Column) -> Column:
     """The first date in a text: struct(iso, raw, index), or null. A date without year has '????' for it; index counts from 0."""
-    group = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
+    number = lambda t, p, i: F.regexp_extract(t, p, i).try_cast("int")
+    month = lambda t, p: month_number(F.regexp_extract(t, p, 2))
+    yearless = lambda m, d: F.when(m.isNotNull() & d.isNotNull(), F.format_string("????-%02d-%02d", m, d))
     ymd = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
     dmy = r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})\b"
     named = r"\b(\d{1,2})[\s-]([A-Za-z]{3,9})[\s-](\d{2,4})\b"
     short = r"\b(\d{1,2})[\s-]([A-Za-z]{3})\b"
     bare = r"^\s*(\d{1,2})/(\d{1,2})(?!\d|[/.])"
-    month = lambda p: month_number(F.regexp_extract(text, p, 2))
-    yearless = lambda m, d: F.format_string("????-%02d-%02d", m, d)
-    found = [
-        (ymd, iso_date(group(ymd, 1), group(ymd, 2), group(ymd, 3))),
-        (dmy, iso_date(group(dmy, 3), group(dmy, 2), group(dmy, 1))),
-        (named, F.when(month(named).isNotNull(), iso_date(group(named, 3), month(named), group(named, 1)))),
-        (short, F.when(month(short).isNotNull() & group(short, 1).isNotNull(), yearless(month(short), group(short, 1)))),
-        (bare, F.when(group(bare, 1).between(1, 31) & group(bare, 2).between(1, 12), yearless(group(bare, 2), group(bare, 1)))),
+    rules = [
+        (ymd, lambda t: iso_date(number(t, ymd, 1), number(t, ymd, 2), number(t, ymd, 3))),
+        (dmy, lambda t: iso_date(number(t, dmy, 3), number(t, dmy, 2), number(t, dmy, 1))),
+        (named, lambda t: iso_date(number(t, named, 3), month(t, named), number(t, named, 1))),
+        (short, lambda t: yearless(month(t, short), number(t, short, 1))),
+        (bare, lambda t: F.when(number(t, bare, 1).between(1, 31) & number(t, bare, 2).between(1, 12), yearless(number(t, bare, 2), number(t, bare, 1)))),
     ]
-    return F.coalesce(*[F.when(iso.isNotNull(), F.struct(iso.alias("iso"), F.regexp_extract(text, p, 0).alias("raw"), F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{p})", 1)).alias("index"))) for p, iso in found])
+
+    def first(t: Column) -> Column:
+        # which rule gives a date, then where it is
+        dated = F.array(*[F.when(t.rlike(p), iso(t)) for p, iso in rules])
+        at = F.lit(None).cast("struct<iso:string,raw:string,index:int>")
+
+        def placed(d: Column) -> Column:
+            out = at
+            for i, (p, _) in reversed([*enumerate(rules)]):
+                here = F.struct(F.get(d, i).alias("iso"), F.regexp_extract(t, p, 0).alias("raw"), F.length(F.regexp_extract(t, f"(?s)^(.*?)(?:{p.lstrip('^')})", 1)).alias("index"))
+                out = F.when(F.get(d, i).isNotNull(), here).otherwise(out)
+            return out
+
+        return let(dated, placed)
+
+    return let(text, first)
 
 
 def find_leading_date(text: Column) -> Column:
     """find_date in the first 24 characters, no later than at index 4."""
-    found = find_date(F.substring(text, 1, 24))
-    return F.when(found["index"] <= 4, found)
+    return let(find_date(F.substring(text, 1, 24)), lambda found: F.when(found["index"] <= 4, found))
 
 
 def resolve_year(iso: Column, start: Column, end: Column, default_year: Column) -> Column:

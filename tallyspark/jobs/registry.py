@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import dims, text, values
 from tallyspark.jobs import oracles as o
 from tallyspark.operators import classify, enrich, export, insights, ledger, merge, metrics
-from tallyspark.sources import events_ledger, statements
+from tallyspark.sources import events_ledger, shared, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,11 +32,16 @@ def registered(sql: str | None = None):
     return add
 
 
-def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def passed_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger, classified."""
     return classify.classify(events_ledger.ledger(spark, sf_dir))
 
 
+def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger, classified and written: what reads it more than once, or joins on what it holds, finds plain columns."""
+    return shared.written(passed_on(spark, sf_dir), "transactions")
+
+
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classified rows of both files of each account; the days that both cover twice."""
     return events_ledger.statement_rows(tx(spark, sf_dir))
@@ -64,13 +69,13 @@ def detect_kind(spark, sf_dir):
 
 @registered(rf"{o.BASE} SELECT account_id, seq, concat('ID', nm) AS nmid, nullif(regexp_extract(n, '\b936\d{{12,16}}\b'), '') AS mpan, acquirer, hint AS name_hint, CASE WHEN nm IS NULL OR rf <> nm THEN rf END AS reference FROM tx WHERE kind = 'qris'".replace("concat('ID', nm)", "'ID' || nm"))
 def qris_meta(spark, sf_dir):
-    rows = tx(spark, sf_dir).filter(F.col("kind") == "qris")
+    rows = passed_on(spark, sf_dir).filter(F.col("kind") == "qris")
     return rows.select("account_id", "seq", *[F.col(f"qris.{c}") for c in ("nmid", "mpan", "acquirer", "name_hint", "reference")])
 
 
 @registered(f"{o.BASE} SELECT account_id, seq, kind, merchant, category, confidence, source, no_merchant_info FROM tx")
 def classified(spark, sf_dir):
-    return tx(spark, sf_dir).select("account_id", "seq", "kind", "merchant", "category", "confidence", "source", "no_merchant_info")
+    return passed_on(spark, sf_dir).select("account_id", "seq", "kind", "merchant", "category", "confidence", "source", "no_merchant_info")
 
 
 def _headline(keys: list[str]) -> str:
@@ -82,22 +87,22 @@ CASE WHEN coalesce(sum(CASE WHEN direction = 'credit' THEN amount END), 0) > 0 T
 
 @registered(_headline(ACCOUNT))
 def headline_metrics(spark, sf_dir):
-    return metrics.headline_metrics(tx(spark, sf_dir), ACCOUNT)
+    return metrics.headline_metrics(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(_headline([]))
 def headline_metrics_whole(spark, sf_dir):
-    return metrics.headline_metrics(tx(spark, sf_dir), [])
+    return metrics.headline_metrics(passed_on(spark, sf_dir), [])
 
 
 @registered(f"""{o.BASE} SELECT account_id, count(*) FILTER (kind = 'qris') AS qris_count, {o.total("kind = 'qris'")} AS qris_total FROM tx GROUP BY account_id""")
 def qris_metrics(spark, sf_dir):
-    return metrics.qris_metrics(tx(spark, sf_dir), ACCOUNT)
+    return metrics.qris_metrics(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"""{o.BASE} SELECT account_id, count(*) FILTER (source = 'ai') AS ai_identified, count(*) FILTER (no_merchant_info) AS no_merchant_info_count, {o.total("no_merchant_info")} AS no_merchant_info_total, {o.ratio(f"count(*) FILTER ({o.IDENTIFIED})", "count(*)")} AS identified_share FROM tx GROUP BY account_id""")
 def identification_metrics(spark, sf_dir):
-    return metrics.identification_metrics(tx(spark, sf_dir), ACCOUNT)
+    return metrics.identification_metrics(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{LED} SELECT account_id, arg_max(balance, (date, seq)) AS ending_balance FROM led GROUP BY account_id")
@@ -289,7 +294,7 @@ def filter_transactions(spark, sf_dir):
 
 @registered(f"{o.BASE} SELECT account_id, seq FROM tx WHERE {o.NEEDS}")
 def needs_enrichment(spark, sf_dir):
-    return tx(spark, sf_dir).filter(classify.needs_enrichment()).select("account_id", "seq")
+    return passed_on(spark, sf_dir).filter(classify.needs_enrichment()).select("account_id", "seq")
 
 
 @registered(f"{o.BASE} SELECT account_id, category, label, category_group, emoji, count(*) AS n FROM tx JOIN cat ON category = id GROUP BY ALL")
