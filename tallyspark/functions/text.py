@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dims
+from tallyspark.functions.values import let
 
 
 def literals(values: list[str]) -> Column:
@@ -137,15 +138,17 @@ def detect_bank(text: Column) -> Column:
 
 def match_field(header: Column) -> Column:
     """The field that a column heading names: by the whole name, else by a whole word, else by a long name within it."""
-    h = F.trim(F.regexp_replace(F.regexp_replace(F.lower(header), "[^a-z0-9/ ]", " "), r"\s+", " "))
-    tokens = F.split(h, " ")
-    ranked = []
-    for at, (field, names) in enumerate(dims.FIELD_NAMES):
-        long = [n for n in names if len(n) >= 5]
-        inside = F.lit(False)
-        for n in long:
-            inside = inside | F.contains(h, F.lit(n))
-        score = F.when(h.isin(names), 3).when(F.arrays_overlap(tokens, literals(names)), 2).when(inside, 1).otherwise(0)
-        ranked.append(F.struct(score.alias("score"), F.lit(-at).alias("order"), F.lit(field).alias("field")))
-    best = F.array_max(F.array(*ranked))
-    return F.when((h != "") & ~F.arrays_overlap(tokens, literals(dims.REJECTED_TOKENS)) & (best["score"] > 0), best["field"])
+
+    def best(h: Column) -> Column:
+        def of(tokens: Column) -> Column:
+            ranked = []
+            for at, (field, names) in enumerate(dims.FIELD_NAMES):
+                inside = F.exists(literals([n for n in names if len(n) >= 5]), lambda n: F.contains(h, n))
+                score = F.when(h.isin(names), 3).when(F.arrays_overlap(tokens, literals(names)), 2).when(inside, 1).otherwise(0)
+                ranked.append(F.struct(score.alias("score"), F.lit(-at).alias("order"), F.lit(field).alias("field")))
+            found = let(F.array_max(F.array(*ranked)), lambda b: F.when(b["score"] > 0, b["field"]))
+            return F.when((h != "") & ~F.arrays_overlap(tokens, literals(dims.REJECTED_TOKENS)), found)
+
+        return let(F.split(h, " "), of)
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(F.lower(header), "[^a-z0-9/ ]", " "), r"\s+", " ")), best)

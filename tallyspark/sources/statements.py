@@ -48,7 +48,8 @@ def cells_of(line: Column, delimiter: Column) -> Column:
     out = F.lit(None).cast("array<string>")
     for d in DELIMITERS:
         row = F.from_csv(line, schema, {"sep": d, "escape": '"', "mode": "PERMISSIVE"})
-        out = F.when(delimiter == d, F.transform(F.array(*[row[f"c{i}"] for i in range(MOST_COLUMNS)]), lambda c: F.coalesce(c, F.lit("")))).otherwise(out)
+        cells = values.let(row, lambda r: F.array(*[F.coalesce(r[f"c{i}"], F.lit("")) for i in range(MOST_COLUMNS)]))
+        out = F.when(delimiter == d, cells).otherwise(out)
     return out
 
 
@@ -116,18 +117,22 @@ def numeric_cells(line: Column, cells: Column) -> Column:
 
 def resolve_direction(line: Column, cells: Column, debit_x: Column, credit_x: Column) -> Column:
     """struct(amount, direction, confidence) of a line's amounts without the balance: by marker, sign, column, or as a guess."""
-    filled = F.filter(cells, lambda c: c["value"] != 0)
-    one, first, second = F.get(filled, 0), F.get(cells, 0), F.get(cells, 1)
-    out = lambda d, sure: F.struct(F.abs(one["value"]).alias("amount"), (d if isinstance(d, Column) else F.lit(d)).alias("direction"), F.lit(sure).alias("confidence"))
-    to_debit, to_credit = F.abs(one["x"] - debit_x), F.abs(one["x"] - credit_x)
-    columns = debit_x.isNotNull() & credit_x.isNotNull()
-    pair = columns & (F.size(cells) >= 2)
-    return (
-        F.when(line.rlike(dims.MARKERS["credit"]), out("credit", 0.95)).when(line.rlike(dims.MARKERS["debit"]), out("debit", 0.95)).when(one["value"] < 0, out("debit", 0.9))
-        .when(columns & (F.size(filled) == 1) & (F.abs(to_debit - to_credit) > NEARER), out(F.when(to_debit < to_credit, "debit").otherwise("credit"), 0.85))
-        .when(pair & (first["value"] != 0) & (second["value"] == 0), out("debit", 0.8)).when(pair & (first["value"] == 0) & (second["value"] != 0), out("credit", 0.8))
-        .otherwise(out("debit", 0.3))
-    )
+
+    def of(filled: Column) -> Column:
+        one, first, second = F.get(filled, 0), F.get(cells, 0), F.get(cells, 1)
+        to_debit, to_credit = F.abs(one["x"] - debit_x), F.abs(one["x"] - credit_x)
+        columns = debit_x.isNotNull() & credit_x.isNotNull()
+        pair = columns & (F.size(cells) >= 2)
+        placed = columns & (F.size(filled) == 1) & (F.abs(to_debit - to_credit) > NEARER)
+        said = (
+            F.when(line.rlike(dims.MARKERS["credit"]), "credit 0.95").when(line.rlike(dims.MARKERS["debit"]), "debit 0.95").when(one["value"] < 0, "debit 0.9")
+            .when(placed, F.when(to_debit < to_credit, "debit 0.85").otherwise("credit 0.85"))
+            .when(pair & (first["value"] != 0) & (second["value"] == 0), "debit 0.8").when(pair & (first["value"] == 0) & (second["value"] != 0), "credit 0.8")
+            .otherwise("debit 0.3")
+        )
+        return values.let(F.split(said, " "), lambda w: F.struct(F.abs(one["value"]).alias("amount"), F.get(w, 0).alias("direction"), F.get(w, 1).cast("double").alias("confidence")))
+
+    return values.let(F.filter(cells, lambda c: c["value"] != 0), of)
 
 
 def cleaned(s: Column) -> Column:

@@ -95,7 +95,8 @@ def test_delimited_file(spark, tmp_path):
 
 def test_lines_with_continuations(spark):
     given = [(1, "PERIODE JANUARI 2026"), (2, "05/01 BELANJA 45.000,00 DB 1.955.000,00"), (3, "TOKO MAJU JAYA"), (4, "06/01 GAJI 1.500.000,00 CR 3.455.000,00"), (5, "Halaman 1")]
-    df = spark.createDataFrame([("f", i, t, None) for i, t in given], "file_name string, line_no int, text string, cells array<struct<str:string,x:double>>")
+    cells = lambda t: [(c, 50.0 * i) for i, c in enumerate(t.split(" "))] if t[:1] == "0" else [(t, 50.0)]
+    df = spark.createDataFrame([("f", i, t, cells(t)) for i, t in given], "file_name string, line_no int, text string, cells array<struct<str:string,x:double>>")
     out = statements.parse_statement_lines(df, ["file_name"]).orderBy("seq").collect()
     assert [(r["date"], r["description"], r["amount"], r["direction"], r["balance"]) for r in out] == [(D(2026, 1, 5), "BELANJA TOKO MAJU JAYA", 45000, "debit", 1955000), (D(2026, 1, 6), "GAJI", 1500000, "credit", 3455000)]
 
