@@ -147,3 +147,29 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
         assert sum(want[r["vec_id"]] == r["component_id"] for r in out) >= 0.97 * len(want)
         assert all(r["n_links"] <= n[r["vec_id"]] for r in out)
     assert caps.near_vectors(df.limit(0)).count() == 0
+
+
+def planted_pairs(n, dim, cosine, seed):
+    """Pairs of unit vectors at a cosine, around n different vectors."""
+    rng = np.random.default_rng(seed)
+    a, b = caps.normalised(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    b = caps.normalised(b - (a * b).sum(1, keepdims=True) * a)
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * b
+
+
+def test_planted_pairs_list_a_common_filter():
+    for n, pairs in ((1000, 1000), (100_000, 1000), (1_000_000, 500)):
+        code = caps.Code(n, 64)
+        for cosine in (0.901, 0.95, 0.99):
+            a, b = (code.lists(x) for x in planted_pairs(pairs, 64, cosine, 11))
+            assert all(len(x) for x in a)
+            assert sum(not set(x) & set(y) for x, y in zip(a, b)) <= pairs * 0.005
+
+
+def test_links_around_many_vectors(spark):
+    parts = [planted_pairs(250, 64, cosine, seed) for cosine, seed in ((0.901, 1), (0.95, 2), (0.99, 3))]
+    x = np.concatenate([v for pair in parts for v in pair])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = int((np.triu(x @ x.T, 1) >= 0.9).sum())
+    out = caps.near_vectors(df).collect()
+    assert sum(r["n_links"] for r in out) / 2 >= 0.995 * want and want >= 750
