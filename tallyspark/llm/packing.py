@@ -12,8 +12,10 @@ a task holds is one block; a lost task is run again with the same result.
 from __future__ import annotations
 
 import base64
+import json
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +32,23 @@ LOCAL = 40
 
 
 class Encoder:
-    """Ids of byte_bpe_50k.json. Its ranks in the other library give the same ids several times faster (tests compare them);
-    strings that look like special tokens are ordinary text."""
+    """Ids of byte_bpe_50k.json. Its ranks in the other library give the same ids several times faster (tests compare them).
+    With special, its added tokens have the ids that the tokenizer gives them; else strings that look like them are ordinary text."""
 
     _made: dict[str, object] = {}
 
-    def __init__(self, name: str = "byte_bpe_50k"):
+    def __init__(self, name: str = "byte_bpe_50k", special: bool = False):
         if name not in self._made:
             import public_tokenizers
             import tiktoken
 
             with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self._made[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ids = self._made[name].encode_ordinary
+            with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+                added = {t["content"]: int(t["id"]) for t in json.load(f)["added_tokens"]}
+            self._made[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        made = self._made[name]
+        self.ids = partial(made.encode, allowed_special="all", disallowed_special=()) if special else made.encode_ordinary
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.array([*self.ids(text or ""), END], "<u4")
@@ -114,7 +119,7 @@ def sum_at_most(pool: list[tuple[int, int, int]], n: int) -> bool:
 
 def _packed(tiers: tuple[int, ...], step: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(), Packer(tiers, step, TaskContext.get().partitionId())
+        encode, packer = Encoder(special=True), Packer(tiers, step, TaskContext.get().partitionId())
         docs: dict[int, tuple[object, np.ndarray]] = {}
         count = held = 0
 

@@ -56,3 +56,15 @@ def test_round_trip(spark, documents, edge_rows):
 
 def test_empty_table(spark, documents):
     assert packing.pack(documents([(1, "x")]).filter(F.lit(False))).count() == 0
+
+
+def test_added_tokens_are_the_tokenizers(spark, documents):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext", "no such token", "é<|endoftext|>  x"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert 50256 in want[0]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(documents([*enumerate(texts)]).coalesce(1)).collect()}
+    assert got == want
