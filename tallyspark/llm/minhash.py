@@ -9,7 +9,8 @@ pair that is not yet connected is compared on full sets, so no link is lost ther
 deeper as far as they are dense, each to the depth that leaves it at most REGION members, and a region is settled in one
 place, all its pairs at once. The trees come in turns: a turn skips the regions whose members confirmed links connect already.
 A region that is dense at every depth (its members agree on DEEPEST minima in a row, so they are all but equal) is settled in
-parts that their smallest members tie together.
+parts that their smallest members tie together. All this only connects the most of a dense region cheaply: what it leaves
+apart is then compared at DEPTH, whole, each part of the region with each other one.
 """
 
 from __future__ import annotations
@@ -176,7 +177,9 @@ def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame, per
     part = F.when(F.col(size) > REGION, F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / REGION))).otherwise(F.lit(0))
     for i in reversed(range(len(depth) - 1)):
         cut = F.when(F.col(f"n{i}") <= REGION, F.col(f"p{i}")).otherwise(cut)
-    region = stored(region.select("id", "tree", "ring", F.xxhash64(cut, part).alias("region"), cut.alias("wide")), "regions")
+    region = stored(region.select("id", "tree", "ring", F.xxhash64(cut, part).alias("region"), cut.alias("wide"), F.col("p0").alias("whole"), F.col("n0").alias("n")), "regions")
+    dense = region.filter(F.col("n") > REGION).select("id", "tree", "whole", "n")
+    crowded = dense.limit(1).count() > 0
     links = None
     group = members.select("id", F.col("id").alias("component"))
     for first, last in TURNS:
@@ -190,11 +193,31 @@ def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame, per
         ties = each.join(low, "wide").filter(F.col("l.component") != F.col("m.component")).select(F.col("l.id").alias("a"), F.col("m.id").alias("b")).distinct()
         new = stored(settled.union(_confirmed(ties, sets, percent)), "confirmed")
         links = new if links is None else links.union(new)
-        group = members.select("id").join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        group = stored(group, "groups")
+        group = _grouped(members, links)
+        if crowded:
+            links = links.union(stored(_across(dense.filter(F.col("tree").between(first, last)), group, sets, percent), "across"))
+            group = _grouped(members, links)
     return links
 
 
+def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of all members, by the links so far."""
+    group = members.select("id").join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return stored(group, "groups")
+
+
+def _across(dense: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the regions dense(id, whole, n): every two parts of at most about REGION members, unless they are connected."""
+    differ = F.min("component") < F.max("component")
+    some = dense.join(group, "id")
+    some = some.join(some.groupBy("whole").agg(differ.alias("open")).filter("open").select("whole"), "whole")
+    parts = F.ceil(F.col("n") / REGION).cast("int")
+    some = some.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = some.select("id", "component", F.xxhash64("whole", F.least("own", "other"), F.greatest("own", "other")).alias("region"))
+    apart = dealt.join(dealt.groupBy("region").agg(differ.alias("open")).filter("open").select("region"), "region").select("id", "region")
+    return apart.join(sets, "id").groupBy("region").applyInPandas(_settle(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, kept: links join documents whose sets of five-word shingles
     (words by white space, A-Z lowered; a shorter text is one shingle) share at least percent of their union.

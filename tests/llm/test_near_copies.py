@@ -59,6 +59,26 @@ def test_near_duplicates_against_brute_force(spark, documents, edge_rows):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_dense_regions_against_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "REGION", 8)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = [rng.choice(words) for _ in range(196)], []
+    for c in range(80):  # below the threshold with all others, but for a twin
+        one = list(base)
+        for _ in range(2):
+            one[rng.randrange(196)] = rng.choice(words)
+        twin = list(one)
+        twin[rng.randrange(196)] = rng.choice(words)
+        rows += [(2 * c, " ".join(one)), (2 * c + 1, " ".join(twin))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    out = minhash.near_duplicates(documents(rows), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == reachable(ids, links)
+
+
 def test_near_duplicates_edges(spark, documents, edge_rows):
     out = minhash.near_duplicates(documents(edge_rows)).collect()
     assert len(out) == len(edge_rows) and all(r["kept"] == (r["doc_id"] != 5) for r in out)
