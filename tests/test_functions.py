@@ -73,3 +73,13 @@ def test_number_texts(spark):
     assert number(values.rupiah_short, "1250000") == "Rp1,3 jt" or number(values.rupiah_short, "1250000") == "Rp1,2 jt"
     assert number(values.rupiah_short, "-450000") == "-Rp450 rb"
     assert number(values.persen, "0.5") == "50%"
+
+
+def test_every_merchant_keyword(spark):
+    from tallyspark.functions import dims
+
+    assert len(dims.MERCHANTS) == 111 and sum(len(keys) for *_, keys in dims.MERCHANTS) == 364
+    want = {k: next(m for m, _, keys in dims.MERCHANTS if any(x in k for x in keys)) for *_, keys in dims.MERCHANTS for k in keys}
+    want |= {"BURGER KING": "Burger King", "BLIBLI": "Blibli", "TOKPED": "Tokopedia", "HOKA HOKA": "HokBen", "MARTABAK": "Jajanan", "YOSHINOYA": "Resto Jepang"}
+    df = spark.createDataFrame([*want.items()], "n string, want string")
+    assert df.filter(~text.match_dictionary(F.col("n"))["merchant"].eqNullSafe(F.col("want"))).count() == 0
