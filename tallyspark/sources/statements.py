@@ -14,6 +14,8 @@ from tallyspark.functions import dims, text, values
 #: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns; columns of a row.
 DELIMITERS = [";", "\t", "|", ","]
 DELIMITER_LINES, HEADER_LINES, COLUMN_LINES, MOST_COLUMNS = 25, 30, 120, 32
+#: Characters of a file that its period is looked for in.
+PERIOD_CHARACTERS = 4000
 #: How far the rightmost amount may be from the balance column, and how much nearer to one column than to the other counts.
 NEAR_BALANCE, NEARER = 90, 20
 FIELDS = [f for f, _ in dims.FIELD_NAMES]
@@ -155,7 +157,9 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
 
     A line that begins with a date and holds an amount is a record; one without date and amount, but with a word, continues the
     description of the record before it."""
-    head = first_lines(lines, keys, DELIMITER_LINES).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_head"))
+    # the lines that hold the first 4000 characters, which find_period searches
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    head = lines.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < PERIOD_CHARACTERS).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_head"))
     rows = lines.filter(F.trim("text") != "").filter(~text.is_statement_noise(F.col("text"), bank))
     rows = rows.join(detect_columns(lines, keys), keys, "left").join(head.select(*keys, values.find_period(F.col("_head")).alias("period")), keys, "left")
     rows = rows.withColumns({"_found": values.find_leading_date(F.col("text")), "_cells": numeric_cells(F.col("text"), F.col("cells"))})

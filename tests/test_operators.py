@@ -106,3 +106,11 @@ def test_export_is_quoted(spark, tmp_path):
     export.export_transactions(tx, str(tmp_path / "out"))
     said = "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
     assert '"2026-01-01","KFC ""A""","KFC","Makan & Minum","keluar","11","","Kamus","0.95","f.csv"' in said
+
+
+def test_a_late_period_gives_its_year(spark):
+    from tallyspark.sources import statements
+
+    said = [f"Catatan {i}" for i in range(40)] + ["Periode: 01/03/2021 - 31/03/2021", "05/03 BELANJA 10.000,00 90.000,00"]
+    lines = spark.createDataFrame([("f", i, t, []) for i, t in enumerate(said)], "file string, line_no int, text string, cells array<struct<str:string,x:double>>")
+    assert [str(r["date"]) for r in statements.parse_statement_lines(lines, ["file"]).collect()] == ["2021-03-05"]
