@@ -1,7 +1,7 @@
 """Licence scans: a paragraph classifier over sparse word n-grams, in SQL expressions alone.
 
-A paragraph is a line of a text. One that holds a cue (licen[cs]e, copyright, permission and the like) is classified; all
-others are ordinary text. A multinomial logistic regression over word 1- to 3-grams, trained here on worded variants of the
+A paragraph is a line of a text. Lines without any entry word are left out before the model sees them: words chosen so that
+what all others could add up to stays below what the model asks of a licence (`entry_words`). A multinomial logistic regression over word 1- to 3-grams, trained here on worded variants of the
 families' notices and on paragraphs sampled from the corpus, gives a probability to each family, to "unknown" (a licence,
 but none of these) and to "none" (ordinary text). A temperature fitted on variants that were held out calibrates the
 probabilities; a best family below SURE becomes unknown. A family counts as confirmed if enough of the paragraph's word
@@ -38,7 +38,7 @@ NOTICES = {
     "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights; released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
 }
-#: Licence text of no family above, and ordinary text that holds a cue.
+#: Licence text of no family above, and ordinary text that holds a cue. CUES only keep lines out of the sample of ordinary text.
 UNKNOWN = ["Licensed under the terms of the vendor agreement.", "Licensed under the Example Community License, version 5.", "This work is licensed under our own terms of use.", "All rights reserved.", "Copyright 2019 the authors. All rights reserved.", "Released under a proprietary license.", "SPDX-License-Identifier: LicenseRef-custom", "Use of this file is subject to a commercial license.", "Distributed under the Open Widget License.", "Licensed for internal use only."]
 ORDINARY = ["He lost his driving license last year.", "She asked for permission to leave the room.", "The license plate was covered in mud.", "They have a warrant for the search.", "Copyright law is taught in the second term.", "The doctor's licence was renewed in spring.", "No permission was needed to enter the park.", "The warranty had run out by then.", "He was licensed to fly at the age of twenty.", "The public domain of the city is large."]
 OPENINGS = ("", "This file is part of the project. ", "Copyright (c) 2021 the authors. ", "Note: ", "The contents are ")
@@ -121,6 +121,34 @@ def _fit(ordinary: tuple[str, ...]) -> tuple[list[str], list[str], np.ndarray, n
     return classes, [grams[i] for i in kept], (w[kept] / heat).astype(float), (b / heat).astype(float)
 
 
+def entry_words(classes: list[str], names: list[str], weights: np.ndarray, constants: np.ndarray, ordinary: tuple[str, ...] = ()) -> list[str]:
+    """Words of which a line must hold one for the model to find a licence in it.
+
+    Words common in ordinary text are left out of them, as long as all n-grams of such words together could not lift any class
+    above "none". If the constants alone do not favour "none", every word of the model is an entry word."""
+    none = classes.index("none")
+    gains = np.delete(weights - weights[:, [none]], none, 1).clip(0)
+    room = constants[none] - np.delete(constants, none) - 0.01
+    seen: dict[str, int] = {}
+    for t in ordinary:
+        for w in set(words_of(t)):
+            seen[w] = seen.get(w, 0) + 1
+    of = [set(g.split(" ")) for g in names]
+    entry = set().union(*of)
+    for w in sorted(entry, key=lambda w: (-seen.get(w, 0), w)):
+        rest = entry - {w}
+        if w in seen and (gains[[not (o & rest) for o in of]].sum(0) < room).all():
+            entry = rest
+    return sorted(entry)
+
+
+def like_a_notice(line: str) -> bool:
+    """Whether a line shares enough word pairs with a known licence text."""
+    own = {g for g in grams_of(line, 2) if " " in g}
+    given = ({g for g in grams_of(t, 2) if " " in g} for ts in [*NOTICES.values(), UNKNOWN] for t in ts)
+    return any(len(own & p) >= ALIKE * max(1, min(len(own), len(p))) for p in given)
+
+
 def has_cue(text: Column) -> Column:
     out = text.contains(CUES[0])
     for c in CUES[1:]:
@@ -146,10 +174,11 @@ def inlined(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def sampled(docs: DataFrame, n: int = SAMPLE) -> tuple[str, ...]:
-    """At most n paragraphs without a cue, those whose hash is lowest, one from a document: what ordinary text looks like here."""
+    """At most n paragraphs without a cue and unlike the notices, those whose hash is lowest, one from a document: what ordinary
+    text looks like here."""
     line = F.trim(F.element_at(F.split(F.substr("text", F.lit(1), F.lit(2000)), "\n"), 1))
     some = docs.filter(F.length("text") > 0).select(F.substr(line, F.lit(1), F.lit(400)).alias("line")).filter((F.length("line") > 20) & ~has_cue(F.lower("line")))
-    return tuple(r["line"] for r in some.orderBy(F.xxhash64("line"), "line").limit(n).collect())
+    return tuple(r["line"] for r in some.orderBy(F.xxhash64("line"), "line").limit(n).collect() if not like_a_notice(r["line"]))
 
 
 def license_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -159,12 +188,13 @@ def license_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     paragraph counts lines from 0. family may be "unknown", which nothing confirms. Null and empty texts have none; repeated
     rows are documents of their own; null doc_ids stay; other columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
-    classes, names, weights, constants = fit(sampled(docs, sample))
+    ordinary = sampled(docs, sample)
+    classes, names, weights, constants = fit(ordinary)
+    entry = F.array(*[F.lit(w) for w in entry_words(classes, names, weights, constants, ordinary)])
     model = inlined(spark, [{"gram": g, "w": [round(float(x), 6) for x in w]} for g, w in zip(names, weights, strict=True)], "gram: string, w: array<double>")
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda p: has_cue(F.lower(p["text"])))
-    none = F.array().cast("array<struct<paragraph:int,text:string>>")
-    rows = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.when(has_cue(F.lower(text)), lines).otherwise(none).alias("lines")), "cues")
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda p: F.arrays_overlap(words(p["text"]), entry))
+    rows = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), lines.alias("lines")), "cues")
     cued = rows.filter(F.size("lines") > 0).select("uid", F.explode("lines").alias("line")).select("uid", "line.*").withColumn("words", words(F.col("text")))
     # scores: a row for each n-gram that the model knows; the constants are there even without any
     hits = cued.select("uid", "paragraph", F.explode(grams(F.col("words"), 1, GRAMS)).alias("gram")).join(F.broadcast(model), "gram")

@@ -48,6 +48,26 @@ def test_licenses(spark, documents, edge_rows):
     assert licenses.license_paragraphs(documents(rows).limit(0)).count() == 0
 
 
+def test_every_notice_is_found(spark, documents):
+    plain = "the river runs under the old stone bridge at night"
+    notices = [(k, t) for k, ts in licenses.NOTICES.items() for t in ts]
+    rows = [(i, f"{plain}\n{t}") for i, (_, t) in enumerate(notices)] + [(500 + i, f"{plain} {i}") for i in range(30)]
+    out = {r["doc_id"]: [(f["paragraph"], f["family"]) for f in r["found"]] for r in licenses.license_paragraphs(documents(rows)).collect()}
+    assert out == {i: [(1, k)] for i, (k, _) in enumerate(notices)} | {500 + i: [] for i in range(30)}
+
+
+def test_lines_without_entry_words_are_ordinary_to_the_model():
+    rng = random.Random(5)
+    common = "the of a to this is it for with by all you and that or not as are be river stone bridge night day".split()
+    ordinary = tuple(" ".join(rng.choices(common, k=rng.randrange(4, 14))) for _ in range(1000))
+    classes, names, weights, constants = licenses.fit(ordinary)
+    entry = set(licenses.entry_words(classes, names, weights, constants, ordinary))
+    rest = [i for i, g in enumerate(names) if not entry & set(g.split(" "))]
+    gains = (weights - weights[:, [classes.index("none")]])[rest].clip(0).sum(0) + constants
+    assert rest and all(gains[i] < constants[classes.index("none")] for i, c in enumerate(classes) if c != "none")
+    assert "gpl" in entry
+
+
 def test_held_out_licence_variants():
     classes, names, weights, constants = licenses.fit(tuple(f"plain words of a text {i}" for i in range(200)))
     at = {g: i for i, g in enumerate(names)}
