@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text, values
 
-#: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns; columns of a row.
+#: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns.
 DELIMITERS = [";", "\t", "|", ","]
-DELIMITER_LINES, HEADER_LINES, COLUMN_LINES, MOST_COLUMNS = 25, 30, 120, 32
+DELIMITER_LINES, HEADER_LINES, COLUMN_LINES = 25, 30, 120
 #: Characters of a file that its period is looked for in.
 PERIOD_CHARACTERS = 4000
 #: How far the rightmost amount may be from the balance column, and how much nearer to one column than to the other counts.
@@ -44,13 +44,19 @@ def detect_delimiter(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("b.delimiter", F.lit(",")).alias("delimiter"))
 
 
-def cells_of(line: Column, delimiter: Column) -> Column:
-    """The fields of a line, quoted or not; a quoted line break is not supported. One reader for each delimiter, as its options are literals."""
-    schema = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS))
+def widest(lines: DataFrame) -> int:
+    """The fields of the widest line, whichever delimiter it is split at; this reads the lines."""
+    n = F.greatest(*[F.length("text") - F.length(F.replace("text", F.lit(d), F.lit(""))) for d in DELIMITERS])
+    return (lines.agg(F.max(n)).first()[0] or 0) + 1
+
+
+def cells_of(line: Column, delimiter: Column, width: int) -> Column:
+    """The first width fields of a line, quoted or not; a quoted line break is not supported. One reader for each delimiter, as its options are literals."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
     out = F.lit(None).cast("array<string>")
     for d in DELIMITERS:
-        row = F.from_csv(line, schema, {"sep": d, "escape": '"', "mode": "PERMISSIVE"})
-        cells = values.let(row, lambda r: F.array(*[F.coalesce(r[f"c{i}"], F.lit("")) for i in range(MOST_COLUMNS)]))
+        row = F.from_csv(line, schema, {"sep": d, "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(width + 1)})
+        cells = values.let(row, lambda r: F.array(*[F.coalesce(r[f"c{i}"], F.lit("")) for i in range(width)]))
         out = F.when(delimiter == d, cells).otherwise(out)
     return out
 
@@ -72,7 +78,7 @@ def csv_records(lines: DataFrame, keys: list[str], default_year: int = 2026) ->
     """Lines of delimited files to records: keys, seq, date, description, amount, direction, balance, direction_confidence, skipped.
 
     skipped rows (a date that cannot be read, no amount) stay, flagged, for the file's warnings; files without headings give none."""
-    rows = lines.filter(F.trim("text") != "").join(detect_delimiter(lines, keys), keys).withColumn("cells", cells_of(F.col("text"), F.col("delimiter")))
+    rows = lines.filter(F.trim("text") != "").join(detect_delimiter(lines, keys), keys).withColumn("cells", cells_of(F.col("text"), F.col("delimiter"), widest(lines)))
     header = find_header_row(rows, keys)
     head = rows.join(header, keys).filter(F.col("line_no") <= F.col("header_line")).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_head"))
     period = head.select(*keys, values.find_period(F.col("_head")).alias("period"))

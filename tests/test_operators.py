@@ -114,3 +114,12 @@ def test_a_late_period_gives_its_year(spark):
     said = [f"Catatan {i}" for i in range(40)] + ["Periode: 01/03/2021 - 31/03/2021", "05/03 BELANJA 10.000,00 90.000,00"]
     lines = spark.createDataFrame([("f", i, t, []) for i, t in enumerate(said)], "file string, line_no int, text string, cells array<struct<str:string,x:double>>")
     assert [str(r["date"]) for r in statements.parse_statement_lines(lines, ["file"]).collect()] == ["2021-03-05"]
+
+
+def test_fields_of_a_wide_file_are_not_cut(spark):
+    from tallyspark.sources import statements
+
+    more = ";".join(f"x{i}" for i in range(40))
+    said = [f"Tanggal;Keterangan;{more};Debit;Kredit;Saldo", f"03/02/2026;MIXUE;{more};22.000,00;;3.478.000,00"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(said)], "file string, line_no int, text string")
+    assert [(r["description"], r["amount"], r["balance"]) for r in statements.csv_records(lines, ["file"]).collect()] == [("MIXUE", 22000, 3478000)]
