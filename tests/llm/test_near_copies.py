@@ -115,12 +115,20 @@ def kept_bytes(rows, length=50):
     return out
 
 
-def test_suffix_order():
+def test_orders_of_suffixes():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 4, 5, 50, 700):
-        for k in (1, 2, 20):
-            t = rng.integers(0, k, n).astype(np.int64) + 1
-            assert suffixes.suffix_order(t, 1, 10**9).tolist() == sorted(range(n), key=lambda i: tuple(t[i:]))
+    slices = [bytes(rng.integers(97, 97 + k, n).astype(np.uint8)) for k in (1, 2, 20) for n in (50, 51, 52, 77, 80) for _ in range(4)]
+    chunk = suffixes.Chunk(np.array([len(s) for s in slices], np.int64).tobytes(), b"".join(slices))
+    names = chunk.names(np.arange(1, len(chunk.first) + 1))
+    data = b"".join(slices)
+    for residues in suffixes.ORDERS:
+        which, key = chunk.keys(names, residues)
+        assert {int(r) for r in chunk.inner[chunk.windows[which]] % 3} == set(residues)
+        windows = [data[i : i + 50] for i in chunk.windows[which]]
+        keys = list(zip(*key))
+        order = sorted(range(len(windows)), key=lambda i: keys[i])
+        assert [windows[i] for i in order] == sorted(windows)
+        assert all((keys[i] == keys[j]) == (windows[i] == windows[j]) for i, j in zip(order, order[1:]))
 
 
 def test_repeats_against_brute_force(spark, documents, edge_rows, monkeypatch):
@@ -137,8 +145,27 @@ def test_repeats_against_brute_force(spark, documents, edge_rows, monkeypatch):
     want = kept_bytes(rows)
     got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.remove_repeats(documents(rows)).collect()}
     assert got == want
-    monkeypatch.setattr(suffixes, "CROWD", 0)  # every anchor is a crowd
-    assert {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(documents(rows)).collect()} == {i: w[1] for i, w in want.items()}
+    monkeypatch.setattr(suffixes, "CHUNK", 1000)  # equal windows meet across many chunks and ranges
+    monkeypatch.setattr(suffixes, "RANGE", 500)
+    again = suffixes.remove_repeats(documents(rows).repartition(7)).collect()
+    assert {r["doc_id"]: r["kept_sha256"] for r in again} == {i: w[3] for i, w in want.items()}
+
+
+def test_repeats_of_a_passage_in_a_third_of_all_texts(spark, documents, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 5000)
+    rng = random.Random(6)
+    passage = "this passage of somewhat more than fifty bytes is in very many texts"
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(i, " ".join([word() for _ in range(12)] + [passage[i % 7 :]] * (i % 3 == 0) + [word() for _ in range(12)])) for i in range(900)]
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.remove_repeats(documents(rows)).collect()}
+    assert got == kept_bytes(rows)
+
+
+def test_rows_that_share_a_doc_id_are_judged_each(spark, documents):
+    a, b, c = ("".join(random.Random(k).choice("abcdefghijklm ") for _ in range(120)) for k in (1, 2, 3))
+    rows = [(1, a), (2, "x" + a), (2, b + "y"), (2, "z" + b), (3, b), (3, c), (None, c + a), (4, c[:60] + "q"), (4, c[:60] + "q")]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(documents(rows)).collect())
+    assert got == [(0, 240, 0), (1, 120, 0), (2, 121, 0), (2, 121, 0), (2, 121, 120), (3, 120, 0), (3, 120, 120), (4, 61, 60), (4, 61, 60)]
 
 
 def test_repeats_edges(spark, documents, edge_rows):
