@@ -1,10 +1,12 @@
 """Quality scores by compression: texts are compressed with a dictionary built from good labelled text and with one built
-from bad, and the normalised difference of the sizes becomes a calibrated score.
-
-The difference alone says little about very short texts and about ones that any dictionary shrinks (a word repeated a
-thousand times), so a logistic curve turns it into a probability together with the compression ratio and the length. Half of
-the sampled labelled documents fill the dictionaries, the other half fit the curve: a document that is in a dictionary
-would look better than it is. Only sizes and curve weights are learnt; source, language, ids and labels are no inputs.
+from bad, and the difference of the normalised sizes becomes a calibrated score.
+
+Sizes are normalised by the text's own. The score is a logistic curve of a difference, a times the size with the bad dictionary
+less b times that with the good one, where a and b are fitted but never negative: a text that the good dictionary shrinks
+better never scores less, and one that the bad dictionary shrinks better never more. With a > b, which the labels ask for, a
+word repeated a thousand times, small with any dictionary, is no good text.
+Half of the sampled labelled documents fill the dictionaries, the other half fit the curve: a document that is in a dictionary
+would look better than it is. Only sizes and these weights are learnt; source, language, ids and labels are no inputs.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -22,19 +25,20 @@ from tallyspark.llm.common import stored, table
 
 #: Labelled documents of each class that are sampled at most (half for the dictionaries, half for the curve).
 SAMPLE = 3000
-#: Pieces of a sampled text that go into a dictionary, their characters, bytes of a dictionary, and of what is compressed at once.
-PIECES, PIECE, DICTIONARY, CHUNK, LEVEL = 4, 2048, 1 << 16, 1 << 14, 3
+#: Bytes of the pieces that a dictionary is trained on, of a dictionary, of what is compressed at once; bytes that a frame takes.
+PIECE, DICTIONARY, CHUNK, FRAME, LEVEL = 2048, 1 << 16, 1 << 14, 8, 3
 #: Rows with this remainder of crc32(doc_id as text) mod FOLDS are held out: never learnt from.
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, and the curve's mean, spread and weights; without dictionaries every score is the rate of good labels."""
+    """Dictionaries, and the curve's constant and weights of the sizes with the good and the bad one; without dictionaries every
+    score is the rate of good labels."""
 
     good: bytes
     bad: bytes
-    curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None
+    curve: tuple[float, float, float] | None
     rate: float
 
 
@@ -60,54 +64,68 @@ def sizes(texts: pa.Array, good: bytes, bad: bytes) -> np.ndarray:
     return out
 
 
-def features(s: np.ndarray) -> np.ndarray:
-    """The normalised size difference, with ratio and length and their products."""
-    d, ratio, n = (s[:, 1] - s[:, 0]) / (s[:, 0] + s[:, 1]), np.minimum(s[:, 0], s[:, 1]) / (s[:, 2] + 16), np.log(s[:, 2] + 16)
-    return np.c_[d, ratio, n, d * n, ratio * n, d * d, ratio * ratio, n * n]
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean and spread of the features and weights (the constant's first) of a ridge logistic regression, by damped Newton steps."""
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - mean) / spread]
-    w = np.zeros(z.shape[1])
-    keep = np.r_[0.0, np.full(len(w) - 1, ridge)]
-    loss = lambda w: np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).sum() + (keep * w * w).sum() / 2
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(keep + 1e-9), z.T @ (y - p) - keep * w)
-        scale, now = 1.0, loss(w)
-        while scale > 1e-4 and loss(w + scale * step) > now:
-            scale /= 2
-        w = w + scale * step
-        if np.abs(scale * step).max() < 1e-8:
-            break
-    return mean, spread, w
+def ratios(s: np.ndarray) -> np.ndarray:
+    """Compressed sizes, with the good dictionary as a loss and the bad one as a gain, by the size of the text."""
+    return np.c_[-s[:, 0], s[:, 1]] / (s[:, 2:] + FRAME)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float, np.ndarray]:
+    """Constant and weights, none negative, of a ridge logistic regression by damped Newton steps. What would get a negative
+    weight gets none."""
+    used = np.arange(x.shape[1])
+    while True:
+        mean, spread = x[:, used].mean(0), x[:, used].std(0) + 1e-9
+        z = np.c_[np.ones(len(x)), (x[:, used] - mean) / spread]
+        w = np.zeros(z.shape[1])
+        keep = np.r_[0.0, np.full(len(w) - 1, ridge)]
+        loss = lambda w: np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).sum() + (keep * w * w).sum() / 2  # noqa: E731, B023
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(keep + 1e-9), z.T @ (y - p) - keep * w)
+            scale, now = 1.0, loss(w)
+            while scale > 1e-4 and loss(w + scale * step) > now:
+                scale /= 2
+            w = w + scale * step
+            if np.abs(scale * step).max() < 1e-8:
+                break
+        slope = w[1:] / spread
+        if (slope >= 0).all():
+            out = np.zeros(x.shape[1])
+            out[used] = slope
+            return float(w[0] - (slope * mean).sum()), out
+        used = used[slope > slope.min()]
 
 
 def probabilities(model: Model, s: np.ndarray) -> np.ndarray:
     if model.curve is None:
         return np.full(len(s), model.rate)
-    mean, spread, w = model.curve
-    return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(s)), (features(s) - mean) / spread] @ w, -40, 40)))
+    constant, good, bad = model.curve
+    return 1 / (1 + np.exp(-np.clip(constant + ratios(s) @ [good, bad], -40, 40)))
 
 
 def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _dictionary(pieces: list[bytes]) -> bytes:
+def dictionary(texts: list[bytes]) -> bytes:
+    """A zstandard dictionary of whole texts, in pieces."""
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to find what recurs in: the text itself serves
-        return b"".join(p[:256] for p in pieces)[-DICTIONARY:]
+        return b"".join(pieces)[-DICTIONARY:]
+
+
+def _dictionaries(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["doc_id", "text"])
+    return pd.DataFrame({"quality": [rows["quality"].iloc[0]], "words": [dictionary([t.encode() for t in rows["text"]])]})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels(doc_id, quality) on docs(doc_id, text).
 
     At most `sample` labelled documents of each class are read, those with the lowest md5 of doc_id, held-out rows left out;
-    what reaches the driver is PIECES pieces of PIECE characters of half of them and three sizes of the others. With only
+    half of them, whole, go into dictionaries, each made in one task, and of the others three sizes reach the driver. With only
     one class, or none, there is no model but the (smoothed) rate of good labels."""
     spark = docs.sparkSession
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
@@ -119,13 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return plain
     ids = spark.createDataFrame([(r["doc_id"], r["quality"], i % 2) for i, r in enumerate(chosen)], "doc_id long, quality int, half int")
     rows = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"), "labelled")  # at most 2 * sample ids
-    step = F.greatest(F.lit(PIECE), F.floor(F.length("text") / PIECES).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr("text", i * step + 1, F.lit(PIECE)))
-    pieces = rows.filter(F.col("half") == 0).select("doc_id", "quality", F.filter(cut, lambda p: F.length(p) > 0).alias("pieces")).orderBy("doc_id").collect()
-    texts = {q: [p.encode() for r in pieces if r["quality"] == q for p in r["pieces"]] for q in (0, 1)}
-    if not texts[0] or not texts[1]:
+    # at most sample / 2 texts in a group
+    made = rows.filter((F.col("half") == 0) & (F.length("text") > 0)).groupBy("quality").applyInPandas(_dictionaries, "quality int, words binary").collect()
+    words = {r["quality"]: bytes(r["words"]) for r in made}
+    if len(words) < 2:
         return plain
-    good, bad = _dictionary(texts[1]), _dictionary(texts[0])
+    good, bad = words[1], words[0]
     fit = rows.filter(F.col("half") == 1).select("doc_id", "quality", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # the classes are sampled alike; the constant is moved to their shares among all labels
     share = known.groupBy("quality").count().collect()
     n = {r["quality"]: r["count"] for r in share}
-    mean, spread, w = logistic(features(np.array([[r["a"], r["b"], r["n"]] for r in found])), y)
-    w[0] += np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(good, bad, (mean, spread, w), plain.rate)
+    constant, (a, b) = logistic(ratios(np.array([[r["a"], r["b"], r["n"]] for r in found])), y)
+    constant += np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(good, bad, (float(constant), float(a), float(b)), plain.rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -95,6 +95,48 @@ def test_quality_on_held_out_rows(spark, documents):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_sizes_and_scores_against_plain_compression(spark, documents):
+    import zstandard
+
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    text = lambda i: " ".join(word("abcdefg" if i % 3 else "stuvwxyz") for _ in range(rng.randrange(5, 400)))
+    rows = [(i, text(i)) for i in range(300)] + [(400, None), (401, ""), (402, "é" * 40000), (403, "again " * 9000)]
+    docs = documents(rows).withColumn("_score", F.lit("a column of that name"))
+    docs = docs.union(docs.filter("doc_id < 5"))
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    constant, good, bad = model.curve
+    assert good >= 0 and bad >= 0
+
+    def size(data, words):
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words), level=quality.LEVEL, write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(data[i : i + quality.CHUNK])) for i in range(0, max(1, len(data)), quality.CHUNK))
+
+    want = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        x = constant + (bad * size(data, model.bad) - good * size(data, model.good)) / (len(data) + quality.FRAME)
+        want[i] = 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    out = quality.score(docs, model)
+    assert out.columns == [*(c for c in docs.columns if c != "_score"), "_score"] and out.count() == len(rows) + 5
+    assert all(abs(r["_score"] - want[r["doc_id"]]) < 1e-9 for r in out.collect())
+    # the better the good dictionary shrinks a text the higher it scores, also what is in a dictionary itself
+    sizes = np.array([[g, 100, 200] for g in range(300)], float)
+    assert (np.diff(quality.probabilities(model, sizes)) <= 0).all() and (np.diff(quality.probabilities(model, sizes[:, [1, 0, 2]])) >= 0).all()
+    of_good = [r["_score"] >= quality.ACCEPT for r in out.collect() if r["doc_id"] < 300 and r["doc_id"] % 3]
+    assert sum(of_good) / len(of_good) >= 0.97
+
+
+def test_logistic_weights_are_never_negative():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.standard_normal(400) > 0).astype(float)
+    _, w = quality.logistic(x, y)
+    assert w[0] > 0 and w[1] == 0
+    assert (quality.logistic(-x[:, :1], y)[1] == 0).all()
+
+
 def base(text):
     assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
