@@ -99,8 +99,8 @@ def test_quality_sizes_and_scores_against_plain_compression(spark, documents):
     import zstandard
 
     rng = random.Random(3)
-    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
-    text = lambda i: " ".join(word("abcdefg" if i % 3 else "stuvwxyz") for _ in range(rng.randrange(5, 400)))
+    words = [["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(300)] for _ in range(2)]
+    text = lambda i: " ".join(rng.choice(words[i % 3 > 0]) for _ in range(rng.randrange(5, 400)))
     rows = [(i, text(i)) for i in range(300)] + [(400, None), (401, ""), (402, "é" * 40000), (403, "again " * 9000)]
     docs = documents(rows).withColumn("_score", F.lit("a column of that name"))
     docs = docs.union(docs.filter("doc_id < 5"))
