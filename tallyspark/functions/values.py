@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tallyspark.functions import dims
 
 MONEY = "decimal(18,2)"
+#: What counts as white space beside the ASCII kinds: no-break and other spaces of Unicode, line and paragraph separators, the byte-order mark.
+WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WHITE = "\t\n\x0b\x0c\r" + WIDE_SPACES
 AMOUNT = r"-?\(?(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)\)?-?"
 
 
@@ -18,6 +21,11 @@ def let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), 0)
 
 
+def spaced(c: Column) -> Column:
+    """Every white space as a plain one; places stay as they are."""
+    return F.translate(c, WHITE, " " * len(WHITE))
+
+
 def parse_amount(raw: Column) -> Column:
     """A written amount as decimal, or null: Indonesian or English separators, minus before or after, or parentheses."""
 
@@ -41,7 +49,7 @@ def parse_amount(raw: Column) -> Column:
         negative = s.rlike(r"^\(.*\)$|^-|.-$")
         return let(let(body, number), lambda v: F.when(negative, -v).otherwise(v))
 
-    return let(F.trim(raw), signed)
+    return let(F.trim(spaced(raw)), signed)
 
 
 def looks_like_amount(raw: Column) -> Column:
@@ -52,7 +60,7 @@ def looks_like_amount(raw: Column) -> Column:
         ok = let(parse_amount(s), lambda v: v.isNotNull() & (F.abs(v) <= F.lit(10**12)) & ~(plain & (digits == 4) & v.between(1990, 2100)))
         return F.when(s.rlike(r"^-?\(?[\d.,]+\)?-?$") & ~(plain & (digits > 9)), ok)
 
-    return F.coalesce(let(F.regexp_replace(F.trim(raw), r"(?i)^(?:Rp|IDR)\.?\s*", ""), fits), F.lit(False))
+    return F.coalesce(let(F.regexp_replace(F.trim(spaced(raw)), r"(?i)^(?:Rp|IDR)\.?\s*", ""), fits), F.lit(False))
 
 
 def month_number(name: Column) -> Column:
@@ -106,7 +114,7 @@ def find_date(text: Column) -> Column:
 
         return let(dated, placed)
 
-    return let(text, first)
+    return let(spaced(text), first)
 
 
 def find_leading_date(text: Column) -> Column:
@@ -126,7 +134,7 @@ def resolve_year(iso: Column, start: Column, end: Column, default_year: Column)
 
 def find_period(text: Column) -> Column:
     """struct(start, end) of a statement's period in its first 4000 characters: two dates, else a month and year; or nulls."""
-    head = F.substring(text, 1, 4000)
+    head = spaced(F.substring(text, 1, 4000))
     span = r"(?i)(\d{1,2}[-/.\s][A-Za-z0-9]{1,9}[-/.\s]\d{2,4})\s*(?:s/d|s\.d\.|sd|-|–|to|hingga|sampai)\s*(\d{1,2}[-/.\s][A-Za-z0-9]{1,9}[-/.\s]\d{2,4})"
     a, b = (find_date(F.regexp_extract(head, span, i))["iso"] for i in (1, 2))
     dated = a.isNotNull() & b.isNotNull() & ~F.startswith(a, F.lit("????")) & ~F.startswith(b, F.lit("????"))

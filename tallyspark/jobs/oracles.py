@@ -42,9 +42,11 @@ def titled(words: str) -> str:
 WORD_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(n, {q(k)})' for k in keys)} THEN {q(c)}" for c, keys in dims.CATEGORY_KEYWORDS) + " END"
 ACQUIRER = "CASE " + " ".join(f"WHEN contains(n, {q(a)}) THEN {q(a)}" for a in dims.ACQUIRERS) + " END"
 DECIDES = f"kind IN {listed(dims.DECIDING_KINDS)}"
-#: CTEs led, files, tx: the ledger with its classification.
-BASE = f"""WITH {events_ledger.SQL},
-c0 AS (SELECT *, {NORMAL} AS n FROM led),
+
+
+def classification(rows: str, columns: str) -> str:
+    """CTEs tx and cat: columns of a table rows(description, direction, ...) with its classification."""
+    return f"""c0 AS (SELECT *, {NORMAL} AS n FROM {rows}),
 c1 AS (SELECT *, {kind_case()} AS kind, {entry_case(lambda m, c: m)} AS dm, {entry_case(lambda m, c: c)} AS dc, {WORD_CASE} AS word, {ACQUIRER} AS acquirer,
   nullif(regexp_extract(n, '\\bID\\s?(\\d{{13,15}})\\b', 1), '') AS nm, nullif(regexp_extract(n, '\\b(\\d{{12,}})\\b', 1), '') AS rf FROM c0),
 c2 AS (SELECT *, nullif(array_to_string(list_filter(string_split(n, ' '), lambda w: len(w) >= 2 AND w NOT IN {listed(dims.NOISE_WORDS)} AND (acquirer IS NULL OR w <> acquirer)
@@ -56,14 +58,19 @@ c5 AS (SELECT *, CASE WHEN len(pty) >= 4 THEN pty END AS party, CASE WHEN kind =
   CASE WHEN kind = 'qris' AND dm IS NULL AND NOT coalesce(regexp_matches(hint, '(^|\\s)[A-Z]{{3,}}(\\s|$)'), false) THEN 0 WHEN {DECIDES} THEN 1 WHEN dm IS NOT NULL THEN 2
     WHEN kind IN ('card', 'bill') THEN 3 WHEN word IS NOT NULL THEN 4 WHEN direction = 'credit' THEN 5 ELSE 6 END AS how,
   list_filter(string_split(n, ' '), lambda w: regexp_full_match(w, '[A-Z]{{2,}}') AND w NOT IN {listed(dims.FEE_NOISE)})[1:4] AS feew FROM c4),
-tx AS (SELECT account_id, seq, date, description, amount, direction, raw_direction, balance, kind, CASE WHEN kind = 'qris' THEN hint END AS hint, nm, rf, acquirer, n,
+tx AS (SELECT {columns}, kind, CASE WHEN kind = 'qris' THEN hint END AS hint, nm, rf, acquirer, n,
   CASE how WHEN 0 THEN {q(dims.NO_NAME)} WHEN 1 THEN CASE WHEN kind = 'fee' THEN CASE WHEN len(feew) = 0 THEN 'Biaya Bank' ELSE {titled('feew')} END ELSE coalesce(topped, {titled("string_split(party, ' ')")}, {lookup('kind', 2)}) END
     WHEN 2 THEN dm WHEN 3 THEN {lookup('kind', 2)} WHEN 4 THEN CASE WHEN kind = 'qris' THEN {titled("string_split(hint, ' ')")} END END AS merchant,
   CASE how WHEN 0 THEN 'lainnya' WHEN 1 THEN {lookup('kind', 1)} WHEN 2 THEN CASE WHEN kind = 'qris' AND dc = 'topup_ewallet' THEN 'makan_minum' ELSE dc END WHEN 3 THEN {lookup('kind', 1)} WHEN 4 THEN word WHEN 5 THEN 'pendapatan' ELSE 'lainnya' END AS category,
   CAST(CASE how WHEN 0 THEN 0.5 WHEN 1 THEN CASE WHEN topped IS NOT NULL OR party IS NOT NULL THEN 0.85 ELSE 0.8 END WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 WHEN 4 THEN 0.6 WHEN 5 THEN 0.35 ELSE 0.1 END AS DOUBLE) AS confidence,
-  CASE how WHEN 0 THEN 'rule' WHEN 1 THEN CASE WHEN topped IS NOT NULL THEN 'dictionary' ELSE 'rule' END WHEN 2 THEN 'dictionary' WHEN 3 THEN 'rule' WHEN 4 THEN 'rule' ELSE 'unknown' END AS source, how = 0 AS no_merchant_info FROM c5),
+  CASE how WHEN 0 THEN 'rule' WHEN 1 THEN CASE WHEN topped IS NOT NULL THEN 'dictionary' ELSE 'rule' END WHEN 2 THEN 'dictionary' WHEN 3 THEN 'rule' WHEN 4 THEN 'rule' ELSE 'unknown' END AS source, how = 0 AS no_merchant_info,
+  CASE how WHEN 0 THEN 'Statement tidak mencantumkan nama merchant' WHEN 2 THEN 'Cocok dengan kamus merchant' WHEN 4 THEN 'Cocok dengan kata kunci kategori' WHEN 5 THEN 'Uang masuk, sumber belum teridentifikasi' WHEN 6 THEN 'Belum teridentifikasi' ELSE {lookup('kind', 3)} END AS note FROM c5),
 cat AS (SELECT * FROM (VALUES {', '.join(f'({q(i)}, {q(label)}, {q(g)}, {q(e)})' for i, label, g, e in dims.CATEGORIES)}) v(id, label, category_group, emoji))"""
 
+
+#: CTEs led, files, tx: the ledger with its classification.
+BASE = f"WITH {events_ledger.SQL},\n{classification('led', 'account_id, seq, date, description, amount, direction, raw_direction, balance')}"
+
 NEEDS = "(NOT no_merchant_info AND source NOT IN ('manual', 'ai') AND (source = 'unknown' OR confidence < 0.6))"
 SPENDING = f"(direction = 'debit' AND category NOT IN {listed(dims.NON_SPENDING)})"
 IDENTIFIED = "(source <> 'unknown' AND confidence >= 0.5 AND NOT no_merchant_info)"
@@ -123,5 +130,14 @@ SELECT account_id, seq, date, category, label, amount, ratio FROM o WHERE rk <=
 RECONCILED = """r0 AS (SELECT *, balance - lag(balance) OVER (PARTITION BY account_id ORDER BY seq) AS ch FROM led),
 r1 AS (SELECT *, coalesce(abs(abs(ch) - amount) <= 1, false) AS sure, CASE WHEN ch >= 0 THEN 'credit' ELSE 'debit' END AS shown FROM r0),
 rc AS (SELECT account_id, seq, date, description, amount, balance, CASE WHEN sure THEN shown ELSE raw_direction END AS direction, CAST(CASE WHEN sure THEN 1.0 ELSE 0.9 END AS DOUBLE) AS direction_confidence, sure AND shown <> raw_direction AS corrected FROM r1)"""
-FEES = """f0 AS (SELECT *, lag(date) OVER w = date AND lag(direction) OVER w = 'debit' AND direction = 'debit' AND lag(description) OVER w = description AND amount < lag(amount) OVER w AND amount <= 25000 AND amount <= lag(amount) OVER w * 0.1 AS fee_row FROM led WINDOW w AS (PARTITION BY account_id ORDER BY seq)),
-f1 AS (SELECT *, coalesce(fee_row, false) AS is_fee, coalesce(lead(fee_row) OVER w, false) AS has_fee, lead(amount) OVER w AS fee_amount, lead(balance) OVER w AS later FROM f0 WINDOW w AS (PARTITION BY account_id ORDER BY seq))"""
+
+
+def folded(rows: str) -> str:
+    """CTEs of a table rows with its fee rows folded, as fd: each row in turn grows the one it belongs to, or is one itself."""
+    return f"""nm AS (SELECT account_id, seq, date, direction, description, amount, balance, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS rn FROM {rows}),
+fo AS (SELECT account_id, rn, seq, date, direction, description, amount, CAST(NULL AS DECIMAL(18,2)) AS fee, balance FROM nm WHERE rn = 1 UNION ALL
+  SELECT n.account_id, n.rn, CASE WHEN q THEN f.seq ELSE n.seq END, n.date, n.direction, CASE WHEN q THEN f.description ELSE n.description END, CAST(CASE WHEN q THEN f.amount + n.amount ELSE n.amount END AS DECIMAL(18,2)),
+    CAST(CASE WHEN q THEN coalesce(f.fee, 0) + n.amount END AS DECIMAL(18,2)), CASE WHEN q THEN coalesce(n.balance, f.balance) ELSE n.balance END
+  FROM fo f JOIN nm n ON n.account_id = f.account_id AND n.rn = f.rn + 1,
+  LATERAL (SELECT n.date = f.date AND n.direction = 'debit' AND f.direction = 'debit' AND upper(n.description) = upper(f.description) AND n.amount < f.amount AND n.amount <= 25000 AND n.amount <= f.amount * 0.1 AS q) k),
+fd AS (SELECT * EXCLUDE (rn) FROM fo QUALIFY row_number() OVER (PARTITION BY account_id, seq ORDER BY rn DESC) = 1)"""

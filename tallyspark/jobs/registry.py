@@ -73,9 +73,9 @@ def qris_meta(spark, sf_dir):
     return rows.select("account_id", "seq", *[F.col(f"qris.{c}") for c in ("nmid", "mpan", "acquirer", "name_hint", "reference")])
 
 
-@registered(f"{o.BASE} SELECT account_id, seq, kind, merchant, category, confidence, source, no_merchant_info FROM tx")
+@registered(f"{o.BASE} SELECT account_id, seq, kind, merchant, category, confidence, source, note, no_merchant_info FROM tx")
 def classified(spark, sf_dir):
-    return passed_on(spark, sf_dir).select("account_id", "seq", "kind", "merchant", "category", "confidence", "source", "no_merchant_info")
+    return passed_on(spark, sf_dir).select("account_id", "seq", "kind", "merchant", "category", "confidence", "source", "note", "no_merchant_info")
 
 
 def _headline(keys: list[str]) -> str:
@@ -173,7 +173,7 @@ def reconcile_direction(spark, sf_dir):
     return ledger.reconcile_direction(rows, ACCOUNT, direction="raw_direction").select("account_id", "seq", "direction", "direction_confidence", "corrected")
 
 
-@registered(f"""{LED}, {o.FEES} SELECT account_id, seq, description, CAST(CASE WHEN has_fee THEN amount + fee_amount ELSE amount END AS DECIMAL(18,2)) AS amount, CAST(CASE WHEN has_fee THEN fee_amount END AS DECIMAL(18,2)) AS fee, CASE WHEN has_fee THEN later ELSE balance END AS balance FROM f1 WHERE NOT is_fee""")
+@registered(f"{LED.replace('WITH', 'WITH RECURSIVE', 1)}, {o.folded('led')} SELECT account_id, seq, description, amount, fee, balance FROM fd")
 def attach_fees(spark, sf_dir):
     return ledger.attach_fees(events_ledger.ledger(spark, sf_dir), ACCOUNT).select("account_id", "seq", "description", "amount", "fee", "balance")
 
@@ -409,7 +409,39 @@ def values_read_back(spark, sf_dir):
     )
 
 
-@registered(f"""{LED} SELECT account_id, seq, concat('Rp ', replace(format('{{:,}}', CAST(round(amount) AS BIGINT)), ',', '.')) AS rupiah, concat(CAST(day(date) AS INTEGER), ' ', [{_MONTHS}][CAST(month(date) AS INTEGER)], ' ', year(date)) AS tanggal FROM led""")
+_RP = "concat('Rp', chr(160), replace(format('{{:,}}', CAST(round({}) AS BIGINT)), ',', '.'))".format
+_TENTHS = "replace(printf('%.1f', round(CAST(amount AS DOUBLE) / {}, 1)), '.', ',')".format
+_DAY = f"concat(CAST(day({{0}}) AS INTEGER), ' ', [{_MONTHS}][CAST(month({{0}}) AS INTEGER)], ' ', year({{0}}))".format
+_FULL = ", ".join(o.q(m) for m in dims.MONTHS)
+
+
+@registered(f"""{LED}, e AS (SELECT DATE '{events_ledger.FILE_ENDS}' AS e)
+SELECT account_id, seq, {_RP('amount')} AS rupiah, concat('-Rp', chr(160), translate(format('{{:,.2f}}', CAST(amount AS DOUBLE)), ',.', '.,')) AS precise, regexp_replace(translate(format('{{:,.3f}}', CAST(amount AS DOUBLE)), ',.', '.,'), ',?0+$', '') AS angka,
+CASE WHEN amount >= 1000000 THEN concat('Rp', {_TENTHS(1e6)}, ' jt') WHEN amount >= 1000 THEN concat('Rp', CAST(round(CAST(amount AS DOUBLE) / 1000) AS BIGINT), ' rb') ELSE concat('Rp', CAST(round(amount) AS BIGINT)) END AS short,
+concat(CAST(round((seq % 1000) / 1000 * 100) AS BIGINT), '%') AS persen, {_DAY('date')} AS tanggal, concat(CAST(day(date) AS INTEGER), ' ', [{_FULL}][CAST(month(date) AS INTEGER)], ' ', year(date)) AS tanggal_panjang,
+CASE WHEN date = e THEN concat(CAST(day(date) AS INTEGER), ' ', [{_FULL}][CAST(month(date) AS INTEGER)], ' ', year(date)) ELSE concat({_DAY('date')}, ' – ', {_DAY('e')}) END AS periode FROM led, e""")
 def values_written(spark, sf_dir):
-    """Amounts and dates in words of reports."""
-    return events_ledger.ledger(spark, sf_dir).select("account_id", "seq", values.rupiah(F.col("amount")).alias("rupiah"), values.tanggal(F.col("date")).alias("tanggal"))
+    """Amounts, shares and dates in words of reports."""
+    a, d = F.col("amount"), F.col("date")
+    written = {"rupiah": values.rupiah(a), "precise": values.rupiah_precise(-a), "angka": values.angka(a), "short": values.rupiah_short(a), "persen": values.persen(F.col("seq") % 1000 / F.lit(1000.0)), "tanggal": values.tanggal(d), "tanggal_panjang": values.tanggal(d, True), "periode": values.periode(d, F.lit(events_ledger.FILE_ENDS).cast("date"))}
+    return events_ledger.ledger(spark, sf_dir).select("account_id", "seq", *[c.alias(k) for k, c in written.items()])
+
+
+# The way of every statement: raw rows, directions from the balance, fees folded, classified, with ids.
+_WAY = f"{LED.replace('WITH', 'WITH RECURSIVE', 1)}, {o.RECONCILED}, {o.folded('rc')}, {o.classification('fd', 'account_id, seq, date, description, amount, fee, direction, balance')}"
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as statements give it, before its directions are corrected."""
+    return events_ledger.ledger(spark, sf_dir).drop("direction").withColumnRenamed("raw_direction", "direction")
+
+
+@registered(f"""{_WAY} SELECT account_id, seq, concat('tx-', row_number() OVER (PARTITION BY account_id ORDER BY seq) - 1, '-', date, '-', CAST(round(amount) AS BIGINT)) AS id, date, amount, fee, direction, balance, kind, merchant, category, confidence, source FROM tx""")
+def transactions(spark, sf_dir):
+    out = ledger.transactions(raw_rows(spark, sf_dir), ACCOUNT)
+    return out.select("account_id", "seq", "id", "date", "amount", "fee", "direction", "balance", "kind", "merchant", "category", "confidence", "source")
+
+
+@registered(_headline(ACCOUNT).replace(o.BASE, _WAY))
+def headline_after_folding(spark, sf_dir):
+    return metrics.headline_metrics(ledger.transactions(raw_rows(spark, sf_dir), ACCOUNT), ACCOUNT)

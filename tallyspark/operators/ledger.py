@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.values import spaced
 from tallyspark.operators import classify
 
 MONEY = "decimal(18,2)"
@@ -31,7 +32,7 @@ def attach_fees(df: DataFrame, file_keys: list[str], order: str = "seq") -> Data
     Rows that could be in one chain are an island; islands of one row, nearly all, pass untouched. Islands are as short as the
     chains of equal rows in one file."""
     w = Window.partitionBy(*file_keys).orderBy(order)
-    same = F.upper(F.trim(F.regexp_replace("description", r"\s+", " ")))
+    same = F.upper(F.trim(F.regexp_replace(spaced(F.col("description")), " +", " ")))
     df = df if "fee" in df.columns else df.withColumn("fee", F.lit(None).cast(MONEY))
     out = df.withColumn("_same", same)
     joined = (F.lag("date").over(w) == F.col("date")) & (F.lag("direction").over(w) == "debit") & (F.col("direction") == "debit") & (F.lag("_same").over(w) == F.col("_same"))

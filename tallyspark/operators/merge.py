@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.values import spaced
 from tallyspark.operators.classify import needs_enrichment
 
 ORDER = ["date", "file_idx", "seq"]
@@ -23,7 +24,7 @@ def union_statements(files: list[DataFrame], names: list[str]) -> DataFrame:
 
 def identity() -> list:
     """What makes a row the same transaction: date, direction, amount, balance and description (upper case, single spaces)."""
-    said = F.trim(F.regexp_replace(F.upper("description"), r"\s+", " "))
+    said = F.trim(F.regexp_replace(spaced(F.upper("description")), " +", " "))
     return [F.col("date"), F.col("direction"), F.col("amount"), F.coalesce(F.col("balance").cast("string"), F.lit("-")).alias("balance_key"), said.alias("said")]
 
 
