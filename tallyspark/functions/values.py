@@ -162,10 +162,13 @@ def rupiah_precise(x: Column) -> Column:
     return F.concat(F.when(x < 0, "-").otherwise(""), F.lit("Rp "), _grouped(F.round(F.abs(x), 2), 2))
 
 
+def tenths(x: Column) -> Column:
+    return F.translate(F.format_string("%.1f", x), ".", ",")
+
+
 def rupiah_short(x: Column) -> Column:
     """Rp1,2 jt and the like."""
     a = F.abs(x.cast("double"))
-    tenths = lambda v: F.translate(F.format_string("%.1f", v), ".", ",")
     text = F.when(a >= 1e9, F.concat(tenths(a / 1e9), F.lit(" M"))).when(a >= 1e6, F.concat(tenths(a / 1e6), F.lit(" jt"))).when(a >= 1e3, F.concat(F.round(a / 1e3).cast("long").cast("string"), F.lit(" rb"))).otherwise(F.round(a).cast("long").cast("string"))
     return F.concat(F.when(x < 0, "-").otherwise(""), F.lit("Rp"), text)
 

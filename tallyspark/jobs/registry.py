@@ -4,6 +4,7 @@ All of them run on the ledger that sources.events_ledger derives from the events
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -346,11 +347,6 @@ def enriched(spark, sf_dir):
     return enrich.enrich(tx(spark, sf_dir), ACCOUNT, enrich.guess, ["date", "seq"]).select("account_id", "seq", "merchant", "category", "source", "confidence")
 
 
-@registered()
-def findings(spark, sf_dir):
-    return insights.build_insights(tx(spark, sf_dir), ACCOUNT)
-
-
 @registered(f"""{o.BASE} SELECT CAST(date AS VARCHAR) AS tanggal, description AS keterangan, coalesce(merchant, '') AS merchant, label AS kategori, CASE WHEN direction = 'debit' THEN 'keluar' ELSE 'masuk' END AS arah, CAST(CAST(round(amount) AS DECIMAL(18,0)) AS VARCHAR) AS nominal,
 CAST(CAST(round(balance) AS DECIMAL(18,0)) AS VARCHAR) AS saldo, CASE source {' '.join(f'WHEN {o.q(k)} THEN {o.q(v)}' for k, v in dims.SOURCE_LABELS.items())} END AS sumber, printf('%.2f', confidence) AS keyakinan, '' AS file FROM tx JOIN cat ON category = id""")
 def export_rows(spark, sf_dir):
@@ -445,3 +441,51 @@ def transactions(spark, sf_dir):
 @registered(_headline(ACCOUNT).replace(o.BASE, _WAY))
 def headline_after_folding(spark, sf_dir):
     return metrics.headline_metrics(ledger.transactions(raw_rows(spark, sf_dir), ACCOUNT), ACCOUNT)
+
+
+def _filled(template: str, parts: dict[str, str]) -> str:
+    pieces = re.split(r"\{(\w+)\}", template)
+    return "concat(" + ", ".join(parts[x] if i % 2 else o.q(x) for i, x in enumerate(pieces) if x) + ")"
+
+
+def _finding(place: int, code: str, test: str, tone: str, which: str, **parts: str) -> str:
+    title, body = (_filled(t, parts) for t in dims.FINDINGS[which])
+    return f"SELECT account_id, {place} AS place, {o.q(code)} AS code, {tone} AS tone, {title} AS title, {body} AS body FROM w WHERE {test}"
+
+
+_PERSEN = "concat(CAST(round(({}) * 100) AS BIGINT), '%')".format
+_SAVED = {"rate": _PERSEN("savings_rate"), "net": _RP("net"), "income": _RP("income")}
+_TOP = {"emoji": "tc.emoji", "label": "tc.label", "share": _PERSEN("tc.share"), "total": _RP("tc.total"), "n": "tc.n", "average": _RP("CAST(tc.total AS DOUBLE) / tc.n")}
+_REC = {"n": "rt.n", "monthly": _RP("rt.monthly"), "merchant": "rt.m.merchant", "average": _RP("rt.m.avg_amount"), "interval": "rt.m.interval_days", "tentative": "rt.n_tentative"}
+_QRIS = {"n": "qris_count", "total": _RP("qris_total"), "share": _PERSEN("qris_count / n"), "ai": "ai_identified"}
+_FINDINGS = " UNION ALL ".join([
+    _finding(0, "cash_flow", "net < 0", "'critical'", "deficit", gap=_RP("abs(net)"), expense=_RP("expense"), income=_RP("income")),
+    _finding(0, "cash_flow", "net >= 0 AND income > 0 AND savings_rate >= 0.2", "'good'", "saving_good", **_SAVED),
+    _finding(0, "cash_flow", "net >= 0 AND income > 0 AND savings_rate < 0.2", "CASE WHEN savings_rate >= 0.1 THEN 'neutral' ELSE 'warning' END", "saving_low", **_SAVED),
+    _finding(1, "top_category", "tc.share >= 0.4", "'warning'", "top_large", **_TOP),
+    _finding(1, "top_category", "tc.share >= 0.15 AND tc.share < 0.4", "'neutral'", "top", **_TOP),
+    _finding(2, "frequent_merchant", "fm.merchant IS NOT NULL", "'neutral'", "frequent", merchant="fm.merchant", n="fm.n", average=_RP("fm.average"), total=_RP("fm.total")),
+    *[_finding(3, "recurring", f"rt.n > 0 AND rt.n_tentative {test}", "CASE WHEN rt.monthly > CAST(expense AS DOUBLE) * 0.15 THEN 'warning' ELSE 'neutral' END", which, **_REC) for test, which in (("= 0", "recurring"), ("> 0", "recurring_tentative"))],
+    _finding(4, "pace", "days >= 7", "'neutral'", "pace", daily=_RP("avg_daily_expense"), month=_RP("avg_daily_expense * 30")),
+    _finding(5, "busiest_weekday", "bw.total > 0 AND days >= 14", "'neutral'", "busiest", label="bw.label", total=_RP("bw.total"), n="bw.n", average=_RP("bw.average")),
+    _finding(6, "anomaly", "od.amount IS NOT NULL", "'warning'", "anomaly", amount=_RP("od.amount"), name="od.name", day=_DAY("od.date"), ratio="replace(printf('%.1f', round(od.ratio, 1)), '.', ',')", label="od.label"),
+    _finding(7, "qris", "qris_count > 0 AND ai_identified > 0", "'neutral'", "qris_ai", **_QRIS),
+    _finding(7, "qris", "qris_count > 0 AND ai_identified = 0", "'neutral'", "qris", **_QRIS),
+    _finding(8, "no_merchant_info", "nameless > 0", "CASE WHEN nameless / n > 0.4 THEN 'warning' ELSE 'neutral' END", "nameless", n="nameless", total=_RP("nameless_total"), share=_PERSEN("nameless / n")),
+    _finding(9, "unclear", "n > nameless AND identified_share * n / (n - nameless) < 0.75", "'warning'", "unclear", share=_PERSEN("1 - identified_share * n / (n - nameless)")),
+])
+
+
+@registered(f"""{o.BASE}, {o.RECURRING}, {o.anomalies(ACCOUNT, 'PARTITION BY t.account_id ORDER BY t.amount DESC, t.date, t.seq', 1).split("SELECT account_id, seq, date, category")[0].rstrip()},
+h AS ({_headline(ACCOUNT).replace(o.BASE, '')}),
+i AS (SELECT account_id, count(*) FILTER (kind = 'qris') AS qris_count, {o.total("kind = 'qris'")} AS qris_total, count(*) FILTER (source = 'ai') AS ai_identified, count(*) FILTER (no_merchant_info) AS nameless, {o.total("no_merchant_info")} AS nameless_total, {o.ratio(f"count(*) FILTER ({o.IDENTIFIED})", "count(*)")} AS identified_share FROM tx GROUP BY account_id),
+tc AS (SELECT * FROM ({o.by_category(ACCOUNT)}) QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY total DESC, category) = 1),
+fm AS (SELECT * FROM ({o.by_merchant(ACCOUNT)}) WHERE n >= 8 AND merchant <> {o.q(dims.UNIDENTIFIED)} QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY n DESC, total DESC, merchant) = 1),
+rt AS (SELECT account_id, count(*) AS n, sum(monthly_estimate) AS monthly, count(*) FILTER (tentative) AS n_tentative, arg_min({{'merchant': merchant, 'avg_amount': avg_amount, 'interval_days': interval_days}}, (-monthly_estimate, merchant)) AS m FROM rec GROUP BY account_id),
+bw AS (SELECT * FROM ({o.by_weekday()}) QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY total DESC, place) = 1),
+od AS (SELECT o.*, coalesce(merchant, substr(description, 1, 40)) AS name FROM o JOIN tx ON o.account_id = tx.account_id AND o.seq = tx.seq WHERE rk = 1),
+w AS (SELECT h.*, i.* EXCLUDE (account_id), tc, fm, rt, bw, od FROM h JOIN i USING (account_id) LEFT JOIN tc USING (account_id) LEFT JOIN fm USING (account_id) LEFT JOIN rt USING (account_id) LEFT JOIN bw USING (account_id) LEFT JOIN od USING (account_id)),
+f AS ({_FINDINGS})
+SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY place) - 1 AS INTEGER) AS ord, code, tone, title, body FROM f""")
+def findings(spark, sf_dir):
+    return insights.build_insights(tx(spark, sf_dir), ACCOUNT)
