@@ -39,7 +39,7 @@ def passed_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger, classified and written: what reads it more than once, or joins on what it holds, finds plain columns."""
+    """The ledger, classified and written: for what reads it more than once. What reads it once takes passed_on."""
     return shared.written(passed_on(spark, sf_dir), "transactions")
 
 
@@ -113,17 +113,17 @@ def ending_balance(spark, sf_dir):
 
 @registered(f"{o.BASE} {o.by_category(ACCOUNT)}")
 def by_category(spark, sf_dir):
-    return metrics.by_category(tx(spark, sf_dir), ACCOUNT)
+    return metrics.by_category(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{o.BASE} {o.by_category([])}")
 def by_category_whole(spark, sf_dir):
-    return metrics.by_category(tx(spark, sf_dir), [])
+    return metrics.by_category(passed_on(spark, sf_dir), [])
 
 
 @registered(f"{o.BASE} {o.by_merchant(ACCOUNT)}")
 def by_merchant(spark, sf_dir):
-    return metrics.by_merchant(tx(spark, sf_dir), ACCOUNT)
+    return metrics.by_merchant(passed_on(spark, sf_dir), ACCOUNT)
 
 
 _MONTHS = ", ".join(o.q(m[:3]) for m in dims.MONTHS)
@@ -142,17 +142,17 @@ def by_day(spark, sf_dir):
 
 @registered(f"{o.BASE} {o.by_weekday()}")
 def by_weekday(spark, sf_dir):
-    return metrics.by_weekday(tx(spark, sf_dir), ACCOUNT)
+    return metrics.by_weekday(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{o.BASE}, {o.RECURRING} SELECT * FROM rec")
 def detect_recurring(spark, sf_dir):
-    return metrics.detect_recurring(tx(spark, sf_dir), ACCOUNT)
+    return metrics.detect_recurring(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{o.BASE}, {o.RECURRING} SELECT account_id, round(sum(monthly_estimate), 2) AS monthly_total, count(*) AS n, count(*) FILTER (tentative) AS n_tentative FROM rec GROUP BY account_id")
 def recurring_total(spark, sf_dir):
-    return metrics.recurring_total(metrics.detect_recurring(tx(spark, sf_dir), ACCOUNT), ACCOUNT)
+    return metrics.recurring_total(metrics.detect_recurring(passed_on(spark, sf_dir), ACCOUNT), ACCOUNT)
 
 
 ANOMALY = ["account_id", "seq", "date", "category", "label", "amount", "ratio"]
@@ -188,7 +188,7 @@ def balance_check(spark, sf_dir):
 
 @registered(f"{o.BASE} SELECT account_id, seq, CAST(date - lag(date) OVER (PARTITION BY account_id, merchant ORDER BY date, seq) AS INTEGER) AS gap FROM tx WHERE merchant IS NOT NULL")
 def payment_gaps(spark, sf_dir):
-    return ledger.payment_gaps(tx(spark, sf_dir).filter(F.col("merchant").isNotNull()), ACCOUNT, ["date", "seq"]).select("account_id", "seq", "gap")
+    return ledger.payment_gaps(passed_on(spark, sf_dir).filter(F.col("merchant").isNotNull()), ACCOUNT, ["date", "seq"]).select("account_id", "seq", "gap")
 
 
 @registered(f"{LED}, x AS (SELECT account_id, seq, amount, CAST(row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, date, seq) AS INTEGER) AS rank FROM led WHERE direction = 'debit') SELECT * FROM x WHERE rank <= 10")
@@ -199,22 +199,22 @@ def largest_debits(spark, sf_dir):
 @registered(f"""{o.BASE}, c AS ({o.by_category(ACCOUNT)}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, category) AS rk FROM c)
 SELECT account_id, CAST(least(rk, 5) AS INTEGER) AS rank, CASE WHEN rk > 4 THEN '__other' ELSE category END AS category, {o.money('sum(total)')} AS total, CAST(sum(n) AS BIGINT) AS n, round(sum(share), 6) AS share, CASE WHEN max(rk) > 4 THEN concat(count(*), ' kategori lain') ELSE any_value(label) END AS label FROM r GROUP BY account_id, least(rk, 5), CASE WHEN rk > 4 THEN '__other' ELSE category END""")
 def top_categories(spark, sf_dir):
-    return metrics.top_categories_with_other(tx(spark, sf_dir), ACCOUNT, 4)
+    return metrics.top_categories_with_other(passed_on(spark, sf_dir), ACCOUNT, 4)
 
 
 @registered(f"{o.BASE}, m AS ({o.by_merchant(ACCOUNT)}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total DESC, merchant) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 10")
 def top_merchants(spark, sf_dir):
-    return metrics.top_merchants(tx(spark, sf_dir), ACCOUNT)
+    return metrics.top_merchants(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{o.BASE}, m AS ({o.by_merchant(ACCOUNT)}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY n DESC, total DESC, merchant) AS rk FROM m WHERE n >= 8 AND merchant <> {o.q(dims.UNIDENTIFIED)}) SELECT * EXCLUDE (rk) FROM r WHERE rk = 1")
 def most_frequent_merchant(spark, sf_dir):
-    return metrics.most_frequent_merchant(tx(spark, sf_dir), ACCOUNT)
+    return metrics.most_frequent_merchant(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{o.BASE}, d AS ({o.by_weekday()}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, place) AS rk FROM d) SELECT * EXCLUDE (rk, place) FROM r WHERE rk = 1")
 def busiest_weekday(spark, sf_dir):
-    return metrics.busiest_weekday(tx(spark, sf_dir), ACCOUNT)
+    return metrics.busiest_weekday(passed_on(spark, sf_dir), ACCOUNT)
 
 
 @registered(f"{LED} SELECT account_id, seq, date, amount FROM led ORDER BY date, account_id, seq LIMIT 50 OFFSET 100")
@@ -290,7 +290,7 @@ def statement_warnings(spark, sf_dir):
 
 @registered(f"{o.BASE} SELECT account_id, seq FROM tx JOIN cat ON category = id WHERE direction = 'debit' AND (confidence < 0.6 OR source = 'unknown') AND (contains(lower(description), 'prima') OR contains(lower(coalesce(merchant, '')), 'prima') OR contains(lower(label), 'prima'))")
 def filter_transactions(spark, sf_dir):
-    return classify.filter_transactions(tx(spark, sf_dir), direction="debit", only_unclear=True, query=" Prima ").select("account_id", "seq")
+    return classify.filter_transactions(passed_on(spark, sf_dir), direction="debit", only_unclear=True, query=" Prima ").select("account_id", "seq")
 
 
 @registered(f"{o.BASE} SELECT account_id, seq FROM tx WHERE {o.NEEDS}")
@@ -300,7 +300,7 @@ def needs_enrichment(spark, sf_dir):
 
 @registered(f"{o.BASE} SELECT account_id, category, label, category_group, emoji, count(*) AS n FROM tx JOIN cat ON category = id GROUP BY ALL")
 def with_category(spark, sf_dir):
-    return classify.with_category(tx(spark, sf_dir)).groupBy("account_id", "category", "label", "category_group", "emoji").agg(F.count("*").alias("n"))
+    return classify.with_category(passed_on(spark, sf_dir)).groupBy("account_id", "category", "label", "category_group", "emoji").agg(F.count("*").alias("n"))
 
 
 # Corrections by hand that the two queries below apply, by template of the ledger.
@@ -350,7 +350,7 @@ def enriched(spark, sf_dir):
 @registered(f"""{o.BASE} SELECT CAST(date AS VARCHAR) AS tanggal, description AS keterangan, coalesce(merchant, '') AS merchant, label AS kategori, CASE WHEN direction = 'debit' THEN 'keluar' ELSE 'masuk' END AS arah, CAST(CAST(round(amount) AS DECIMAL(18,0)) AS VARCHAR) AS nominal,
 CAST(CAST(round(balance) AS DECIMAL(18,0)) AS VARCHAR) AS saldo, CASE source {' '.join(f'WHEN {o.q(k)} THEN {o.q(v)}' for k, v in dims.SOURCE_LABELS.items())} END AS sumber, printf('%.2f', confidence) AS keyakinan, '' AS file FROM tx JOIN cat ON category = id""")
 def export_rows(spark, sf_dir):
-    return export.export_columns(tx(spark, sf_dir).withColumn("file_name", F.lit("")))
+    return export.export_columns(passed_on(spark, sf_dir).withColumn("file_name", F.lit("")))
 
 
 def _written(amount: str) -> str:

@@ -95,10 +95,11 @@ def by_day(tx: DataFrame, keys: list[str]) -> DataFrame:
 
 def by_weekday(tx: DataFrame, keys: list[str]) -> DataFrame:
     """Spending by weekday, seven rows for each key, zeros too: weekday (0: Sunday), place (0: Monday), label, total, n, average."""
-    got = tx.filter(is_spending()).groupBy(*keys, (F.dayofweek("date") - 1).alias("weekday")).agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-    some = tx.select(*keys).distinct() if keys else tx.select(F.lit(1).alias("_one")).limit(1)
-    dense = some.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(got, [*keys, "weekday"], "left")
-    out = dense.select(*keys, "weekday", F.pmod(F.col("weekday") + 6, F.lit(7)).alias("place"), F.get(F.array(*[F.lit(d) for d in dims.WEEKDAYS]), F.col("weekday")).alias("label"), money(F.col("total")).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    on = lambda i: is_spending() & (F.dayofweek("date") == i + 1)
+    sums = [x for i in range(7) for x in (total(on(i)).alias(f"_t{i}"), count_if(on(i)).alias(f"_n{i}"))]
+    week = F.array(*[F.struct(F.lit(i).alias("weekday"), F.lit((i + 6) % 7).alias("place"), F.lit(dims.WEEKDAYS[i]).alias("label"), F.coalesce(f"_t{i}", F.lit(0)).cast(MONEY).alias("total"), F.coalesce(f"_n{i}", F.lit(0)).cast("long").alias("n")) for i in range(7)])
+    # a row for each key that has any transaction; without keys none of an empty table
+    out = tx.groupBy(*keys).agg(F.count("*").alias("_rows"), *sums).filter(F.col("_rows") > 0).select(*keys, F.inline(week))
     return out.withColumn("average", ratio(F.col("total"), F.col("n")))
 
 
