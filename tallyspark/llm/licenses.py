@@ -1,14 +1,15 @@
 """Licence scans: a paragraph classifier over sparse word n-grams, in SQL expressions alone.
 
-A paragraph is a line of a text. Lines without any entry word are left out before the model sees them: words chosen so that
-what all others could add up to stays below what the model asks of a licence (`entry_words`). A multinomial logistic regression over word 1- to 3-grams, trained here on worded variants of the
-families' notices and on paragraphs sampled from the corpus, gives a probability to each family, to "unknown" (a licence,
-but none of these) and to "none" (ordinary text). A temperature fitted on variants that were held out calibrates the
-probabilities; a best family below SURE becomes unknown. A family counts as confirmed if enough of the paragraph's word
-pairs also stand in one of its notices.
-
-Training is on the driver: the variants are fixed text, the sampled paragraphs are bounded. The model is a table of at most
-VOCABULARY n-grams that goes to every task.
+A paragraph is a line of a text, or a run of consecutive lines: wrapped notices are classified as a whole too. Lines without any
+entry word are left out before the model sees them: words chosen so that what all others could add up to stays below what the
+model asks of a licence (`entry_words`). A multinomial logistic regression over word 1- to 3-grams, trained here on worded
+variants of the families' notices and on paragraphs sampled from the corpus, gives a probability to each family, to "unknown"
+(a licence, but none of these) and to "none" (ordinary text). A temperature fitted on other wordings, which the model has not
+seen, calibrates the probabilities; a best family below SURE becomes unknown. A family counts as confirmed if enough of the
+paragraph's word pairs also stand in one of its notices.
+
+Training is on the driver: the variants are fixed text, and of the sampled paragraphs, a bounded number chosen by hash, only the
+model's n-grams come there. The model is a table of at most VOCABULARY n-grams that goes to every task.
 """
 
 from __future__ import annotations
@@ -41,6 +42,24 @@ NOTICES = {
 #: Licence text of no family above, and ordinary text that holds a cue. CUES only keep lines out of the sample of ordinary text.
 UNKNOWN = ["Licensed under the terms of the vendor agreement.", "Licensed under the Example Community License, version 5.", "This work is licensed under our own terms of use.", "All rights reserved.", "Copyright 2019 the authors. All rights reserved.", "Released under a proprietary license.", "SPDX-License-Identifier: LicenseRef-custom", "Use of this file is subject to a commercial license.", "Distributed under the Open Widget License.", "Licensed for internal use only."]
 ORDINARY = ["He lost his driving license last year.", "She asked for permission to leave the room.", "The license plate was covered in mud.", "They have a warrant for the search.", "Copyright law is taught in the second term.", "The doctor's licence was renewed in spring.", "No permission was needed to enter the park.", "The warranty had run out by then.", "He was licensed to fly at the age of twenty.", "The public domain of the city is large."]
+#: Other wordings, which calibrate the probabilities and are never learnt from.
+OTHER_WORDINGS = {
+    "mit": ["Distributed under the MIT license, see the file LICENSE.", "The code is available under the terms of the MIT License."],
+    "apache-2.0": ["This software is available under the Apache License 2.0.", "Distributed under the terms of the Apache License, Version 2.0."],
+    "gpl-3.0": ["Distributed under the terms of the GNU General Public License version 3 or later.", "It is free software under the GNU GPL version 3."],
+    "gpl-2.0": ["Distributed under the terms of the GNU General Public License version 2 only.", "It is free software under the GNU GPL version 2."],
+    "lgpl": ["Distributed under the terms of the GNU Lesser General Public License.", "It is licensed under the GNU LGPL, version 2.1 or later."],
+    "agpl-3.0": ["Distributed under the terms of the GNU Affero General Public License.", "You may use it under the GNU AGPL version 3."],
+    "bsd": ["Distributed under the BSD license, see LICENSE.", "It is released under a 3-clause BSD license."],
+    "mpl-2.0": ["Distributed under the terms of the Mozilla Public License 2.0.", "The files are subject to the Mozilla Public License."],
+    "cc-by-nc-4.0": ["The text is available under the Creative Commons Attribution-NonCommercial license.", "Shared under CC BY-NC 4.0 International."],
+    "cc-by-sa-4.0": ["The text is available under the Creative Commons Attribution-ShareAlike license.", "Shared under CC BY-SA 4.0 International."],
+    "cc-by-4.0": ["The text is available under the Creative Commons Attribution 4.0 license.", "Shared under CC BY 4.0 International."],
+    "public-domain": ["This work has been released into the public domain.", "All rights waived under CC0 1.0 Universal."],
+    "isc": ["Distributed under the ISC license, see LICENSE.", "The code is available under the terms of the ISC License."],
+    "unknown": ["Licensed under the terms of the customer agreement.", "All rights are reserved by the publisher.", "Distributed under a commercial license of the vendor.", "This file is licensed under the Sample Share License."],
+    "none": ["The driver showed his licence to the officer.", "They asked for permission and were granted a day off.", "The version that he told was not the same.", "She works in a public library in the city.", "The terms of the sale were read out.", "It is distributed among all of them at once."],
+}
 OPENINGS = ("", "This file is part of the project. ", "Copyright (c) 2021 the authors. ", "Note: ", "The contents are ")
 CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "rights reserved", "warrant", "public domain", "free software", "spdx")
 WORD = r"[^a-z0-9.+]+"
@@ -76,21 +95,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(ordinary: tuple[str, ...] = ()) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Classes, n-grams, weights (n-grams by classes) and constants, divided by the fitted temperature."""
-    return _fit(tuple(ordinary))
+    """Classes, n-grams, weights (n-grams by classes) and constants, divided by the fitted temperature; ordinary: texts."""
+    return _fit(tuple(frozenset(grams_of(t)) for t in ordinary))
 
 
 @cache
-def _fit(ordinary: tuple[str, ...]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    learn, held = variants()
-    classes = [*NOTICES, "unknown", "none"]
+def vocabulary() -> list[str]:
+    """The n-grams that a model may hold: those of at least two of the texts that are learnt from, the most frequent ones."""
     seen: dict[str, int] = {}
-    for t, _ in learn:
+    for t, _ in variants()[0]:
         for g in grams_of(t):
             seen[g] = seen.get(g, 0) + 1
-    learn = learn + [(t, "none") for t in ordinary]
-    sets = [grams_of(t) for t, _ in learn]
-    grams = sorted(sorted((g for g in seen if seen[g] >= 2), key=lambda g: (-seen[g], g))[:VOCABULARY])
+    return sorted(sorted((g for g in seen if seen[g] >= 2), key=lambda g: (-seen[g], g))[:VOCABULARY])
+
+
+@cache
+def _fit(ordinary: tuple[frozenset[str], ...]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    learn, held = variants()
+    held = held + [(t, k) for k, ts in OTHER_WORDINGS.items() for t in ts for _ in range(len(held) // 40)]
+    classes = [*NOTICES, "unknown", "none"]
+    sets = [*(grams_of(t) for t, _ in learn), *ordinary]
+    learn = learn + [("", "none")] * len(ordinary)
+    grams = vocabulary()
     at = {g: i for i, g in enumerate(grams)}
 
     def matrix(some: list[set[str] | frozenset[str]]) -> np.ndarray:
@@ -142,11 +168,10 @@ def entry_words(classes: list[str], names: list[str], weights: np.ndarray, const
     return sorted(entry)
 
 
-def like_a_notice(line: str) -> bool:
-    """Whether a line shares enough word pairs with a known licence text."""
-    own = {g for g in grams_of(line, 2) if " " in g}
+def like_a_notice(own: set[str], n_pairs: int) -> bool:
+    """Whether a paragraph of so many word pairs, own among them, shares enough of them with a known licence text."""
     given = ({g for g in grams_of(t, 2) if " " in g} for ts in [*NOTICES.values(), UNKNOWN] for t in ts)
-    return any(len(own & p) >= ALIKE * max(1, min(len(own), len(p))) for p in given)
+    return any(len(own & p) >= ALIKE * max(1, min(n_pairs, len(p))) for p in given)
 
 
 def has_cue(text: Column) -> Column:
@@ -173,33 +198,55 @@ def inlined(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def sampled(docs: DataFrame, n: int = SAMPLE) -> tuple[str, ...]:
-    """At most n paragraphs without a cue and unlike the notices, those whose hash is lowest, one from a document: what ordinary
-    text looks like here."""
-    line = F.trim(F.element_at(F.split(F.substr("text", F.lit(1), F.lit(2000)), "\n"), 1))
-    some = docs.filter(F.length("text") > 0).select(F.substr(line, F.lit(1), F.lit(400)).alias("line")).filter((F.length("line") > 20) & ~has_cue(F.lower("line")))
-    return tuple(r["line"] for r in some.orderBy(F.xxhash64("line"), "line").limit(n).collect() if not like_a_notice(r["line"]))
+def sampled(docs: DataFrame, n: int = SAMPLE) -> list[frozenset[str]]:
+    """What ordinary text looks like here: for about n documents, those of the lowest hashes of text, one whole paragraph each, as
+    the model's n-grams and words in it.
+
+    The threshold comes from the number of documents, so about n short rows reach the driver, whatever the corpus. Paragraphs
+    with a cue, or like the notices, are left out."""
+    total = docs.count()
+    least = max(-(1 << 63), (1 << 64) * min(n, total) // max(total, 1) - (1 << 63) - 1)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
+    line = F.array_min(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line"))))["line"]
+    some = docs.select("text").filter(F.xxhash64("text") <= F.lit(least)).select(line.alias("line")).filter(F.col("line").isNotNull() & ~has_cue(F.lower("line")))
+    known = vocabulary()
+    known = [*known, *sorted({w for g in known for w in g.split(" ")} - {*known})]
+    table = F.array(*[F.lit(g) for g in known])
+    some = some.select(words(F.col("line")).alias("w")).select(F.array_intersect(grams(F.col("w"), 1, GRAMS), table).alias("own"), F.size(grams(F.col("w"), 2, 2)).alias("n_pairs"))
+    rows = [(frozenset(r["own"]), r["n_pairs"]) for r in some.collect()]
+    return sorted((own for own, n_pairs in rows if not like_a_notice({g for g in own if g.count(" ") == 1}, n_pairs)), key=sorted)
+
+
+FOUND = "array<struct<paragraph:int,last:int,family:string,probability:double,similarity:double,confirmed:boolean,text:string>>"
 
 
 def license_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs(doc_id, text) to one row a document: doc_id, found: array of struct(paragraph, family, probability, similarity,
+    """docs(doc_id, text) to one row a document: doc_id, found: array of struct(paragraph, last, family, probability, similarity,
     confirmed, text), the paragraphs that are licences, in order.
 
-    paragraph counts lines from 0. family may be "unknown", which nothing confirms. Null and empty texts have none; repeated
-    rows are documents of their own; null doc_ids stay; other columns are ignored; an empty table gives an empty one."""
+    paragraph and last count lines from 0. A run of consecutive lines with entry words is a paragraph of its own: if it is of a
+    family and no line in it of another one, it is reported in place of its lines, provided that two of these at least are
+    licence text or none has a family by itself. family may be "unknown", which nothing
+    confirms. Null and empty texts have none; repeated rows are documents of their own; null doc_ids stay; other columns are
+    ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     ordinary = sampled(docs, sample)
-    classes, names, weights, constants = fit(ordinary)
-    entry = F.array(*[F.lit(w) for w in entry_words(classes, names, weights, constants, ordinary)])
+    classes, names, weights, constants = _fit(tuple(ordinary))
+    entry = F.array(*[F.lit(w) for w in entry_words(classes, names, weights, constants, tuple(" ".join(g for g in own if " " not in g) for own in ordinary))])
     model = inlined(spark, [{"gram": g, "w": [round(float(x), 6) for x in w]} for g, w in zip(names, weights, strict=True)], "gram: string, w: array<double>")
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda p: F.arrays_overlap(words(p["text"]), entry))
     rows = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), lines.alias("lines")), "cues")
-    cued = rows.filter(F.size("lines") > 0).select("uid", F.explode("lines").alias("line")).select("uid", "line.*").withColumn("words", words(F.col("text")))
+    cued = rows.filter(F.size("lines") > 0).select("uid", F.posexplode("lines").alias("i", "line")).select("uid", "line.*", (F.col("line.paragraph") - F.col("i")).alias("run"))
+    cued = cued.withColumn("last", F.col("paragraph"))
+    runs = cued.groupBy("uid", "run").agg(F.min("paragraph").alias("paragraph"), F.max("paragraph").alias("last"), F.sort_array(F.collect_list(F.struct("paragraph", "text"))).alias("parts")).filter(F.col("last") > F.col("paragraph"))
+    runs = runs.withColumn("text", F.array_join(F.transform("parts", lambda x: x["text"]), "\n")).drop("parts")
+    cued = stored(cued.unionByName(runs).withColumn("words", words(F.col("text"))), "paragraphs")
     # scores: a row for each n-gram that the model knows; the constants are there even without any
-    hits = cued.select("uid", "paragraph", F.explode(grams(F.col("words"), 1, GRAMS)).alias("gram")).join(F.broadcast(model), "gram")
-    sums = hits.groupBy("uid", "paragraph").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(classes))])
-    scored = cued.join(sums, ["uid", "paragraph"], "left")
+    hits = cued.select("uid", "paragraph", "last", F.explode(grams(F.col("words"), 1, GRAMS)).alias("gram")).join(F.broadcast(model), "gram")
+    sums = hits.groupBy("uid", "paragraph", "last").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(classes))])
+    scored = cued.join(sums, ["uid", "paragraph", "last"], "left")
     logits = F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + float(constants[i]) for i in range(len(classes))])
     scored = scored.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     scored = scored.withColumn("e", F.transform("logits", lambda x: F.exp(x - F.col("top")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
@@ -212,10 +259,14 @@ def license_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     shared = lambda p: F.size(F.array_intersect("own", p)) / F.greatest(F.lit(1), F.least(F.size("own"), F.size(p)))
     alike = F.coalesce(F.array_max(F.transform("pairs", shared)), F.lit(0.0))
     scored = scored.withColumn("similarity", F.round(alike, 6)).withColumn("probability", F.round("probability", 6))
-    row = F.struct("paragraph", "family", "probability", "similarity", (F.col("similarity") >= ALIKE).alias("confirmed"), "text")
-    found = scored.groupBy("uid").agg(F.sort_array(F.collect_list(row)).alias("found"))
-    empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean,text:string>>")
-    return rows.join(found, "uid", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
+    # of a run and its lines: the run if it has a family that none of its lines contradicts, and two lines at least, or none with a family
+    sure = F.when(F.col("family") != "unknown", F.col("family"))
+    row = F.struct("paragraph", "last", "family", "probability", "similarity", (F.col("similarity") >= ALIKE).alias("confirmed"), "text")
+    whole = F.col("last") > F.col("paragraph")
+    each = scored.groupBy("uid", "run").agg(F.max(F.when(whole, sure)).alias("of_run"), F.collect_set(F.when(~whole, sure)).alias("of_lines"), F.collect_list(F.when(whole, row)).alias("in_one"), F.collect_list(F.when(~whole, row)).alias("line_by_line"))
+    one = F.col("of_run").isNotNull() & (F.size(F.array_except("of_lines", F.array("of_run"))) == 0) & ((F.size("line_by_line") > 1) | (F.size("of_lines") == 0))
+    found = each.groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list(F.when(one, F.col("in_one")).otherwise(F.col("line_by_line"))))).alias("found"))
+    return rows.join(found, "uid", "left").select("doc_id", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,5 +275,5 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda test: F.size(F.filter("found", test)).cast("long")
     confirmed = F.filter("found", lambda p: p["confirmed"])
     families = F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda p: p["family"]))), ",")
-    spans = F.array_join(F.transform("found", lambda p: F.concat_ws(":", p["paragraph"].cast("string"), p["family"], p["probability"].cast("string"), p["confirmed"].cast("string"))), ",")
+    spans = F.array_join(F.transform("found", lambda p: F.concat_ws(":", p["paragraph"].cast("string"), p["last"].cast("string"), p["family"], p["probability"].cast("string"), p["confirmed"].cast("string"))), ",")
     return found.select("doc_id", F.size("found").cast("long").alias("n_license"), count(lambda p: p["confirmed"]).alias("n_confirmed"), count(lambda p: p["family"] == "unknown").alias("n_unknown"), families.alias("families"), spans.alias("paragraphs"))

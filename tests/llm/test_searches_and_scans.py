@@ -79,6 +79,56 @@ def test_held_out_licence_variants():
     assert right / len(held) >= 0.9
 
 
+def test_wrapped_notices_are_one_paragraph(spark, documents):
+    plain = "the river runs under the old stone bridge at night"
+    wrapped = ["Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated documentation", "files (the \"Software\"), to deal in the Software without restriction"]
+    two = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    rows = [(1, "\n".join([plain, *wrapped, plain])), (2, "\n".join([*two, plain])), (3, plain), (None, two[0]), (4, two[1]), (4, two[1])] + [(100 + i, f"{plain} {i}") for i in range(30)]
+    out = sorted((r["doc_id"] or 0, [(f["paragraph"], f["last"], f["family"], f["confirmed"]) for f in r["found"]]) for r in licenses.license_paragraphs(documents(rows)).collect())
+    assert [f for _, f in out[:6]] == [[(0, 0, "mit", True)], [(1, 3, "mit", True)], [(0, 0, "mit", True), (1, 1, "apache-2.0", True)], [], [(0, 0, "apache-2.0", True)], [(0, 0, "apache-2.0", True)]]
+    assert not any(f for _, f in out[6:])
+
+
+def test_licence_scores_against_brute_force(spark, documents):
+    rng = random.Random(12)
+    plain = lambda: " ".join(rng.choice("the river runs under old stone bridge at night of this with terms file".split()) for _ in range(12))
+    texts = [t for ts in [*licenses.NOTICES.values(), licenses.UNKNOWN, licenses.ORDINARY] for t in ts]
+    rows = [(i, "\n".join([plain(), rng.choice(texts).lower() if i % 2 else rng.choice(texts), plain()])) for i in range(150)] + [(500, None), (501, "")]
+    docs = documents(rows)
+    classes, names, weights, constants = licenses._fit(tuple(licenses.sampled(docs)))
+    at = {g: i for i, g in enumerate(names)}
+
+    def scored(text):
+        x = constants + sum((weights[at[g]] for g in licenses.grams_of(text) if g in at), np.zeros(len(classes)))
+        e = np.exp(x - x.max())
+        return classes[int(x.argmax())], float(1 / e.sum())
+
+    want = {}
+    for i, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            best, p = scored(line)
+            if best != "none":
+                want[i, k] = (best if p >= licenses.SURE else "unknown", round(p, 3))
+    got = {(r["doc_id"], f["paragraph"]): (f["family"], round(f["probability"], 3)) for r in licenses.license_paragraphs(docs).collect() for f in r["found"] if f["paragraph"] == f["last"]}
+    assert len(got) > 100 and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 0.002 for k in got)
+    assert len(set(want) - set(got)) <= 0.1 * len(want)  # lines that their run took in
+
+
+def test_other_wordings():
+    """Wordings that neither the variants nor the calibration hold."""
+    classes, names, weights, constants = licenses.fit(tuple(f"plain words of a text {i}" for i in range(200)))
+    at = {g: i for i, g in enumerate(names)}
+    given = {
+        "mit": "This library uses the MIT license.", "apache-2.0": "Source code is under the Apache License 2.0", "gpl-3.0": "Licensed under GNU General Public License v3, version 3.", "cc-by-nc-4.0": "All texts here are under CC BY-NC 4.0",
+        "mpl-2.0": "Mozilla Public License 2.0 applies to these files", "none": "A stone lay by the river under the bridge", "bsd": "This is published under the BSD 3-Clause license",
+    }
+    right = 0
+    for k, text in given.items():
+        x = constants + sum((weights[at[g]] for g in licenses.grams_of(text) if g in at), np.zeros(len(classes)))
+        right += classes[int(x.argmax())] == k
+    assert right >= 6
+
+
 def test_quality_on_held_out_rows(spark, documents):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
