@@ -489,3 +489,84 @@ f AS ({_FINDINGS})
 SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY place) - 1 AS INTEGER) AS ord, code, tone, title, body FROM f""")
 def findings(spark, sf_dir):
     return insights.build_insights(tx(spark, sf_dir), ACCOUNT)
+
+
+# Five kinds of statement files, by account_id % 5. Delimiter, first lines, headings, date form, bank.
+KINDS = [
+    (";", "Rekening Koran Bank Mandiri\nPeriode : 01/01/2024 s/d 31/12/2024\n", "Tanggal;Keterangan;Debit;Kredit;Saldo", "dd/MM/yyyy", "mandiri"),
+    ("\t", "Bank Central Asia\tKlikBCA", "Tanggal\tKeterangan\tNominal\tTipe\tSaldo", "dd-MM-yyyy", "bca"),
+    ("|", "Bank Mandiri | Livin'\nPeriode 01/01/2024 - 31/12/2024", "Tanggal|Uraian|Jumlah|Saldo", "yyyy/MM/dd", "mandiri"),
+    (",", "Bank Central Asia KlikBCA", "Date,Description,Remark,Debit,Credit,Balance", "yyyy-MM-dd", "bca"),
+    (";", "Bank Negara Indonesia BNI Mobile\nPeriode 01/01/2024 - 31/12/2024", None, "dd/MM", "bni"),
+]
+#: The second line of every tenth row without headings, and the remark of every third row of the files that have one.
+GOES_ON, REMARK = "LANJUTAN BARIS", "CATATAN SAYA"
+
+
+def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as text files of five kinds, one for each account, written and read back: account_id, line_no, text."""
+    rows = events_ledger.ledger(spark, sf_dir)
+    paid, got = (F.when(F.col("direction") == d, F.col("amount")) for d in ("debit", "credit"))
+    local = lambda c: F.coalesce(F.translate(F.format_number(c, 2), ",.", ".,"), F.lit(""))
+    english = lambda c: F.coalesce(F.concat(F.lit('"'), F.format_number(c, 2), F.lit('"')), F.lit(""))
+    said, bare, balance = F.col("description"), F.regexp_replace("description", r"\b(DB|CR|D|K)\b", ""), F.col("balance")
+    fields = [
+        [said, local(paid), local(got), local(balance)],
+        [said, F.concat(F.lit("Rp\u00a0"), local(F.col("amount"))), F.when(F.col("direction") == "debit", "DB").otherwise("CR"), local(balance)],
+        [said, F.concat(F.when(F.col("direction") == "debit", "-").otherwise(""), local(F.col("amount"))), local(balance)],
+        [said, F.when(F.col("seq") % 3 == 0, REMARK).otherwise(""), english(paid), english(got), english(balance)],
+        [bare, F.concat(F.lit("Rp"), local(F.col("amount"))), F.when(F.col("direction") == "debit", "DB").otherwise("CR"), local(balance)],
+    ]
+    kind, line = F.pmod("account_id", F.lit(5)), F.lit(None).cast("string")
+    first = F.lit(None).cast("string")
+    for i, ((d, head, names, form, _), cells) in enumerate(zip(KINDS, fields, strict=True)):
+        text = F.concat_ws(d, F.date_format("date", form), *cells)
+        text = F.when(F.col("seq") % 10 == 0, F.concat(text, F.lit(f"\n{GOES_ON}"))).otherwise(text) if names is None else text
+        line, first = F.when(kind == i, text).otherwise(line), F.when(kind == i, head + (f"\n{names}" if names else "") + ("\nrusak;tanpa tanggal;;;" if i == 0 else ""))  .otherwise(first)
+    body = rows.select("account_id", F.col("seq").alias("at"), line.alias("value"))
+    heads = rows.select("account_id").distinct().select("account_id", F.lit(-1).cast("long"), first)
+    path = shared.folder(spark, "statements")
+    body.union(heads).repartition("account_id").sortWithinPartitions("account_id", "at").select("account_id", "value").write.partitionBy("account_id").text(path)
+    lines = statements.read_statement_text(spark, [path])
+    return lines.select(F.regexp_extract("path", r"account_id=(\d+)/", 1).cast("long").alias("account_id"), F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+_CASE = lambda *parts: "CASE account_id % 5 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(parts)) + " END"
+_BARE = r"trim(regexp_replace(regexp_replace(description, '\b(DB|CR|D|K)\b', '', 'g'), '\s{2,}', ' ', 'g'))"
+_READ = f"""rd AS (SELECT account_id, seq, date, {_CASE('description', 'description', 'description', f"CASE WHEN seq % 3 = 0 THEN concat({o.q(REMARK)}, ' · ', description) ELSE description END", f"CASE WHEN seq % 10 = 0 THEN concat({_BARE}, ' ', {o.q(GOES_ON)}) ELSE {_BARE} END")} AS description,
+amount, CASE WHEN account_id % 5 = 2 THEN 'debit' ELSE direction END AS direction, balance, CAST({_CASE('0.9', '0.9', "CASE WHEN direction = 'debit' THEN 0.6 ELSE 0.4 END", '0.9', '0.95')} AS DOUBLE) AS direction_confidence FROM led)"""
+
+
+@registered(f"{LED}, {_READ} SELECT * EXCLUDE (seq) FROM rd")
+def read_records(spark, sf_dir):
+    """What the files of five kinds say, read by their headings or line by line."""
+    return statements.read_records(statement_texts(spark, sf_dir), ACCOUNT).filter(~F.col("skipped")).drop("seq", "skipped")
+
+
+@registered(f"""{LED}, f AS (SELECT account_id, count(*) AS n_rows, min(date) AS a, max(date) AS b FROM led GROUP BY account_id)
+SELECT account_id, {_CASE(*[o.q(k[4]) for k in KINDS])} AS bank, {_CASE(*["';'", 'chr(9)', "'|'", "','", "';'"])} AS delimiter, n_rows,
+CASE WHEN account_id % 5 IN (0, 2, 4) THEN '2024-01-01' ELSE CAST(a AS VARCHAR) END AS period_start, CASE WHEN account_id % 5 IN (0, 2, 4) THEN '2024-12-31' ELSE CAST(b AS VARCHAR) END AS period_end FROM f""")
+def read_files(spark, sf_dir):
+    lines = shared.written(statement_texts(spark, sf_dir), "lines")
+    files = statements.with_periods(statements.statement_files(lines, ACCOUNT), statements.read_records(lines, ACCOUNT), ACCOUNT)
+    return files.join(statements.detect_delimiter(lines, ACCOUNT), ACCOUNT).select("account_id", "bank", "delimiter", "n_rows", "period_start", "period_end")
+
+
+_FIXED = "fx AS (SELECT *, coalesce(lag(balance) OVER w IS NOT NULL, false) AS known, CASE WHEN balance - lag(balance) OVER w >= 0 THEN 'credit' ELSE 'debit' END AS shown FROM rd WINDOW w AS (PARTITION BY account_id ORDER BY seq)), fy AS (SELECT * EXCLUDE (direction), CASE WHEN known THEN shown ELSE direction END AS direction, known AND shown <> direction AS corrected FROM fx)"
+
+
+@registered(f"""{LED.replace('WITH', 'WITH RECURSIVE', 1)}, {_READ}, {_FIXED}, {o.folded('fy')},
+ow AS (SELECT DISTINCT account_id // 5 AS owner, {_CASE(*[o.q(k[4]) for k in KINDS])} AS bank FROM led)
+SELECT account_id // 5 AS owner, account_id, 'info' AS level, 'direction_corrected' AS code, count(*) AS n FROM fy WHERE corrected GROUP BY ALL
+UNION ALL SELECT account_id // 5, account_id, 'info', 'rows_skipped', 1 FROM (SELECT DISTINCT account_id FROM led) WHERE account_id % 5 = 0
+UNION ALL SELECT a.account_id // 5, a.account_id, 'info', 'fees_merged', a.n - b.n FROM (SELECT account_id, count(*) AS n FROM fy GROUP BY 1) a JOIN (SELECT account_id, count(*) AS n FROM fd GROUP BY 1) b ON a.account_id = b.account_id WHERE a.n > b.n
+UNION ALL SELECT owner, NULL, 'warn', 'mixed_banks', count(*) FROM ow GROUP BY owner HAVING count(*) > 1""")
+def read_warnings(spark, sf_dir):
+    """What reading and merging the files did; an owner has the files of five accounts."""
+    lines = shared.written(statement_texts(spark, sf_dir), "lines")
+    records = shared.written(statements.read_records(lines, ACCOUNT), "records")
+    corrected = ledger.reconcile_direction(records.filter(~F.col("skipped")), ACCOUNT)
+    files = statements.statement_files(lines, ACCOUNT)
+    owner = F.expr("account_id div 5").alias("owner")
+    own = merge.file_warnings(files, records, corrected, ledger.attach_fees(corrected, ACCOUNT), ACCOUNT).select(owner, "account_id", "level", "code", "n")
+    return own.unionByName(merge.mixed_banks(files.withColumn("owner", owner), ["owner"]), allowMissingColumns=True)

@@ -76,6 +76,27 @@ def statement_warnings(summary: DataFrame, overlaps: DataFrame, corrected: DataF
     return of(fixed, "info", "direction_corrected", F.col("n")).union(of(summary, "info", "duplicates_removed", F.col("duplicates_removed"))).union(of(crossed, "info", "files_overlap", F.col("n")))
 
 
+def file_warnings(files: DataFrame, records: DataFrame, corrected: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, level, code, n) of what reading each file did: directions corrected, rows skipped (no date or amount), fee
+    rows merged into their payments, and files without any row. records have the flag skipped; corrected and folded are the
+    records after reconcile_direction and after attach_fees."""
+    count = lambda df, x: df.groupBy(*keys).agg(x.cast("long").alias("_n"))
+    kept = count(records.filter(~F.col("skipped")), F.count("*"))
+    merged = kept.join(count(folded, F.count("*")).withColumnRenamed("_n", "_m"), keys).withColumn("_n", F.col("_n") - F.col("_m"))
+    found = [
+        ("info", "direction_corrected", count(corrected, F.sum(F.col("corrected").cast("long")))),
+        ("info", "rows_skipped", count(records, F.sum(F.col("skipped").cast("long")))),
+        ("info", "fees_merged", merged),
+        ("warn", "no_rows", files.join(kept, keys, "left_anti").withColumn("_n", F.lit(1).cast("long"))),
+    ]
+    return reduce(DataFrame.union, [df.filter(F.col("_n") > 0).select(*keys, F.lit(level).alias("level"), F.lit(code).alias("code"), F.col("_n").alias("n")) for level, code, df in found])
+
+
+def mixed_banks(files: DataFrame, keys: list[str]) -> DataFrame:
+    """A warning (keys, level, code, n) where the files that are merged come from several banks: how many."""
+    return bank_label(files, keys).filter(F.size("banks") > 1).select(*keys, F.lit("warn").alias("level"), F.lit("mixed_banks").alias("code"), F.size("banks").cast("long").alias("n"))
+
+
 def chronological(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with its place in the account's order of date, file and row."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)))

@@ -5,14 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a temporary folder
+    serves if all run on one machine, and nothing else does: executors elsewhere would each write to their own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder that driver and executors share (spark.checkpoint.dir; where it is unset, as in tests, a
-    temporary one), read back: computed once, and safe against the loss of executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as Parquet in a shared folder, read back: computed once, and safe against the loss of executors."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,17 +14,27 @@ from tallyspark.functions import dims, text, values
 #: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns.
 DELIMITERS = [";", "\t", "|", ","]
 DELIMITER_LINES, HEADER_LINES, COLUMN_LINES = 25, 30, 120
-#: Characters of a file that its period is looked for in.
-PERIOD_CHARACTERS = 4000
+#: Characters of a file that its period and its bank are looked for in; what the cells of a line without columns are apart.
+PERIOD_CHARACTERS, BANK_CHARACTERS, APART = 4000, 6000, 100
 #: How far the rightmost amount may be from the balance column, and how much nearer to one column than to the other counts.
 NEAR_BALANCE, NEARER = 90, 20
 FIELDS = [f for f, _ in dims.FIELD_NAMES]
 
 
 def read_statement_text(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Text files as lines: file_name, line_no, text; a byte-order mark goes, empty files have no line."""
-    whole = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return whole.filter(F.length("value") > 0).select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+    """Text files as lines: path, file_name, line_no, text; a byte-order mark goes, empty files have no line.
+
+    A file is one string on the way, as its lines need their places: files stay below 2 GB, as a person's statements do."""
+    path = F.col("_metadata.file_path")
+    whole = spark.read.text(paths, wholetext=True).select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return whole.filter(F.length("value") > 0).select("path", "file_name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+
+
+def head_text(lines: DataFrame, keys: list[str], characters: int) -> DataFrame:
+    """(keys, head): the lines of each file that hold its first characters, joined."""
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    some = lines.select(*keys, "line_no", "text", F.coalesce(before, F.lit(0)).alias("_before")).filter(F.col("_before") < characters)
+    return some.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("head"))
 
 
 def first_lines(lines: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -163,11 +173,9 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
 
     A line that begins with a date and holds an amount is a record; one without date and amount, but with a word, continues the
     description of the record before it."""
-    # the lines that hold the first 4000 characters, which find_period searches
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    head = lines.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < PERIOD_CHARACTERS).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_head"))
+    head = head_text(lines, keys, PERIOD_CHARACTERS)
     rows = lines.filter(F.trim("text") != "").filter(~text.is_statement_noise(F.col("text"), bank))
-    rows = rows.join(detect_columns(lines, keys), keys, "left").join(head.select(*keys, values.find_period(F.col("_head")).alias("period")), keys, "left")
+    rows = rows.join(detect_columns(lines, keys), keys, "left").join(head.select(*keys, values.find_period(F.col("head")).alias("period")), keys, "left")
     rows = rows.withColumns({"_found": values.find_leading_date(F.col("text")), "_cells": numeric_cells(F.col("text"), F.col("cells"))})
     size = F.size("_cells")
     at_balance = (size >= 2) & (F.col("balance_x").isNull() | (F.abs(F.element_at("_cells", -1)["x"] - F.col("balance_x")) < NEAR_BALANCE))
@@ -189,8 +197,32 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
     return out.select(*keys, "_record.*", cleaned(F.array_join(F.transform("_texts", lambda x: x["_said"]), " ")).alias("description"))
 
 
+def lines_without_headings(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of delimited files that name no columns, as parse_statement_lines takes them: cells one beside the other."""
+    rows = lines.filter(F.trim("text") != "").join(detect_delimiter(lines, keys), keys).withColumn("_c", cells_of(F.col("text"), F.col("delimiter"), widest(lines)))
+    rows = rows.withColumn("cells", F.col("_c")).join(find_header_row(rows.withColumn("cells", F.col("_c")), keys).select(*keys), keys, "left_anti")
+    said = F.trim(F.regexp_replace(values.spaced(F.array_join("_c", " ")), " +", " "))
+    return rows.select(*keys, "line_no", said.alias("text"), F.transform("_c", lambda c, i: F.struct(c.alias("str"), (i * APART).cast("double").alias("x"))).alias("cells"))
+
+
+def read_records(lines: DataFrame, keys: list[str], default_year: int = 2026) -> DataFrame:
+    """Records of text files of any kind: by their headings, and line by line where there are none; the bank's own noise goes."""
+    plain = lines_without_headings(lines, keys)
+    banks = statement_files(lines, keys).select(*keys, F.col("bank").alias("_bank"))
+    plain = plain.join(banks, keys, "left")
+    read = parse_statement_lines(plain, keys, F.col("_bank"), default_year).withColumn("skipped", F.lit(False))
+    return csv_records(lines, keys, default_year).unionByName(read)
+
+
 def statement_files(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bank, bank_label, bank_confidence, period_start, period_end) by the first lines of each file."""
-    head = first_lines(lines, keys, COLUMN_LINES).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_head"))
-    out = head.withColumns({"_bank": text.detect_bank(F.col("_head")), "_period": values.find_period(F.col("_head"))})
+    """(keys, bank, bank_label, bank_confidence, period_start, period_end) by the first characters of each file."""
+    head = head_text(lines, keys, BANK_CHARACTERS)
+    out = head.withColumns({"_bank": text.detect_bank(F.col("head")), "_period": values.find_period(F.col("head"))})
     return out.select(*keys, F.col("_bank.bank").alias("bank"), F.col("_bank.label").alias("bank_label"), F.col("_bank.confidence").alias("bank_confidence"), F.col("_period.start").alias("period_start"), F.col("_period.end").alias("period_end"))
+
+
+def with_periods(files: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """files with the number of their records, and the days of the first and the last one where they name no period."""
+    found = records.filter(~F.col("skipped")).groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min("date").cast("string").alias("_first"), F.max("date").cast("string").alias("_last"))
+    out = files.join(found, keys, "left")
+    return out.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)), "period_start": F.coalesce("period_start", "_first"), "period_end": F.coalesce("period_end", "_last")}).drop("_first", "_last")
