@@ -1,10 +1,12 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 Documents of the same set are one class, found by a digest of the set before anything else; the forest holds one member of
-each class. A signature is a ring of minima; tree t sorts the members by the ring read from its own place on, and members
-that agree on the first DEPTH minima there are in one region: candidates of each other by their longest common prefix.
+each class. A signature is a ring of minima; tree t sorts the members, across the cluster by range partitions, by the ring
+read from its own place on, and each member is compared with its neighbour in that order by their longest common prefix.
+A run of neighbours that share DEPTH minima is a region: candidates of each other. Where it is sparse, neighbours that share
+no more than LEAST minima are candidates too, pair by pair.
 
-Candidates form clusters (components of "in one region"). A cluster of at most SMALL members is settled in one place: every
+Regions form clusters (components of "in one region"). A cluster of at most SMALL members is settled in one place: every
 pair that is not yet connected is compared on full sets, so no link is lost there. In a larger cluster the regions are cut
 deeper as far as they are dense, each to the depth that leaves it at most REGION members, and a region is settled in one
 place, all its pairs at once. The trees come in turns: a turn skips the regions whose members confirmed links connect already.
@@ -28,8 +30,9 @@ from tallyspark.llm.common import stored, table
 from tallyspark.llm.graphs import components
 from tallyspark.llm.shingles import WORDS, shingle_sets
 
-#: Trees, minima by which one tree's place on the ring differs from the next one's, least and greatest depth of a region.
-TREES, STRIDE, DEPTH, DEEPEST = 16, 5, 5, 8
+#: Trees, minima by which one tree's place on the ring differs from the next one's, minima of neighbours in sparse parts, least
+#: and greatest depth of a region; rows that a range of the sorted orders has.
+TREES, STRIDE, LEAST, DEPTH, DEEPEST, RANGE = 16, 5, 3, 5, 8, 1 << 20
 #: Members of a cluster that is settled in one place, members of a region that is settled in one place, trees in each turn.
 SMALL, REGION, TURNS = 64, 1024, ((0, 1), (2, 5), (6, 15))
 #: Shingles that the intersections of a region are counted over at once.
@@ -163,6 +166,49 @@ def _rings(classes: DataFrame, columns: list[str]) -> DataFrame:
     return trees.select(*columns, "tree", ring.alias("ring"))
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tree, ring, rep) in order to (a, b, shared): each rep b with the one before it in its tree, where they share LEAST minima
+    or more. The first and the last row of the task come with a null in place of a, and with the tree and prefix that they
+    are in: a region may go on in the next task."""
+    names = ["a", "b", "shared", "edge"]
+    before: tuple[bytes, np.ndarray, int] | None = None
+    first = True
+
+    def edge(row: tuple[bytes, np.ndarray, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([row[2]]), pa.array([0], pa.int32()), pa.array([row[0] + row[1][:DEPTH].tobytes()])], names)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
+        tree, ring, rep = key[:, 0], key[:, 1:].copy().view(">u4"), batch.column(1).to_numpy()
+        rows = lambda i: (tree[i].tobytes(), ring[i].copy(), int(rep[i]))  # noqa: E731, B023
+        if first:
+            yield edge(rows(0))
+        first = False
+        old = before if before is not None else rows(0)
+        a = np.r_[old[2], rep[:-1]]
+        same = np.r_[before is not None and old[0] == tree[:1].tobytes(), tree[1:] == tree[:-1]]
+        equal = np.concatenate([(ring[:1] == old[1]), ring[1:] == ring[:-1]])
+        shared = np.where(same, np.logical_and.accumulate(equal, 1).sum(1), 0).astype(np.int32)
+        near = np.flatnonzero(shared >= LEAST)
+        yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(rep[near]), pa.array(shared[near]), pa.nulls(len(near), pa.binary())], names)
+        before = rows(-1)
+    if before is not None:
+        yield edge(before)
+
+
+def _sorted_orders(classes: DataFrame) -> DataFrame:
+    """a, b, shared: neighbours in the trees' orders and the minima that they share; and those that the cuts between tasks part."""
+    rows = _rings(classes, ["rep"]).select(F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), "ring").alias("key"), "rep")
+    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count() * TREES // RANGE)
+    ranged = stored(rows, "rings").repartitionByRange(n, "key").sortWithinPartitions("key", "rep")
+    found = stored(ranged.mapInArrow(_neighbours, "a long, b long, shared int, edge binary"), "neighbours")
+    edges = found.filter(F.col("edge").isNotNull())  # two rows a task
+    ties = edges.groupBy("edge").agg(F.min("b").alias("a")).join(edges.select("edge", "b"), "edge").filter(F.col("a") < F.col("b"))
+    return found.filter(F.col("edge").isNull()).select("a", "b", "shared").union(ties.select("a", "b", F.lit(DEPTH).alias("shared")))
+
+
 def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links within clusters of more than SMALL members(id, cluster)."""
     if members.limit(1).count() == 0:
@@ -230,16 +276,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = stored(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
     real = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "classes")
-    rows = stored(_rings(classes, ["rep"]).select("rep", F.xxhash64("tree", F.substring("ring", 1, DEPTH * 4)).alias("region")), "trees")
-    regions = rows.groupBy("region").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-    clusters = components(rows.join(regions, "region").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    near = stored(_sorted_orders(classes), "near")
+    clusters = components(near.filter(F.col("shared") >= DEPTH).select("a", "b"))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     members = stored(clusters.join(sizes, "component").select("id", F.col("component").alias("cluster"), "n"), "members")
-    wanted = texts.join(members.select("id"), texts["doc_id"] == members["id"], "left_semi")
+    of = members.select("id", "cluster")
+    sparse = near.filter(F.col("shared") < DEPTH).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sparse = sparse.join(of.withColumnsRenamed({"id": "a", "cluster": "ca"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "cluster": "cb"}), "b", "left")
+    sparse = stored(sparse.filter(F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))).select("a", "b"), "sparse")
+    some = members.select("id").union(sparse.select("a")).union(sparse.select("b")).distinct()
+    wanted = texts.join(some, texts["doc_id"] == some["id"], "left_semi")
     sets = stored(wanted.mapInArrow(_sets, "id long, shingles binary"), "sets")
     small = members.filter(F.col("n") <= SMALL).join(sets, "id").select("cluster", "id", "shingles")
     links = small.groupBy("cluster").applyInPandas(_settle(percent), "a long, b long")
     large = _large_clusters(members.filter(F.col("n") > SMALL).select("id"), classes, sets, percent)
+    links = links.union(_confirmed(sparse, sets, percent))
     links = stored(links if large is None else links.union(large), "links")
     found = components(links)
     named = classes.join(found, classes["rep"] == found["id"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))

@@ -79,6 +79,43 @@ def test_dense_regions_against_brute_force(spark, documents, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in out} == reachable(ids, links)
 
 
+def test_pairs_near_the_threshold_are_found(spark, documents):
+    """Recall around many different texts: pairs that share 80 to 86 % of their shingles, at 80."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20000)]
+    rows, want = [], 0
+    for c in range(300):
+        one = [rng.choice(words) for _ in range(150)]
+        two = list(one)
+        for k in rng.sample(range(10, 140), 2 + c % 2):
+            two[k] = rng.choice(words)
+        rows += [(2 * c, " ".join(one)), (2 * c + 1, " ".join(two))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        want += 100 * len(a & b) >= 80 * len(a | b)
+    out = minhash.near_duplicates(documents(rows), 80).collect()
+    found = sum(not r["kept"] for r in out)
+    assert want >= 250 and want * 0.995 <= found <= want
+
+
+def test_neighbours_in_sorted_orders():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rings = rng.integers(0, 3, (200, minhash.DEEPEST)).astype(">u4")
+    rows = sorted((bytes([t]) + r.tobytes(), i) for t in (0, 1) for i, r in enumerate(rings))
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[a : a + 37]]), pa.array([i for _, i in rows[a : a + 37]])], ["key", "rep"]) for a in range(0, len(rows), 37)]
+    out = [r for b in minhash._neighbours(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for (x, i), (y, j) in zip(rows, rows[1:]):
+        shared = 0
+        while x[0] == y[0] and shared < minhash.DEEPEST and x[1 + 4 * shared : 5 + 4 * shared] == y[1 + 4 * shared : 5 + 4 * shared]:
+            shared += 1
+        if shared >= minhash.LEAST:
+            want.append((i, j, shared))
+    assert [(r["a"], r["b"], r["shared"]) for r in out if r["edge"] is None] == want
+    assert [(r["b"], r["edge"][0]) for r in out if r["edge"] is not None] == [(rows[0][1], 0), (rows[-1][1], 1)]
+
+
 def test_near_duplicates_edges(spark, documents, edge_rows):
     out = minhash.near_duplicates(documents(edge_rows)).collect()
     assert len(out) == len(edge_rows) and all(r["kept"] == (r["doc_id"] != 5) for r in out)
@@ -119,16 +156,16 @@ def test_orders_of_suffixes():
     rng = np.random.default_rng(1)
     slices = [bytes(rng.integers(97, 97 + k, n).astype(np.uint8)) for k in (1, 2, 20) for n in (50, 51, 52, 77, 80) for _ in range(4)]
     chunk = suffixes.Chunk(np.array([len(s) for s in slices], np.int64).tobytes(), b"".join(slices))
-    names = chunk.names(np.arange(1, len(chunk.first) + 1))
     data = b"".join(slices)
+    assert [tuple(x) for x in zip(*chunk.triples)] == sorted({tuple(int.from_bytes(data[i + a : i + b], "big") for a, b in ((0, 7), (7, 14), (14, 20))) for i in chunk.sample})
+    names = np.arange(len(chunk.first)) * 3 + 1
     for residues in suffixes.ORDERS:
-        which, key = chunk.keys(names, residues)
+        which, first, keys = chunk.ordered(names, residues)
         assert {int(r) for r in chunk.inner[chunk.windows[which]] % 3} == set(residues)
         windows = [data[i : i + 50] for i in chunk.windows[which]]
-        keys = list(zip(*key))
-        order = sorted(range(len(windows)), key=lambda i: keys[i])
-        assert [windows[i] for i in order] == sorted(windows)
-        assert all((keys[i] == keys[j]) == (windows[i] == windows[j]) for i, j in zip(order, order[1:]))
+        assert windows == sorted(windows) and [windows[i] for i in first] == sorted(set(windows))
+        keys = list(zip(*keys))
+        assert keys == sorted(set(keys)) and len(keys) == len(first)
 
 
 def test_repeats_against_brute_force(spark, documents, edge_rows, monkeypatch):
