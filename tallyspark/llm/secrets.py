@@ -5,10 +5,10 @@ Base: three patterns (an assignment to a telling name, an access key, a long hex
 Method: every long run of key-like characters is a candidate. Its encoding is inferred from its characters, and under that
 encoding three tests ask whether it could be a random string: chi-squared against a uniform alphabet, the number of runs
 above and below the middle of the alphabet, and the correlation of neighbouring symbols. Its p-value is the smallest of the
-three, times three. Runs of plain letters serve as decoys: words of natural text, which are no secrets. In each class of
-length, candidates are accepted from the lowest p-value t on where the share of decoys at t and above, among those of this
-length or shorter, foretells at most RATE false ones among the accepted. So short candidates, which words resemble, must do
-better than long ones, and how much better the whole corpus says.
+three, times three. Each candidate has a decoy of its own kind: the words of the text around it, in its length and encoding,
+which are no secret but what names and words would look like there. In each class of length, candidates are accepted from the lowest p-value t on where the share of decoys at t and
+above, among those of this length or shorter, foretells at most RATE false ones among the accepted. So short candidates, which
+words resemble, must do better than long ones, and how much better the whole corpus says.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ RUN, LEAST_RUN, RATE, BINS, CLASS, CLASSES = r"[A-Za-z0-9+/_-]{20,}={0,2}", 20,
 #: Alphabets of the encodings, in the order of their symbols' values.
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
+    "decimal": (DIGITS, r"^[0-9]+$"),
     "hex": (DIGITS + "abcdef", r"^([0-9a-f]+|[0-9A-F]+)$"),
     "base32": (LETTERS.upper() + "234567", r"^[A-Z2-7]+=*$"),
     "base36": (DIGITS + LETTERS, r"^([0-9a-z]+|[0-9A-Z]+)$"),
     "base64": (LETTERS.upper() + LETTERS + DIGITS + "+/", r"^[A-Za-z0-9+/_-]+=*$"),
 }
 KINDS = ("assign", "access", "hex", "random")
-BLOCK = 256
+#: Integers in a block of a prefix sum; text around a candidate that its decoy is made of, in lengths of it on either side.
+BLOCK, AROUND = 256, 4
 
 
 def prefix_sums(x: Column) -> Column:
@@ -83,16 +85,32 @@ def normal_tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.lit(700.0), F.lit(1.5976) * z + F.lit(0.07056) * z * z * z)))
 
 
+def decoy_of(value: Column, near: Column) -> Column:
+    """Ordinary text in the length and the encoding of a candidate; null if there is too little of it.
+
+    Digits and hexadecimal ones stand for letters in turn of the alphabet, single-case encodings get letters of that case, and
+    base64 gets words joined by underscores, as names are. Pieces of the text around that hold digits or signs of base64, which
+    may be secrets themselves, are no ordinary text, nor are those that its ends cut off."""
+    is_a = lambda name: value.rlike(ALPHABETS[name][1])
+    plain = F.regexp_replace(near, r"^\S+|\S*[0-9+/=_]\S*|\S+$", " ")
+    letters = F.lower(F.regexp_replace(plain, "[^A-Za-z]+", ""))
+    joined = F.btrim(F.regexp_replace(plain, "[^A-Za-z]+", "_"), F.lit("_"))
+    coded = lambda name: F.translate(letters, LETTERS, (ALPHABETS[name][0] * 3)[:26])
+    cased = lambda x: F.when(value.rlike("[A-Z]"), F.upper(x)).otherwise(x)
+    out = F.when(is_a("decimal"), coded("decimal")).when(is_a("hex"), cased(coded("hex"))).when(is_a("base32") | is_a("base36"), cased(letters)).otherwise(joined)
+    return F.when(F.length(out) >= F.length(value), F.substr(out, F.lit(1), F.length(value)))
+
+
 def battery(runs: DataFrame) -> DataFrame:
     """runs(value, ...) with encoding, n (symbols) and p added: the smallest p-value of the three tests, times three."""
     symbols = F.regexp_replace("value", "=+$", "")
     kind = F.lit("base64")
-    for name in ("base36", "base32", "hex"):
+    for name in ("base36", "base32", "hex", "decimal"):
         kind = F.when(F.col("value").rlike(ALPHABETS[name][1]), F.lit(name)).otherwise(kind)
     out = runs.withColumn("encoding", kind).withColumn("s", F.translate(symbols, "-_", "+/"))
     out = out.withColumn("s", F.when(F.col("encoding").isin("hex", "base36"), F.lower("s")).otherwise(F.col("s")))
     alphabet, size = F.lit(ALPHABETS["base64"][0]), F.lit(64)
-    for name in ("hex", "base32", "base36"):
+    for name in ("decimal", "hex", "base32", "base36"):
         alphabet, size = F.when(F.col("encoding") == name, F.lit(ALPHABETS[name][0])).otherwise(alphabet), F.when(F.col("encoding") == name, F.lit(len(ALPHABETS[name][0]))).otherwise(size)
     out = out.withColumn("alphabet", alphabet).withColumn("size", size.cast("double"))
     out = out.withColumn("n", F.length("s").cast("double")).withColumn("at", F.transform(F.split("s", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1))
@@ -138,12 +156,14 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     Starts and ends count code points, ends exclusive. A null text is empty; repeated rows are documents of their own; null
     doc_ids stay; other columns are ignored; an empty table gives an empty one. Spans of the method never overlap base ones."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), *base_spans(text), where(text.rlike(RUN), located(text, RUN)).alias("runs"))
+    size = lambda r: (r["end"] - r["start"]).cast("int") * AROUND
+    near = lambda r: F.concat(F.substr(text, (F.greatest(r["start"] - size(r), F.lit(0)) + 1).cast("int"), F.least(size(r), r["start"].cast("int"))), F.substr(text, (r["end"] + 1).cast("int"), size(r)))
+    runs = F.transform(where(text.rlike(RUN), located(text, RUN)), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["value"].alias("value"), near(r).alias("near")))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), *base_spans(text), runs.alias("runs"))
     rows = stored(rows, "scanned")
     runs = rows.filter(F.size("runs") > 0).select("uid", F.array_sort(F.flatten(F.transform(F.array("assign", "access", "hex"), lambda a: F.transform(a, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))))).alias("base"), F.explode("runs").alias("run")).select("uid", "base", "run.*")
-    decoy = F.col("value").rlike("^([A-Z]?[a-z]+|[A-Z]+)$")
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") | F.col("value").rlike("[a-z].*[A-Z].*[a-z]") | F.col("value").rlike("[A-Z].*[a-z].*[A-Z]")
-    runs = runs.withColumn("decoy", decoy).filter(F.col("decoy") | mixed)
+    both = F.array(F.struct(F.lit(False).alias("decoy"), F.col("value")), F.struct(F.lit(True).alias("decoy"), decoy_of(F.col("value"), F.col("near")).alias("value")))
+    runs = runs.select("uid", "base", "start", "end", F.inline(both)).filter(F.col("value").isNotNull())
     runs = battery(runs).withColumn("class", F.least(F.lit(CLASSES - 1), F.floor((F.col("n") - LEAST_RUN) / CLASS)).cast("int")).withColumn("class", F.greatest(F.col("class"), F.lit(0))).withColumn("bin", F.floor(F.col("p") * BINS).cast("int"))
     runs = stored(runs.select("uid", "start", "end", "value", "encoding", "p", "class", "bin", "decoy", "base"), "tested")
     passed = runs.filter(~F.col("decoy") & ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))

@@ -221,3 +221,59 @@ def test_random_strings_are_told_from_words(spark, documents):
     hit = sum(keys[i] in "".join(found[i]) or any(v in keys[i] for v in found[i]) for i in keys)
     assert hit >= 40
     assert sum(bool(found[i]) for i in range(400)) <= 0.1 * 400
+
+
+def p_value(value):
+    """The battery by plain arithmetic."""
+    tail = lambda z: 1 / (1 + np.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+    name = next(n for n in ("decimal", "hex", "base32", "base36", "base64") if re.search(secrets.ALPHABETS[n][1], value))
+    alphabet = secrets.ALPHABETS[name][0]
+    s = value.rstrip("=").replace("-", "+").replace("_", "/")
+    s = s.lower() if name in ("hex", "base36") else s
+    at = np.array([alphabet.index(c) for c in s], float)
+    n, k = len(s), len(alphabet)
+    chi, df = sum(s.count(c) ** 2 for c in alphabet) * k / n - n, k - 1
+    z1 = (np.cbrt(max(chi, 0) / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    high = at >= k / 2
+    mean = 2 * high.sum() * (~high).sum() / n
+    spread = mean * (mean - 1) / (n - 1)
+    z2 = abs(1 + (high[1:] != high[:-1]).sum() - mean - 1) / np.sqrt(spread) if spread > 0 else 99.0
+    dev = at - at.mean()
+    z3 = abs((dev[:-1] * dev[1:]).sum() / (dev**2).sum() + 1 / n) * np.sqrt(n) if (dev**2).sum() > 0 else 99.0
+    return name, min(1.0, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)))
+
+
+def test_battery_and_thresholds_against_brute_force(spark):
+    rng = random.Random(14)
+    alphabets = {"hex": "0123456789abcdef", "base64": "".join(chr(c) for c in range(48, 123) if chr(c).isalnum()) + "+/", "decimal": "0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "words": "eeeeetttaaooinsrhl"}
+    values = ["".join(rng.choice(alphabets[k]) for _ in range(rng.randrange(20, 90))) for k in alphabets for _ in range(40)] + ["a" * 30, "A1b2-_" * 6 + "==", "0" * 40]
+    got = {r["value"]: (r["encoding"], r["p"]) for r in secrets.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    for v in values:
+        name, p = p_value(v)
+        assert got[v][0] == name and abs(got[v][1] - p) < 1e-9
+    rows = [(rng.randrange(secrets.CLASSES), min(secrets.BINS, int(secrets.BINS * rng.random() ** (12 if decoy else 0.2))), decoy) for decoy in (True, False) for _ in range(4000)]
+    least = {}
+    for c in range(secrets.CLASSES):
+        own, short = [b for k, b, d in rows if k == c and not d], [b for k, b, d in rows if k <= c and d]
+        for t in range(secrets.BINS + 1):
+            up = sum(b >= t for b in own)
+            if up and (sum(b >= t for b in short) + 1) / (len(short) + 1) * len(own) <= secrets.RATE * up:
+                least[c] = t
+                break
+    found = {r["class"]: r["least"] for r in secrets.thresholds(spark.createDataFrame(rows, "class int, bin int, decoy boolean")).collect()}
+    assert found == least and least
+
+
+def test_decoys_have_length_and_encoding_of_their_candidates(spark):
+    text = "ZkeyZ It was the best of times, it was k3yK3y the worst of times, it was the age of wisdom and wis"
+    values = ["0f3a" * 6, "Ab9/" * 6, "K7QZ" * 6, "12345678901234567890", "0F3A" * 5, "x" * 200]
+    out = [r["d"] for r in spark.createDataFrame([(v,) for v in values], "v string").select(secrets.decoy_of(F.col("v"), F.lit(text)).alias("d")).collect()]
+    assert out[-1] is None and out[1] == "It_was_the_best_of_times" and out[2] == "ITWASTHEBESTOFTIMESITWAS"
+    for v, d in zip(values[:-1], out):
+        assert len(v) == len(d) and d != v and p_value(v)[0] == p_value(d)[0]
+
+
+def test_secrets_of_repeated_rows_and_missing_ids(spark, documents):
+    text = "the key is token=abcdef0123456789abcdef0123 here"
+    out = secrets.find_secrets(documents([(1, text), (1, text), (None, text), (2, None), (3, "")])).collect()
+    assert sorted((r["doc_id"] or 0, len(r["assign"]), len(r["hex"])) for r in out) == [(0, 1, 1), (1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 0, 0)]
