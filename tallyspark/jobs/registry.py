@@ -570,3 +570,16 @@ def read_warnings(spark, sf_dir):
     owner = F.expr("account_id div 5").alias("owner")
     own = merge.file_warnings(files, records, corrected, ledger.attach_fees(corrected, ACCOUNT), ACCOUNT).select(owner, "account_id", "level", "code", "n")
     return own.unionByName(merge.mixed_banks(files.withColumn("owner", owner), ["owner"]), allowMissingColumns=True)
+
+
+_KEYWORDS = [k for _, _, keys in dims.MERCHANTS for k in keys]
+
+
+@registered(f"""{LED}, c0 AS (SELECT account_id, seq, concat([{', '.join(o.q(k) for k in _KEYWORDS)}][seq // 10 % {len(_KEYWORDS)} + 1], ' CABANG ', seq) AS n FROM led)
+SELECT account_id, seq, {o.entry_case(lambda m, c: m)} AS merchant, {o.entry_case(lambda m, c: c)} AS category, {o.WORD_CASE} AS word FROM c0""")
+def dictionary_keywords(spark, sf_dir):
+    """Rows that name each keyword of the dictionary in turn: the first entry in its order with a keyword in the text wins."""
+    said = F.get(text.literals(_KEYWORDS), (F.expr("seq div 10") % len(_KEYWORDS)).cast("int"))
+    rows = events_ledger.ledger(spark, sf_dir).select("account_id", "seq", text.normalize(F.concat(said, F.lit(" CABANG "), F.col("seq").cast("string"))).alias("n"))
+    found = text.match_dictionary(F.col("n"))
+    return rows.select("account_id", "seq", found["merchant"].alias("merchant"), found["category"].alias("category"), text.match_category_keyword(F.col("n")).alias("word"))
