@@ -14,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one of our own serves if
+    all run on one machine, as in tests; else executors would each write to their own disk, which is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        own = spark.sparkContext.getCheckpointDir()
-        path = own or f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
-        if not own:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}")
+    return _own[0]
 
 
 def stored(df: DataFrame, what: str = "part") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Lines become 128-bit hashes of their keys. The hashes are dealt by range, each range sorted by hash, document and position,
 and a streaming window marks the first occurrence of a hash in a document and counts documents on the way. What comes back
-to a document is no text but a bitmap of its lines (one bit a line, set: stays, packed in 64-bit words).
+to a document is no text but a bitmap of its lines (one bit a line, set: dropped, packed in 64-bit words; words without any
+set bit are left out).
 
 A line that a third of all documents hold would put a third of all rows into one range, so the ranges are of (hash, part),
 where part deals the documents over PARTS; the parts' counts are summed in a second step, whose rows are one per hash and

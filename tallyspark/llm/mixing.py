@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, table
+from tallyspark.llm.common import WORD, stored, table
 
 #: Weights of the sources in order of their names, repeating; a target is at most this many times its source's size.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -74,7 +74,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     docs = docs.drop("_size", "_source_size", "_target", "_copies")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     size = (word_count(F.col("text")) if size is None else size).cast("long").alias("size")
-    keys = placed(docs.select("doc_id", "source", size), seed)
+    # the sizes are written once: sums over them are taken twice, and counting words is most of the work
+    keys = stored(placed(docs.select("doc_id", "source", size), seed), "sizes")
     cells = keys.groupBy("source", "class", "cell").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
     aims = targets(cells.groupBy("source").agg(F.sum("s").alias("source_size")), weights, most)
     rate = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) * UNIT)
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their size, their source's size and target, and the words that the mix takes of them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "words")
     return mix(docs, size=F.col("n_words")).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 

@@ -57,9 +57,13 @@ def _pack(block: str, dim: int):
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; by double arithmetic where that is exact."""
+    """Integer inner products; by double arithmetic where that is exact. What leaves 60 bits stops there."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(float) @ c.astype(float).T).astype(np.int64) if most < 2**53 else q @ c.T
+    if most < 2**53:
+        return (q.astype(float) @ c.astype(float).T).astype(np.int64)
+    if most < 2**60:
+        return q @ c.T
+    return np.clip(q.astype(object) @ c.astype(object).T, -(1 << 60), 1 << 60).astype(np.int64)
 
 
 def _blocks(row, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +111,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, scale: int = 64, bin
     """queries and rows(vec_id, embedding): each query's k highest scores among all rows but its own: query_id, rank, vec_id, score.
 
     Shorter vectors count as padded with zeros. Rows that repeat a vec_id count once, with the smallest vector. Fewer than k
-    rows: all of them. Empty tables: an empty result. Other columns are ignored."""
+    rows: all of them. Empty tables: an empty result. Scores beyond 60 bits stop there, components at 62. Rows without vec_id
+    take no part. Other columns are ignored."""
     rows, queries = stored(quantised(rows, scale), "rows"), quantised(queries, scale)
     n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     n_q, dim_q = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()

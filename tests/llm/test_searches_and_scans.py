@@ -35,6 +35,13 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df, 20).count() == 0 and topk.top_k(few, df.limit(0), 20).count() == 0
 
 
+def test_top_k_of_huge_components_and_missing_ids(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.filter("vec_id = 0"), df, 20).orderBy("rank").collect()]
+    assert got == [(1, 1, 1 << 60), (2, 3, 4096), (3, 2, -(1 << 60))]
+
+
 def test_licenses(spark, documents, edge_rows):
     plain = "the river runs under the old stone bridge at night"
     rows = edge_rows + [(100 + i, f"{plain} {i}") for i in range(30)]
