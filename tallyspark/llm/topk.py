@@ -122,7 +122,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, scale: int = 64, bin
     longest = packed.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0]
     queries = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    top = F.least(F.ceil(norm * longest) + 1, F.lit(1 << 61)).cast("long")
+    top = (F.ceil(F.least(norm * longest, F.lit(float(1 << 60)))) + 1).cast("long")
     state = stored(queries.select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), (-top).alias("lo"), (top + 1).alias("hi"), F.lit(k).cast("long").alias("need")), "queries")
     widest = state.agg(F.coalesce(F.max(F.col("hi") - F.col("lo")), F.lit(0))).first()[0]
     each_block = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
