@@ -32,10 +32,10 @@ def remove_cross_file_duplicates(df: DataFrame, keys: tuple[str, ...] = ("accoun
     """Rows without those that an earlier file of the account has too; repeats within one file stay.
 
     The first file of each identity is an aggregate that is summed before the shuffle, joined back: a transaction that a third
-    of all rows repeat is no window of its own."""
-    names = [*keys, "_date", "_direction", "_amount", "_balance", "_said"]
-    parts = [*[F.col(k) for k in keys], *identity()]
-    keyed = df.withColumns({n: c for n, c in zip(names[len(keys) :], parts[len(keys) :], strict=True)})
+    of all rows repeat is no window of its own. What is shuffled for an identity is 128 bits of hash, not its description."""
+    whole = [F.coalesce(c.cast("string"), F.lit("\0")) for c in identity()]
+    keyed = df.withColumns({"_h1": F.xxhash64(*whole), "_h2": F.xxhash64(F.lit(1), *whole)})
+    names = [*keys, "_h1", "_h2"]
     first = keyed.groupBy(*names).agg(F.min("file_idx").alias("_first"))
     same = reduce(lambda a, b: a & b, [keyed[n].eqNullSafe(first[n]) for n in names])
     return keyed.join(first, same & (keyed["file_idx"] == first["_first"]), "left_semi").select(df.columns)
@@ -47,10 +47,14 @@ def statement_files(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overlapping_files(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of an account's files whose periods share a day: file_a before file_b."""
-    a, b = files.alias("a"), files.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]) & (F.col("a.file_idx") < F.col("b.file_idx"))
-    shared = (F.col("a.period_start") <= F.col("b.period_end")) & (F.col("b.period_start") <= F.col("a.period_end"))
+    """Pairs of an account's files whose periods share a day: file_a before file_b.
+
+    Files meet by account and month, in the first month that both are in, so that years of statements make no pairs."""
+    month = lambda c: F.trunc(c, "MM")
+    dealt = files.withColumn("_month", F.explode(F.sequence(month("period_start"), month("period_end"), F.expr("interval 1 month"))))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_month"]]) & (F.col("a.file_idx") < F.col("b.file_idx"))
+    shared = (F.col("a.period_start") <= F.col("b.period_end")) & (F.col("b.period_start") <= F.col("a.period_end")) & (F.col("a._month") == F.greatest(month("a.period_start"), month("b.period_start")))
     return a.join(b, same & shared).select(*[F.col(f"a.{k}") for k in keys], F.col("a.file_name").alias("file_a"), F.col("b.file_name").alias("file_b"))
 
 

@@ -123,3 +123,31 @@ def test_fields_of_a_wide_file_are_not_cut(spark):
     said = [f"Tanggal;Keterangan;{more};Debit;Kredit;Saldo", f"03/02/2026;MIXUE;{more};22.000,00;;3.478.000,00"]
     lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(said)], "file string, line_no int, text string")
     assert [(r["description"], r["amount"], r["balance"]) for r in statements.csv_records(lines, ["file"]).collect()] == [("MIXUE", 22000, 3478000)]
+
+
+def test_files_overlap_by_day(spark):
+    files = [("a", 0, D(2026, 1, 5), D(2026, 3, 31)), ("b", 1, D(2026, 3, 31), D(2026, 4, 30)), ("c", 2, D(2026, 2, 1), D(2026, 2, 1)), ("d", 3, D(2026, 5, 1), D(2026, 5, 31)), ("e", 4, D(2025, 1, 1), D(2026, 12, 31))]
+    df = spark.createDataFrame([(1, *f) for f in files] + [(2, *files[0]), (2, *files[1])], "account_id long, file_name string, file_idx int, period_start date, period_end date")
+    got = {(r["account_id"], r["file_a"], r["file_b"]) for r in merge.overlapping_files(df, ["account_id"]).collect()}
+    assert got == {(1, "a", "b"), (1, "a", "c"), (1, "a", "e"), (1, "b", "e"), (1, "c", "e"), (1, "d", "e"), (2, "a", "b")}
+
+
+def test_wide_spaces_are_white_space(spark):
+    given = ["Rp\u00a025.000,00", "\u00a0(1.000,00)\u2003", "IDR\u202f7"]
+    from tallyspark.functions import values
+
+    df = spark.createDataFrame([(g,) for g in given], "s string")
+    assert [int(r["v"]) for r in df.select(values.parse_amount(F.col("s")).alias("v")).collect()] == [25000, -1000, 7]
+    assert df.limit(1).select(values.find_date(F.lit("5\u00a0Jan\u00a02026"))["iso"].alias("d")).first()["d"] == "2026-01-05"
+    twice = rows(spark, (0, D(2026, 1, 1), "KFC\u00a0 A", 10, "debit", 5), (1, D(2026, 1, 1), "kfc a", 10, "debit", 5))
+    assert merge.remove_cross_file_duplicates(twice).count() == 1
+
+
+def test_warnings_of_files(spark):
+    records = rows(spark, (0, D(2026, 1, 1), "A", 90000, "debit", 100000), (0, D(2026, 1, 1), "A", 2500, "debit", 97500), (0, D(2026, 1, 2), "B", 500, "debit", 98000)).withColumn("skipped", F.lit(False))
+    skipped = records.limit(1).withColumn("skipped", F.lit(True))
+    fixed = ledger.reconcile_direction(records, ["account_id"])
+    files = spark.createDataFrame([(1, "bca", "Bank BCA"), (2, "bri", "Bank BRI")], "account_id long, bank string, bank_label string")
+    out = merge.file_warnings(files, records.union(skipped), fixed, ledger.attach_fees(fixed, ["account_id"]), ["account_id"])
+    assert {(r["account_id"], r["level"], r["code"], r["n"]) for r in out.collect()} == {(1, "info", "direction_corrected", 1), (1, "info", "rows_skipped", 1), (1, "info", "fees_merged", 1), (2, "warn", "no_rows", 1)}
+    assert [(r["code"], r["n"]) for r in merge.mixed_banks(files.withColumn("owner", F.lit(1)), ["owner"]).collect()] == [("mixed_banks", 2)]
