@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import caps, licenses, line_dedup, minhash, mixing, packing, quality, secrets, suffixes, topk
+from tallyspark.llm import caps, forest, lexical, licenses, line_dedup, minhash, mixing, packing, quality, resample, secrets, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_secrets": secrets.op9_secrets,
     "op10_topk": topk.op10_topk,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_forest": forest.op12_forest,
+    "op13_resample": resample.op13_resample,
 }
 ORACLES: dict[str, str] = {
     "op4_caps": caps.SQL,
@@ -26,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op6_lines": line_dedup.SQL,
     "op7_minhash": minhash.SQL,
     "op10_topk": topk.SQL,
+    "op11_lexical": lexical.SQL,
+    "op13_resample": resample.SQL,
 }
