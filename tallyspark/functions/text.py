@@ -63,16 +63,55 @@ def detect_kind(n: Column, direction: Column) -> Column:
     return out.otherwise("other")
 
 
+def listed(values: list[str]) -> Column:
+    """An array of constants, none of which holds a line break: one expression that the optimiser folds into one literal."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def tree_pattern(words: list[str]) -> str:
+    """A regular expression for the longest of the words at a place: their letters as a tree, so that a place is left at the first
+    letter that none of them goes on with."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [(c if c.isalnum() or c == " " else "\\" + c) + written(rest) for c, rest in node.items() if c]
+        body = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})" if ways else ""
+        return body + "?" if ways and "" in node else body
+
+    return written(tree)
+
+
+def first_entry(n: Column, entries: list[list[str]]) -> Column:
+    """The place, from 0, of the first of entries (lists of keywords) with a keyword anywhere in n, or null.
+
+    At every place of n the tree of all keywords gives the longest one that begins there; the shorter ones that it begins with are
+    there too, so it stands for the first entry of all of these. Only keywords that were found are looked up."""
+    first: dict[str, int] = {}
+    for i, keys in enumerate(entries):
+        for k in keys:
+            first.setdefault(k, i)
+    best = {k: min(first[k[:j]] for j in range(1, len(k) + 1) if k[:j] in first) for k in first}
+    keys, places = listed([*best]), listed([str(i) for i in best.values()]).cast("array<int>")
+    found = F.array_distinct(F.regexp_extract_all(n, F.lit(f"(?=({tree_pattern([*best])}))"), F.lit(1)))
+    return F.array_min(F.transform(found, lambda k: F.get(places, F.array_position(keys, k).cast("int") - 1)))
+
+
 def match_dictionary(n: Column, merchants: list[tuple[str, str, list[str]]] | None = None) -> Column:
-    """The first merchant in list order with a keyword anywhere in n: struct(key, merchant, category), or null."""
-    rows = [F.struct(F.lit(k).alias("key"), F.lit(m).alias("merchant"), F.lit(c).alias("category")) for m, c, keys in merchants or dims.MERCHANTS for k in keys]
-    return F.get(F.filter(F.array(*rows), lambda r: F.contains(n, r["key"])), 0)
+    """The first merchant in list order with a keyword anywhere in n: struct(merchant, category), or null."""
+    rows = merchants or dims.MERCHANTS
+    names, categories = listed([m for m, _, _ in rows]), listed([c for _, c, _ in rows])
+    entry = lambda at: F.when(at.isNotNull(), F.struct(F.get(names, at).alias("merchant"), F.get(categories, at).alias("category")))
+    return let(first_entry(n, [keys for _, _, keys in rows]), entry)
 
 
 def match_category_keyword(n: Column) -> Column:
     """The category of the first generic keyword in list order that n contains, or null."""
-    rows = [F.struct(F.lit(k).alias("key"), F.lit(c).alias("category")) for c, keys in dims.CATEGORY_KEYWORDS for k in keys]
-    return F.get(F.filter(F.array(*rows), lambda r: F.contains(n, r["key"])), 0)["category"]
+    return F.get(listed([c for c, _ in dims.CATEGORY_KEYWORDS]), first_entry(n, [keys for _, keys in dims.CATEGORY_KEYWORDS]))
 
 
 def has_name_like_token(hint: Column) -> Column:

@@ -14,7 +14,8 @@ def classify(df: DataFrame, merchants: list[tuple[str, str, list[str]]] | None =
     """df(description, direction, ...) with kind, qris, merchant, category, confidence, source, note, no_merchant_info added.
 
     Works row by row, in stages of columns so that no expression is evaluated twice: normalised text, kind and dictionary
-    entry, then the decision. merchants: an ordered table of (merchant, category, keywords) in place of the default."""
+    entry, then the decision. No filter on what comes out is pushed down into the stages (sealed). merchants: an ordered table of
+    (merchant, category, keywords) in place of the default."""
     out = df.withColumn("_n", text.normalize(F.coalesce("description", F.lit(""))))
     n = F.col("_n")
     out = out.withColumns({"kind": text.detect_kind(n, F.col("direction")), "_dict": text.match_dictionary(n, merchants)})
@@ -54,10 +55,19 @@ def classify(df: DataFrame, merchants: list[tuple[str, str, list[str]]] | None =
     out = out.withColumn("_c", result)
     if "direction_confidence" in df.columns:
         low = F.when(F.col("direction_confidence") < 0.5, F.least(F.col("_c")["confidence"], F.lit(0.5))).otherwise(F.col("_c")["confidence"])
-        out = out.withColumn("confidence", low)
     else:
-        out = out.withColumn("confidence", F.col("_c")["confidence"])
-    return out.withColumns({c: F.col("_c")[c] for c in ("merchant", "category", "source", "note", "no_merchant_info")}).drop("_n", "_dict", "_by", "_party", "_word", "_c")
+        low = F.col("_c")["confidence"]
+    given = {"kind": kind, "qris": F.col("qris"), "confidence": low, **{c: F.col("_c")[c] for c in ("merchant", "category", "source", "note", "no_merchant_info")}}
+    return sealed(out, [c for c in df.columns if c not in given], given)
+
+
+def sealed(df: DataFrame, kept: list[str], made: dict[str, Column]) -> DataFrame:
+    """The columns kept of df, and those made of it, evaluated once for each row whatever is done with them.
+
+    Through a plain projection the optimiser pushes a filter down, and writes out the whole expression for each mention of its
+    column there, of what that is made of again, and so on. A generator stops it: the made columns are the one element of an array."""
+    whole = F.struct(*[c.alias(name) for name, c in made.items()])
+    return df.select(*kept, F.explode(F.array(whole)).alias("_made")).select(*kept, *[F.col("_made")[name].alias(name) for name in made])
 
 
 def to_transactions(df: DataFrame, file_keys: list[str], order: str = "seq") -> DataFrame:

@@ -4,12 +4,14 @@ Everything is per file: keys name a file, and a file's rows are one group in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text, values
+from tallyspark.sources import shared
 
 #: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns.
 DELIMITERS = [";", "\t", "|", ","]
@@ -19,15 +21,26 @@ PERIOD_CHARACTERS, BANK_CHARACTERS, APART = 4000, 6000, 100
 #: How far the rightmost amount may be from the balance column, and how much nearer to one column than to the other counts.
 NEAR_BALANCE, NEARER = 90, 20
 FIELDS = [f for f, _ in dims.FIELD_NAMES]
+#: Splits of all files up to which their table is broadcast; lines of a chunk in which quotes are followed.
+MOST_SPLITS, CHUNK = 100_000, 1 << 16
 
 
 def read_statement_text(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Text files as lines: path, file_name, line_no, text; a byte-order mark goes, empty files have no line.
-
-    A file is one string on the way, as its lines need their places: files stay below 2 GB, as a person's statements do."""
-    path = F.col("_metadata.file_path")
-    whole = spark.read.text(paths, wholetext=True).select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    return whole.filter(F.length("value") > 0).select("path", "file_name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+    """Text files as lines: path, file_name, line_no (from 0), text; a byte-order mark goes, empty files have no line.
+
+    Files are read in splits, so one may be of any size. The lines are written once with their split and their place in it; a
+    line's number is that place plus the lines of the splits before, a sum over a table of one row a split. A line ends at \\n or
+    \\r\\n; a break at the end of a file begins no further line."""
+    path = F.col("_metadata.file_path").alias("path")
+    raw = spark.read.text(paths, lineSep="\n").select(path, F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("text"))
+    raw = shared.written(raw, "lines")
+    splits = raw.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = shared.written(splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"), "splits")
+    few = splits.count() <= MOST_SPLITS
+    lines = raw.join(F.broadcast(splits) if few else splits, ["path", "_split"]).withColumn("line_no", F.col("_before") + F.col("_at") - F.col("_first"))
+    text = F.when(F.col("line_no") == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+    return lines.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "line_no", text.alias("text"))
 
 
 def head_text(lines: DataFrame, keys: list[str], characters: int) -> DataFrame:
@@ -54,21 +67,98 @@ def detect_delimiter(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("b.delimiter", F.lit(",")).alias("delimiter"))
 
 
-def widest(lines: DataFrame) -> int:
-    """The fields of the widest line, whichever delimiter it is split at; this reads the lines."""
-    n = F.greatest(*[F.length("text") - F.length(F.replace("text", F.lit(d), F.lit(""))) for d in DELIMITERS])
-    return (lines.agg(F.max(n)).first()[0] or 0) + 1
+def by_delimiter(delimiter: Column, of: Callable[[str], Column]) -> Column:
+    """of(d) for the delimiter d of the row: patterns are constants, so there is one for each."""
+    out = of(DELIMITERS[-1])
+    for d in DELIMITERS[:-1]:
+        out = F.when(delimiter == d, of(d)).otherwise(out)
+    return out
 
 
-def cells_of(line: Column, delimiter: Column, width: int) -> Column:
-    """The first width fields of a line, quoted or not; a quoted line break is not supported. One reader for each delimiter, as its options are literals."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    out = F.lit(None).cast("array<string>")
-    for d in DELIMITERS:
-        row = F.from_csv(line, schema, {"sep": d, "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(width + 1)})
-        cells = values.let(row, lambda r: F.array(*[F.coalesce(r[f"c{i}"], F.lit("")) for i in range(width)]))
-        out = F.when(delimiter == d, cells).otherwise(out)
-    return out
+def fields_of(record: Column, d: str) -> Column:
+    """The fields of a record as written, with their quotes: a quoted one ends at a quote before a delimiter or the end. Any number of them."""
+    c = f"\\{d}" if d == "|" else d
+    quoted = rf'"[^"]*+(?:""[^"]*+)*+"(?={c}|\z)'
+    found = F.regexp_extract_all(F.concat(F.lit(d), record), F.lit(rf"{c}(?:{quoted}|[^{c}]*+)"), F.lit(0))
+    return F.transform(found, lambda f: F.substr(f, F.lit(2)))
+
+
+#: A field that begins with a quote and is closed: what follows the first quote ends with an odd number of them.
+CLOSED = r'(?s)^"(?:.*[^"])?(?:"")*"$'
+
+
+def cells_of(record: Column, delimiter: Column) -> Column:
+    """The fields of a record of a delimited file: quotes around a field go, doubled ones within it are one. A record without any
+    quote is split at its delimiters; records have as many cells as they have fields."""
+    plain = by_delimiter(delimiter, lambda d: F.split(record, rf"\{d}" if d == "|" else d, -1))
+    bare = lambda f: F.when(f.rlike(CLOSED), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.when(~F.contains(record, F.lit('"')), plain).otherwise(F.transform(by_delimiter(delimiter, lambda d: fields_of(record, d)), bare))
+
+
+def leaves_open(text: Column, d: str) -> Column:
+    """Whether a line that begins outside quotes ends within them."""
+    return F.exists(fields_of(text, d), lambda f: F.startswith(f, F.lit('"')) & ~f.rlike(CLOSED))
+
+
+def stays_open(text: Column, d: str) -> Column:
+    """Whether a line that begins within quotes ends within them: they close at a quote before a delimiter or the end."""
+    c = f"\\{d}" if d == "|" else d
+    ends = rf'(?s)^[^"]*+(?:(?:""|"(?!["{c}]|\z))[^"]*+)*+"(?={c}|\z)'
+    rest = F.regexp_replace(text, ends, "")
+    return F.when(~text.rlike(ends), True).otherwise((rest != "") & leaves_open(F.substr(rest, F.lit(2)), d))
+
+
+def records_of(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """lines(keys, line_no, text, delimiter) with the lines of one record joined, where quotes hold line breaks; line_no is the first.
+
+    A line is a function of whether it begins within quotes: whether it ends within them. Of the four such functions a run of
+    lines is again one, so files are cut into chunks of lines: each chunk's function goes before the chunks that follow it, and
+    no file is a window of its own but for one row a chunk. Only files that hold a line which leaves quotes open take this way.
+    Quotes that never close are plain text: the lines after them are records of their own."""
+    quoted = F.contains("text", F.lit('"'))
+    opens = F.when(quoted, by_delimiter(F.col("delimiter"), lambda d: leaves_open(F.col("text"), d))).otherwise(False)
+    holds = F.when(quoted, by_delimiter(F.col("delimiter"), lambda d: stays_open(F.col("text"), d))).otherwise(True)
+    broken = shared.written(lines.filter(quoted).filter(opens).select(*keys).distinct(), "broken")
+    if not broken.take(1):
+        return lines
+    odd = lines.join(broken, keys, "left_semi").withColumns({"_f0": opens, "_f1": holds, "_chunk": F.floor(F.col("line_no") / CHUNK)})
+    odd = shared.written(odd, "quoted")
+    turned = F.when(F.col("_f0") & ~F.col("_f1"), 1).otherwise(0)
+
+    def scanned(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        """_turns: turns so far, _set: what the last constant function so far said, less the turns up to it; the row included."""
+        w = Window.partitionBy(*by).orderBy(order)
+        df = df.withColumn("_turns", F.sum("_t").over(w))
+        return df.withColumn("_set", F.last(F.when(F.col("_c").isNotNull(), F.pmod(F.col("_c") + F.col("_turns"), F.lit(2))), ignorenulls=True).over(w))
+
+    each = odd.withColumns({"_t": turned, "_c": F.when(F.col("_f0") == F.col("_f1"), F.col("_f0").cast("int"))})
+    each = scanned(each, [*keys, "_chunk"], "line_no")
+    ends = each.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_turns", "_set"), "line_no").alias("e"))
+    parity = lambda set_, turns: F.pmod(set_ + turns, F.lit(2))
+    # a whole chunk as one function: constant if any line of it is, else the turns
+    chunks = ends.select(*keys, "_chunk", F.when(F.col("e._set").isNull(), F.pmod("e._turns", F.lit(2))).otherwise(0).alias("_t"), parity(F.col("e._set"), F.col("e._turns")).alias("_c"))
+    chunks = scanned(chunks, keys, "_chunk").withColumn("_after", parity(F.coalesce("_set", F.lit(0)), F.col("_turns")))
+    chunks = chunks.select(*keys, "_chunk", F.lag("_after", 1, 0).over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_in"))
+    each = each.join(chunks, [*keys, "_chunk"]).withColumn("_after", parity(F.coalesce("_set", "_in"), F.col("_turns")))
+    order = Window.partitionBy(*keys, "_chunk").orderBy("line_no")
+    each = each.withColumn("_within", F.coalesce(F.lag("_after").over(order), F.col("_in")) == 1)
+    each = each.withColumn("_start", F.max(F.when(~F.col("_within"), F.col("line_no"))).over(order))
+    # a record that goes on in the next chunk, and one that never closes
+    carried = each.groupBy(*keys, "_chunk").agg(F.max("_start").alias("_last"), F.max_by("_after", "line_no").alias("_open"))
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = carried.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_final"), F.last("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_open"))
+    each = each.join(carried, [*keys, "_chunk"]).withColumn("_start", F.coalesce("_start", "_before"))
+    never = (F.col("_open") == 1) & (F.col("_start") == F.col("_final"))
+    each = each.withColumn("_start", F.when(never, F.col("line_no")).otherwise(F.col("_start")))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "text")))
+    joined = each.groupBy(*keys, F.col("_start").alias("line_no"), "delimiter").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    return lines.join(broken, keys, "left_anti").select(*keys, "line_no", "text", "delimiter").union(joined.select(*keys, "line_no", "text", "delimiter"))
+
+
+def delimited_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The records of delimited files that are not blank: keys, line_no, text, delimiter, cells."""
+    given = lines.select(*keys, "line_no", "text").join(detect_delimiter(lines, keys), keys)
+    return records_of(given, keys).filter(F.trim("text") != "").withColumn("cells", cells_of(F.col("text"), F.col("delimiter")))
 
 
 def find_header_row(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,8 +178,12 @@ def csv_records(lines: DataFrame, keys: list[str], default_year: int = 2026) ->
     """Lines of delimited files to records: keys, seq, date, description, amount, direction, balance, direction_confidence, skipped.
 
     skipped rows (a date that cannot be read, no amount) stay, flagged, for the file's warnings; files without headings give none."""
-    rows = lines.filter(F.trim("text") != "").join(detect_delimiter(lines, keys), keys).withColumn("cells", cells_of(F.col("text"), F.col("delimiter"), widest(lines)))
-    header = find_header_row(rows, keys)
+    rows = delimited_rows(lines, keys)
+    return by_headings(rows, find_header_row(rows, keys), keys, default_year)
+
+
+def by_headings(rows: DataFrame, header: DataFrame, keys: list[str], default_year: int = 2026) -> DataFrame:
+    """The records of rows as delimited_rows gives them by their files' headings as find_header_row gives them: csv_records."""
     head = rows.join(header, keys).filter(F.col("line_no") <= F.col("header_line")).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_head"))
     period = head.select(*keys, values.find_period(F.col("_head")).alias("period"))
     data = rows.join(header, keys).join(period, keys).filter(F.col("line_no") > F.col("header_line"))
@@ -197,21 +291,24 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
     return out.select(*keys, "_record.*", cleaned(F.array_join(F.transform("_texts", lambda x: x["_said"]), " ")).alias("description"))
 
 
-def lines_without_headings(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The lines of delimited files that name no columns, as parse_statement_lines takes them: cells one beside the other."""
-    rows = lines.filter(F.trim("text") != "").join(detect_delimiter(lines, keys), keys).withColumn("_c", cells_of(F.col("text"), F.col("delimiter"), widest(lines)))
-    rows = rows.withColumn("cells", F.col("_c")).join(find_header_row(rows.withColumn("cells", F.col("_c")), keys).select(*keys), keys, "left_anti")
-    said = F.trim(F.regexp_replace(values.spaced(F.array_join("_c", " ")), " +", " "))
-    return rows.select(*keys, "line_no", said.alias("text"), F.transform("_c", lambda c, i: F.struct(c.alias("str"), (i * APART).cast("double").alias("x"))).alias("cells"))
+def lines_without_headings(rows: DataFrame, header: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of delimited files that name no columns, as parse_statement_lines takes them: cells one beside the other."""
+    rows = rows.join(header.select(*keys), keys, "left_anti")
+    said = F.trim(F.regexp_replace(values.spaced(F.array_join("cells", " ")), " +", " "))
+    return rows.select(*keys, "line_no", said.alias("text"), F.transform("cells", lambda c, i: F.struct(c.alias("str"), (i * APART).cast("double").alias("x"))).alias("cells"))
 
 
 def read_records(lines: DataFrame, keys: list[str], default_year: int = 2026) -> DataFrame:
-    """Records of text files of any kind: by their headings, and line by line where there are none; the bank's own noise goes."""
-    plain = lines_without_headings(lines, keys)
+    """Records of text files of any kind: by their headings, and line by line where there are none; the bank's own noise goes.
+
+    The rows with their cells, and the headings, are written: both ways read them."""
+    rows = shared.written(delimited_rows(lines, keys), "rows")
+    header = shared.written(find_header_row(rows, keys), "headings")
+    plain = lines_without_headings(rows, header, keys)
     banks = statement_files(lines, keys).select(*keys, F.col("bank").alias("_bank"))
     plain = plain.join(banks, keys, "left")
     read = parse_statement_lines(plain, keys, F.col("_bank"), default_year).withColumn("skipped", F.lit(False))
-    return csv_records(lines, keys, default_year).unionByName(read)
+    return by_headings(rows, header, keys, default_year).unionByName(read)
 
 
 def statement_files(lines: DataFrame, keys: list[str]) -> DataFrame:
