@@ -33,9 +33,9 @@ from tallyspark.llm.common import discard, stored, table
 TREES, LEAF, DEEPEST, SAMPLE, SAMPLE_BYTES, SPARSE = 4, 128, 16, 1 << 14, 32 << 20, 8
 #: Queries that set the budget, and the share of their neighbours that it reaches.
 MEASURED, SHARE = 128, 0.95
-#: Bytes of vectors and of queries in a block, queries that a task sends to the trees; how much of a sum of products rounding may
+#: Bytes of vectors and of queries in a block, queries that a task sends to the trees, queries whose best a task keeps; how much of a sum of products rounding may
 #: take (relative to the lengths).
-BLOCK_BYTES, QUERY_BYTES, SENT, ROUNDING = 4 << 20, 1 << 20, 256, 1e-12
+BLOCK_BYTES, QUERY_BYTES, SENT, HELD, ROUNDING = 4 << 20, 1 << 20, 256, 1 << 16, 1e-12
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -243,9 +243,10 @@ def _pack_queries(dim: int):
 
 
 def _search(dim: int, k: int):
-    """Pairs of a block of vectors and a block of queries to (query_id, vec_id, score): the k best of each query in the leaves it visits."""
+    """Pairs of a block of vectors and a block of queries to (query_id, vec_id, score): the k best of each query in the leaves it
+    visits, over all pairs of the task, as long as it holds HELD queries at most; beyond, it gives out what it has and goes on."""
 
-    def pair(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pair(row, best: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, leaf, qids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.leaf, np.int32), np.frombuffer(row.qids, np.int64)
         x, q = np.frombuffer(row.mat).reshape(len(ids), dim), np.frombuffer(row.qmat).reshape(len(qids), dim)
         ends, wanted = np.frombuffer(row.ends, np.int64), np.frombuffer(row.leaves, np.int32)
@@ -253,7 +254,7 @@ def _search(dim: int, k: int):
         order = np.argsort(wanted, kind="stable")
         who, wanted = who[order], wanted[order]
         size = np.sqrt((q * q).sum(1)) * math.sqrt(float((x * x).sum(1).max(initial=0))) * ROUNDING
-        least = np.full(len(qids), -np.inf)
+        least = np.array([old[0][-1] if (old := best.get(i)) is not None and len(old[0]) == k else -np.inf for i in qids.tolist()])
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in np.unique(leaf):
             a, b = np.searchsorted(leaf, [at, at + 1])
@@ -278,12 +279,32 @@ def _search(dim: int, k: int):
         own = np.arange(len(i)) - np.searchsorted(i, i) < k
         return qids[i[own]], ids[j[own]], s[own]
 
+    def given(best: dict) -> pd.DataFrame:
+        sizes = [len(s) for s, _ in best.values()]
+        s, v = (np.concatenate([x[i] for x in best.values()]) if best else np.empty(0) for i in (0, 1))
+        return pd.DataFrame({"query_id": np.repeat(np.array([*best], np.int64), sizes), "vec_id": v.astype(np.int64), "score": s.astype(float)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.itertuples():
                 with np.errstate(over="ignore", invalid="ignore"):
-                    found = pair(row)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+                    q, v, s = pair(row, best)
+                ends = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]) if len(q) else []
+                for a, b in zip(ends, ends[1:]):
+                    old = best.get(int(q[a]))
+                    if old is None:
+                        best[int(q[a])] = s[a:b], v[a:b]
+                        continue
+                    x, y = np.r_[old[0], s[a:b]], np.r_[old[1], v[a:b]]
+                    order = np.lexsort((y, -x))
+                    x, y = x[order], y[order]
+                    new = np.r_[True, y[1:] != y[:-1]]  # another tree may have found a vector before, with the same score
+                    best[int(q[a])] = x[new][:k], y[new][:k]
+                if len(best) > HELD:
+                    yield given(best)
+                    best.clear()
+        yield given(best)
 
     return run
 
@@ -316,7 +337,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, trees: int = TR
     budget = _budget(forest, rows, queries, k)
     held = max(LEAF, BLOCK_BYTES // (8 * dim))
     bits, shared, at_once = forest.cell_bits(held), spark.sparkContext.broadcast(forest), max(64, QUERY_BYTES // (8 * dim))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(trees << (forest.depth - bits), 1 << 14))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = rows.mapInArrow(_indexed(shared, bits, held), "tree int, cell int, part int, leaf int, vec_id long, x binary")
     index = stored(index.groupBy("tree", "cell", "part").applyInPandas(_pack, "tree int, cell int, leaf binary, ids binary, mat binary"), "index")
     visits = stored(queries.repartition(math.ceil(n_q / SENT), "vec_id").mapInArrow(_visits(shared, bits, budget), "tree int, cell int, query_id long, leaves binary"), "visits")

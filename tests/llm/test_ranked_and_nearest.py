@@ -117,6 +117,7 @@ def test_small_and_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK_BYTES", 400)
     monkeypatch.setattr(forest, "QUERY_BYTES", 100)
     monkeypatch.setattr(forest, "SHARE", 1.0)
+    monkeypatch.setattr(forest, "HELD", 3)
     same = [(i, [*v, 0.0, 0.0][:3] if v and len(v) < 3 else v) for i, v in rows]
     for part, limit in ((df, 10**9), (few, 9)):
         got = {}
