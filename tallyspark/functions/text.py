@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dims
-from tallyspark.functions.values import let
+from tallyspark.functions.values import let, listed
 
 
-def literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+#: Array of constants, under the name that other modules know.
+literals = listed
+
+
+def among(w: Column, values: list[str]) -> Column:
+    """Whether w is one of many constants."""
+    return F.array_contains(listed(values), w)
 
 
 def normalize(s: Column) -> Column:
@@ -41,7 +46,7 @@ def qris_meta(n: Column) -> Column:
     acquirer = F.get(F.filter(literals(dims.ACQUIRERS), lambda a: F.contains(n, a)), 0)
 
     def telling(w: Column) -> Column:
-        return (F.length(w) >= 2) & ~w.isin(dims.NOISE_WORDS) & ~w.eqNullSafe(acquirer) & ~w.rlike(r"^\d+$") & ~(w.rlike(r"\d") & (F.length(w) > 5))
+        return (F.length(w) >= 2) & ~among(w, dims.NOISE_WORDS) & ~w.eqNullSafe(acquirer) & ~w.rlike(r"^\d+$") & ~(w.rlike(r"\d") & (F.length(w) > 5))
 
     hint = or_null(F.array_join(F.filter(F.split(n, " "), telling), " "))
     return F.struct(
@@ -63,11 +68,6 @@ def detect_kind(n: Column, direction: Column) -> Column:
     return out.otherwise("other")
 
 
-def listed(values: list[str]) -> Column:
-    """An array of constants, none of which holds a line break: one expression that the optimiser folds into one literal."""
-    return F.split(F.lit("\n".join(values)), "\n")
-
-
 def tree_pattern(words: list[str]) -> str:
     """A regular expression for the longest of the words at a place: their letters as a tree, so that a place is left at the first
     letter that none of them goes on with."""
@@ -120,19 +120,19 @@ def has_name_like_token(hint: Column) -> Column:
 
 def title_case(s: Column) -> Column:
     """Each word capitalised; acronyms and words of one or two letters in upper case."""
-    word = lambda w: F.when(F.upper(w).isin(dims.ACRONYMS) | (F.length(w) <= 2), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+    word = lambda w: F.when(among(F.upper(w), dims.ACRONYMS) | (F.length(w) <= 2), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
     return F.array_join(F.transform(F.filter(F.split(s, r"\s+"), lambda w: w != ""), word), " ")
 
 
 def fee_label(n: Column, fallback: Column) -> Column:
     """A name for a fee from its own normalised text: its first four words that tell something."""
-    words = F.filter(F.split(n, " "), lambda w: w.rlike("^[A-Z]{2,}$") & ~w.isin(dims.FEE_NOISE))
+    words = F.filter(F.split(n, " "), lambda w: w.rlike("^[A-Z]{2,}$") & ~among(w, dims.FEE_NOISE))
     return F.when(F.size(words) == 0, fallback).otherwise(title_case(F.array_join(F.slice(words, 1, 4), " ")))
 
 
 def extract_counterparty(n: Column) -> Column:
     """The other party of a transfer: the longest run of plain words that are no stop words, the last one of equals."""
-    marked = F.transform(F.split(n, " "), lambda w: F.when(w.rlike("^[A-Z]{2,}$") & ~w.isin(dims.STOP_WORDS), w).otherwise(F.lit("|")))
+    marked = F.transform(F.split(n, " "), lambda w: F.when(w.rlike("^[A-Z]{2,}$") & ~among(w, dims.STOP_WORDS), w).otherwise(F.lit("|")))
     runs = F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r)), lambda r: r != "")
     ranked = F.transform(runs, lambda r, i: F.struct(F.size(F.split(r, " ")).alias("words"), i.alias("at"), r.alias("name")))
     name = F.array_max(ranked)["name"]

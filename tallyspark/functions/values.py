@@ -63,12 +63,16 @@ def looks_like_amount(raw: Column) -> Column:
     return F.coalesce(let(F.regexp_replace(F.trim(spaced(raw)), r"(?i)^(?:Rp|IDR)\.?\s*", ""), fits), F.lit(False))
 
 
+def listed(values: list[str]) -> Column:
+    """An array of constants, none of which holds a line break: one expression that the optimiser folds into one literal."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def month_number(name: Column) -> Column:
     """1 to 12 of a month's name or short form, Indonesian or English, or null."""
-    out = F.when(F.lit(False), F.lit(0))
-    for i, names in enumerate(dims.MONTH_NAMES):
-        out = out.when(F.lower(name).isin(names), F.lit(i + 1))
-    return out
+    names = [(n, str(i + 1)) for i, own in enumerate(dims.MONTH_NAMES) for n in own]
+    at = F.array_position(listed([n for n, _ in names]), F.lower(name)).cast("int")
+    return F.get(listed([i for _, i in names]), at - 1).cast("int")
 
 
 def iso_date(year: Column, month: Column, day: Column) -> Column:

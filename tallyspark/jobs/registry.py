@@ -4,6 +4,7 @@ All of them run on the ledger that sources.events_ledger derives from the events
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text, values
 from tallyspark.jobs import oracles as o
-from tallyspark.operators import classify, enrich, export, insights, ledger, merge, metrics
+from tallyspark.jobs import whole
+from tallyspark.operators import classify, enrich, export, insights, ledger, merge, metrics, rollup
+from tallyspark.operators.overrides import Overrides
 from tallyspark.sources import events_ledger, shared, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,3 +586,220 @@ def dictionary_keywords(spark, sf_dir):
     rows = events_ledger.ledger(spark, sf_dir).select("account_id", "seq", text.normalize(F.concat(said, F.lit(" CABANG "), F.col("seq").cast("string"))).alias("n"))
     found = text.match_dictionary(F.col("n"))
     return rows.select("account_id", "seq", found["merchant"].alias("merchant"), found["category"].alias("category"), text.match_category_keyword(F.col("n")).alias("word"))
+
+
+@registered(f"""{o.BASE} SELECT account_id, date, direction, category, merchant, kind, count(*) AS rows, {o.money('sum(amount)')} AS amount, min(amount) AS low, max(amount) AS high, min(seq) AS first_seq, max(seq) AS last_seq, arg_max(balance, seq) AS balance,
+CAST(count(*) FILTER ({o.IDENTIFIED}) AS BIGINT) AS identified, CAST(count(*) FILTER (no_merchant_info) AS BIGINT) AS nameless FROM tx GROUP BY ALL""")
+def rolled_up(spark, sf_dir):
+    """The roll-up that all metrics can be taken from."""
+    out = rollup.rollup(passed_on(spark, sf_dir), ACCOUNT)
+    return out.select("account_id", *rollup.GROUPS, "rows", F.col("amount").cast(MONEY).alias("amount"), "low", "high", F.col("first.seq").alias("first_seq"), F.col("last.seq").alias("last_seq"), "balance", "identified", "nameless")
+
+
+@registered(f"{FILED} {o.by_merchant(ACCOUNT).replace('(date, seq)', '(date, file_idx, seq)').replace('FROM tx', 'FROM ft')}")
+def merchants_of_merged_rollups(spark, sf_dir):
+    """Each file rolled up by itself, the roll-ups added: merchants as of all rows of both."""
+    rows = filed(spark, sf_dir)
+    parts = [shared.written(rollup.rollup(rows.filter(F.col("file_idx") == i), ACCOUNT), f"rollup{i}") for i in (0, 1)]
+    return metrics.by_merchant(rollup.merged(parts, ACCOUNT), ACCOUNT)
+
+
+# Calls of the classifier that fail, and replies that are not as they should be.
+_BATCHED = f"""{_REPS}, bt AS (SELECT *, CAST((row_number() OVER (PARTITION BY account_id ORDER BY seq) - 1) // 30 AS INTEGER) AS batch FROM rp),
+bf AS (SELECT account_id, batch, count(*) AS n, min(seq) // 10 % 3 = 0 AS failed FROM bt GROUP BY ALL),
+kb AS (SELECT tx.*, bt.seq AS rep, bf.failed FROM (SELECT *, {o.DEDUP.format('upper(substr(description, 1, 300))')} AS dk FROM tx) tx LEFT JOIN bt ON tx.account_id = bt.account_id AND tx.dk = bt.dedup_key AND {o.NEEDS} LEFT JOIN bf ON bf.account_id = bt.account_id AND bf.batch = bt.batch)"""
+
+
+def failing(payload: str) -> str:
+    """guess, but for every third batch, by its first id."""
+    if int(json.loads(payload)[0]["id"]) // 10 % 3 == 0:
+        raise OSError("service unavailable")
+    return enrich.guess(payload)
+
+
+def careless(payload: str) -> str:
+    """Replies with unknown ids and categories, blank and long texts, confidences out of range; every fourth row unanswered."""
+    out = [{"id": "-5", "merchant": "X", "category": "hiburan", "confidence": 1.0, "note": None}]
+    kinds = [{"merchant": "Toko A", "category": "foo", "confidence": 7.0, "note": "ok"}, {"merchant": "   ", "category": "hiburan", "confidence": None, "note": None}, {"merchant": "M" * 80, "category": "belanja_online", "confidence": -1.0, "note": "n" * 200}]
+    out += [{"id": item["id"], **kinds[at]} for item in json.loads(payload) if (at := int(item["id"]) // 10 % 4) < 3]
+    return json.dumps(out)
+
+
+@registered(f"{o.BASE}, {_BATCHED} SELECT account_id, seq, CASE WHEN NOT failed THEN {_GUESSED[0]} ELSE merchant END AS merchant, CASE WHEN NOT failed THEN {_GUESSED[1]} ELSE category END AS category, CASE WHEN NOT failed THEN 'ai' ELSE source END AS source, CASE WHEN NOT failed THEN 0.7 ELSE confidence END AS confidence FROM kb")
+def enriched_with_failures(spark, sf_dir):
+    """Every third batch fails: its rows keep what the rules said."""
+    return enrich.enriched(tx(spark, sf_dir), ACCOUNT, failing, ["date", "seq"], tries=2, wait=0).rows.select("account_id", "seq", "merchant", "category", "source", "confidence")
+
+
+@registered(f"{o.BASE}, {_BATCHED} SELECT account_id, batch, n, 2 AS tries, 'OSError: service unavailable' AS reason FROM bf WHERE failed")
+def enrichment_failures(spark, sf_dir):
+    """The report of failed batches."""
+    return enrich.failures(enrich.enriched(tx(spark, sf_dir), ACCOUNT, failing, ["date", "seq"], tries=2, wait=0).answers, ACCOUNT)
+
+
+@registered(f"{ORACLES['enriched']}")
+def enrichment_resumed(spark, sf_dir):
+    """A second run, with a service that answers, calls the failed batches of the first one."""
+    rows = tx(spark, sf_dir)
+    first = enrich.enriched(rows, ACCOUNT, failing, ["date", "seq"], tries=1, wait=0)
+    return enrich.enriched(rows, ACCOUNT, enrich.guess, ["date", "seq"], answers=first.answers).rows.select("account_id", "seq", "merchant", "category", "source", "confidence")
+
+
+_HOW = lambda *answers: "CASE rep // 10 % 4 " + " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(answers[:3])) + f" ELSE {answers[3]} END"
+
+
+@registered(f"""{o.BASE}, {_BATCHED} SELECT account_id, seq, {_HOW("'Toko A'", o.q(dims.UNIDENTIFIED), f"repeat('M', {enrich.MERCHANT})", 'merchant')} AS merchant, {_HOW(o.q(dims.OTHER), "'hiburan'", "'belanja_online'", 'category')} AS category,
+CAST({_HOW('1.0', '0.5', '0.0', 'confidence')} AS DOUBLE) AS confidence, {_HOW("'ok'", 'NULL', f"repeat('n', {enrich.NOTE})", 'note')} AS note, CASE WHEN rep // 10 % 4 < 3 THEN 'ai' ELSE source END AS source FROM kb""")
+def enriched_from_careless_replies(spark, sf_dir):
+    return enrich.enriched(tx(spark, sf_dir), ACCOUNT, careless, ["date", "seq"]).rows.select("account_id", "seq", "merchant", "category", "confidence", "note", "source")
+
+
+_FIELD = lambda name, x: f"CASE WHEN {x} IS NULL THEN '' ELSE concat(',\"{name}\":\"', {x}, '\"') END"
+
+
+@registered(f"""{o.BASE}, {_BATCHED}, it AS (SELECT bt.account_id, batch, bt.seq, concat('{{"id":"', bt.seq, '","keterangan":"', description, '","nominal":', CAST(round(amount) AS BIGINT), ',"arah":"', CASE WHEN direction = 'debit' THEN 'keluar' ELSE 'masuk' END, '","tanggal":"', date, '"',
+CASE WHEN kind = 'qris' THEN concat(',"qris":{{', substr(concat({_FIELD('nmid', "('ID' || nm)")}, {_FIELD('acquirer', 'acquirer')}, {_FIELD('sisa_teks', 'hint')}), 2), '}}') ELSE '' END, '}}') AS item FROM bt JOIN tx ON tx.account_id = bt.account_id AND tx.seq = bt.seq)
+SELECT account_id, batch, concat('[', string_agg(item, ',' ORDER BY seq), ']') AS payload FROM it GROUP BY account_id, batch""")
+def enrichment_payloads(spark, sf_dir):
+    """What the classifier is sent, letter by letter."""
+    return enrich.batches(enrich.representatives(tx(spark, sf_dir), ACCOUNT, ["date", "seq"]), ACCOUNT).select("account_id", "batch", "payload")
+
+
+def _chosen(rows: DataFrame, rest: int, category: str, moment: int) -> DataFrame:
+    """Corrections by hand of some rows."""
+    return rows.filter((F.col("seq") % 70 == rest) & (F.col("kind") == "qris")).select("account_id", "seq", F.lit(category).alias("category"), (F.col("seq") + moment).alias("updated_at"))
+
+
+@registered(f"""{o.BASE}, ky AS (SELECT tx.*, {o.KEY} AS k FROM tx),
+ch AS (SELECT account_id, k, seq, 'hiburan' AS f FROM ky WHERE seq % 70 = 10 AND kind = 'qris' UNION ALL SELECT account_id, k, seq + 1000000000, 'groceries' FROM ky WHERE seq % 70 = 40 AND kind = 'qris'), lt AS (SELECT account_id, k, arg_max(f, seq) AS f FROM ch GROUP BY account_id, k)
+SELECT ky.account_id, seq, CASE WHEN f <> category THEN f ELSE category END AS category, CASE WHEN f <> category THEN 'manual' ELSE source END AS source FROM ky LEFT JOIN lt ON ky.account_id = lt.account_id AND ky.k = lt.k""")
+def overrides_kept(spark, sf_dir):
+    """Two runs correct by hand; the third one reads what both left, the later correction of a key."""
+    rows, store = tx(spark, sf_dir), Overrides(spark, shared.folder(spark, "overrides"), ACCOUNT)
+    store.update(enrich.corrections(rows, _chosen(rows, 10, "hiburan", 0), ACCOUNT))
+    store.update(enrich.corrections(rows, _chosen(rows, 40, "groceries", 1_000_000_000), ACCOUNT))
+    return enrich.apply_overrides(rows, store.read(), ACCOUNT).select("account_id", "seq", "category", "source")
+
+
+@registered(ORACLES["export_rows"].replace(o.BASE, FILED).replace("'' AS file FROM tx", "file_name AS file FROM ft"))
+def exported(spark, sf_dir):
+    """The export written, each file's rows together, and read back."""
+    path = shared.folder(spark, "export")
+    export.export_transactions(filed(spark, sf_dir), path, ["account_id", "file_name"])
+    return export.read_export(spark, path)
+
+
+@registered(f"{LED} SELECT account_id, seq, date, amount FROM led ORDER BY date, account_id, seq LIMIT 50 OFFSET 500")
+def deep_page(spark, sf_dir):
+    """Page 10 by the index of pages."""
+    order = ["date", "account_id", "seq"]
+    rows = shared.written(events_ledger.ledger(spark, sf_dir).select("account_id", "seq", "date", "amount"), "rows")
+    return metrics.page_at(rows, order, metrics.page_index(rows, order), 10)
+
+
+@registered(f"{LED} SELECT account_id, seq, date, amount FROM led ORDER BY date, account_id, seq LIMIT 50 OFFSET 50")
+def next_page(spark, sf_dir):
+    """The page after the first one, by that one's last row."""
+    order = ["date", "account_id", "seq"]
+    rows = shared.written(events_ledger.ledger(spark, sf_dir).select("account_id", "seq", "date", "amount"), "rows")
+    last = metrics.page_after(rows, order).orderBy(*[F.col(c).desc() for c in order]).first()
+    return metrics.page_after(rows, order, [last[c] for c in order])
+
+
+@registered(rf"{LED}, x AS (SELECT account_id, seq, concat({o.NORMAL}, CASE seq // 10 % 3 WHEN 0 THEN concat(' TID T', seq + 1000000) WHEN 1 THEN concat(' A0', seq + 1000000) ELSE ' TERMINAL AB' END) AS n FROM led) SELECT account_id, seq, CASE seq // 10 % 3 WHEN 0 THEN concat('T', seq + 1000000) WHEN 1 THEN concat('A0', seq + 1000000) END AS terminal_id FROM x")
+def qris_terminals(spark, sf_dir):
+    """Terminals by their mark, by their form, and too short to be one."""
+    more, kind = (F.col("seq") + 1_000_000).cast("string"), F.expr("seq div 10 % 3")
+    mark = F.when(kind == 0, F.concat(F.lit(" TID T"), more)).when(kind == 1, F.concat(F.lit(" A0"), more)).otherwise(" TERMINAL AB")
+    n = F.concat(text.normalize(F.col("description")), mark)
+    return events_ledger.ledger(spark, sf_dir).select("account_id", "seq", text.qris_meta(n)["terminal_id"].alias("terminal_id"))
+
+
+# Lines of statements that are no transactions, some of them of one bank only, and one that is.
+_NOISE = ["Halaman 1 dari 3", "SALDO AWAL 1.000,00", "Total Debet 5.000,00", "Nisbah nasabah bagi hasil 40", "Posting Date Keterangan", "CBG 0123", "www.bank.co.id", "Nama : BUDI", "01/02 BELANJA 10.000,00"]
+_SIDES = ["bsi", "mandiri", "bca", "bni"]
+
+
+def _noise_sql() -> str:
+    line, bank = f"[{', '.join(o.q(x) for x in _NOISE)}][seq // 10 % {len(_NOISE)} + 1]", f"[{', '.join(o.q(x) for x in _SIDES)}][seq // 10 // {len(_NOISE)} % {len(_SIDES)} + 1]"
+    tests = [f"regexp_matches(line, {o.q(p)})" for p in dims.NOISE_LINES] + [f"(bank = {o.q(b)} AND regexp_matches(line, {o.q(p)}))" for b, p in dims.BANK_NOISE_LINES.items()]
+    return f"{LED}, x AS (SELECT account_id, seq, {line} AS line, {bank} AS bank FROM led) SELECT account_id, seq, bank, {' OR '.join(tests)} AS noise FROM x"
+
+
+@registered(_noise_sql())
+def statement_noise(spark, sf_dir):
+    at = F.expr("seq div 10")
+    rows = events_ledger.ledger(spark, sf_dir).select("account_id", "seq", F.get(text.literals(_NOISE), (at % len(_NOISE)).cast("int")).alias("line"), F.get(text.literals(_SIDES), F.expr(f"seq div 10 div {len(_NOISE)} % {len(_SIDES)}").cast("int")).alias("bank"))
+    return rows.select("account_id", "seq", "bank", text.is_statement_noise(F.col("line"), F.col("bank")).alias("noise"))
+
+
+def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as delimited files whose descriptions hold line breaks, delimiters and quotes, written and read back."""
+    rows = events_ledger.ledger(spark, sf_dir)
+    said = F.when(F.col("seq") % 20 == 0, F.regexp_replace("description", "^(\\S+) ", "$1\n\n")).when(F.col("seq") % 30 == 10, F.concat("description", F.lit(', "kutip"\n'))).otherwise(F.col("description"))
+    amount = lambda d: F.when(F.col("direction") == d, F.concat(F.lit('"'), F.format_number("amount", 2), F.lit('"'))).otherwise("")
+    line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.concat(F.lit('"'), F.replace(said, F.lit('"'), F.lit('""')), F.lit('"')), amount("debit"), amount("credit"), F.concat(F.lit('"'), F.format_number("balance", 2), F.lit('"')))
+    heads = rows.select("account_id").distinct().select("account_id", F.lit(-1).cast("long").alias("at"), F.lit('Bank Central Asia KlikBCA\n"Date",Description,Debit,Credit,"Balance"').alias("value"))
+    path = shared.folder(spark, "quoted")
+    body = rows.select("account_id", F.col("seq").alias("at"), line.alias("value")).union(heads)
+    body.repartition("account_id").sortWithinPartitions("account_id", "at").select("account_id", "value").write.partitionBy("account_id").text(path)
+    lines = statements.read_statement_text(spark, [path])
+    return lines.select(F.regexp_extract("path", r"account_id=(\d+)/", 1).cast("long").alias("account_id"), "line_no", "text")
+
+
+@registered(rf"""{LED} SELECT account_id, date, trim(CASE WHEN seq % 20 = 0 THEN regexp_replace(description, '^(\S+) ', concat('\1', chr(10), chr(10))) WHEN seq % 30 = 10 THEN concat(description, ', "kutip"', chr(10)) ELSE description END, concat(' ', chr(10))) AS description, amount, direction, balance FROM led""")
+def read_quoted(spark, sf_dir):
+    """Records over several lines: quotes hold line breaks, delimiters and quotes."""
+    out = statements.read_records(quoted_texts(spark, sf_dir), ACCOUNT).filter(~F.col("skipped"))
+    return out.select("account_id", "date", F.regexp_replace("description", "^[ \n]+|[ \n]+$", "").alias("description"), "amount", "direction", "balance")
+
+
+def owned(spark: SparkSession, sf_dir: str) -> whole.Statements:
+    """The text files of five accounts as the files of one owner, read and merged; every tenth owner has one more that holds nothing."""
+    lines = statement_texts(spark, sf_dir).select(F.expr("account_id div 5").alias("owner"), F.expr("cast(account_id % 5 as int)").alias("file_idx"), F.concat(F.lit("f"), F.col("account_id").cast("string")).alias("file_name"), "line_no", "text")
+    lines = shared.written(lines, "owned")
+    junk = lines.select("owner").distinct().filter(F.col("owner") % 10 == 0).select("owner", F.lit(9).alias("file_idx"), F.lit("junk").alias("file_name"), F.lit(0).cast("long").alias("line_no"), F.lit("nothing in here").alias("text"))
+    return whole.read_and_merge(lines.union(junk), ["owner"])
+
+
+_LABELS = {b: label for b, label, _ in dims.BANKS} | {dims.GENERIC_BANK[0]: dims.GENERIC_BANK[1]}
+_BANK = _CASE(*[o.q(k[4]) for k in KINDS])
+_OWNED = f"""{LED.replace('WITH', 'WITH RECURSIVE', 1)}, {_READ}, {_FIXED}, {o.folded('fy')}, {o.classification('fd', 'account_id, seq, date, description, amount, fee, direction, balance')},
+ot AS (SELECT tx.* REPLACE (CASE WHEN NOT fy.known AND fy.direction_confidence < 0.5 THEN least(tx.confidence, 0.5) ELSE tx.confidence END AS confidence), tx.account_id // 5 AS owner, CAST(tx.account_id % 5 AS INTEGER) AS file_idx FROM tx JOIN fy ON tx.account_id = fy.account_id AND tx.seq = fy.seq),
+of0 AS (SELECT account_id // 5 AS owner, CAST(account_id % 5 AS INTEGER) AS file_idx, concat('f', account_id) AS file_name, {_BANK} AS bank, CASE WHEN account_id % 5 IN (0, 2, 4) THEN DATE '2024-01-01' ELSE min(date) END AS a, CASE WHEN account_id % 5 IN (0, 2, 4) THEN DATE '2024-12-31' ELSE max(date) END AS b FROM rd GROUP BY account_id),
+ofl AS (SELECT * FROM of0 UNION ALL SELECT DISTINCT owner, 9, 'junk', 'generic', CAST(NULL AS DATE), CAST(NULL AS DATE) FROM of0 WHERE owner % 10 = 0),
+lb AS (SELECT * FROM (VALUES {', '.join(f'({o.q(b)}, {o.q(label)})' for b, label in _LABELS.items())}) v(bank, label)),
+ok AS (SELECT * FROM ot QUALIFY file_idx = min(file_idx) OVER (PARTITION BY owner, date, direction, amount, balance, upper(description)))"""
+
+
+@registered(f"""{_OWNED}, n AS (SELECT owner, file_idx, count(*) AS n_rows, sum(CASE WHEN {o.NEEDS} THEN 1 ELSE 0 END) AS needs FROM ot GROUP BY ALL)
+SELECT ofl.owner, ofl.file_idx, file_name, ofl.bank, label AS bank_label, coalesce(n_rows, 0) AS n_rows, CAST(coalesce(needs, 0) AS BIGINT) AS needs_ai, CAST(a AS VARCHAR) AS period_start, CAST(b AS VARCHAR) AS period_end FROM ofl JOIN lb ON ofl.bank = lb.bank LEFT JOIN n ON ofl.owner = n.owner AND ofl.file_idx = n.file_idx""")
+def file_overview(spark, sf_dir):
+    """One row a file: bank, label, rows, what needs enrichment, period."""
+    return owned(spark, sf_dir).files.select("owner", "file_idx", "file_name", "bank", "bank_label", "n_rows", "needs_ai", "period_start", "period_end")
+
+
+@registered(f"""{_OWNED}, g AS (SELECT owner, count(*) AS n_rows, min(date) AS period_start, max(date) AS period_end, CAST(sum(CASE WHEN {o.NEEDS} THEN 1 ELSE 0 END) AS BIGINT) AS needs_ai, count(*) FILTER (no_merchant_info) AS no_merchant_info FROM ok GROUP BY owner),
+h AS (SELECT owner, count(*) AS n, count(DISTINCT file_idx) AS n_files FROM ot GROUP BY owner), k AS (SELECT owner, list_sort(list(DISTINCT bank)) AS banks FROM ofl GROUP BY owner)
+SELECT g.owner, n_rows, period_start, period_end, needs_ai, no_merchant_info, n_files, n - n_rows AS duplicates_removed, array_to_string(banks, ',') AS banks, CASE WHEN len(banks) = 1 THEN (SELECT label FROM lb WHERE bank = banks[1]) ELSE concat(len(banks), ' bank berbeda') END AS bank_label FROM g JOIN h ON g.owner = h.owner JOIN k ON g.owner = k.owner""")
+def merged_overview(spark, sf_dir):
+    """One row an owner: rows, period, duplicates, banks and their label."""
+    return owned(spark, sf_dir).summary.withColumn("banks", F.array_join("banks", ","))
+
+
+@registered(f"""{_OWNED}, on1 AS (SELECT owner, count(*) AS n FROM ot GROUP BY owner), on2 AS (SELECT owner, count(*) AS n FROM ok GROUP BY owner)
+SELECT account_id // 5 AS owner, CAST(account_id % 5 AS INTEGER) AS file_idx, 'info' AS level, 'direction_corrected' AS code, count(*) AS n FROM fy WHERE corrected GROUP BY ALL
+UNION ALL SELECT owner, file_idx, 'info', 'rows_skipped', 1 FROM of0 WHERE file_idx = 0 UNION ALL SELECT owner, file_idx, 'warn', 'no_rows', 1 FROM ofl WHERE file_idx = 9
+UNION ALL SELECT a.account_id // 5, CAST(a.account_id % 5 AS INTEGER), 'info', 'fees_merged', a.n - b.n FROM (SELECT account_id, count(*) AS n FROM fy GROUP BY 1) a JOIN (SELECT account_id, count(*) AS n FROM fd GROUP BY 1) b ON a.account_id = b.account_id WHERE a.n > b.n
+UNION ALL SELECT owner, NULL, 'warn', 'mixed_banks', count(DISTINCT bank) FROM ofl GROUP BY owner HAVING count(DISTINCT bank) > 1
+UNION ALL SELECT x.owner, NULL, 'info', 'files_overlap', count(*) FROM ofl x JOIN ofl y ON x.owner = y.owner AND x.file_idx < y.file_idx AND x.a <= y.b AND y.a <= x.b GROUP BY x.owner
+UNION ALL SELECT x.owner, NULL, 'info', 'duplicates_removed', x.n - y.n FROM on1 x JOIN on2 y ON x.owner = y.owner WHERE x.n > y.n""")
+def all_warnings(spark, sf_dir):
+    """All seven warnings of reading and merging, in one table."""
+    return owned(spark, sf_dir).warnings
+
+
+@registered(_OWNED + _headline(["owner"]).removeprefix(o.BASE).replace("FROM tx", "FROM ok"))
+def headline_of_files(spark, sf_dir):
+    """From text files to cash flow: read, corrected, folded, classified, merged."""
+    return metrics.headline_metrics(owned(spark, sf_dir).merged, ["owner"])

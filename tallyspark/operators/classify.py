@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text
+from tallyspark.functions.frames import sealed
+from tallyspark.operators.segments import Segments
 
 META = ("nmid", "mpan", "terminal_id", "reference", "acquirer", "name_hint")
 
@@ -61,19 +63,11 @@ def classify(df: DataFrame, merchants: list[tuple[str, str, list[str]]] | None =
     return sealed(out, [c for c in df.columns if c not in given], given)
 
 
-def sealed(df: DataFrame, kept: list[str], made: dict[str, Column]) -> DataFrame:
-    """The columns kept of df, and those made of it, evaluated once for each row whatever is done with them.
-
-    Through a plain projection the optimiser pushes a filter down, and writes out the whole expression for each mention of its
-    column there, of what that is made of again, and so on. A generator stops it: the made columns are the one element of an array."""
-    whole = F.struct(*[c.alias(name) for name, c in made.items()])
-    return df.select(*kept, F.explode(F.array(whole)).alias("_made")).select(*kept, *[F.col("_made")[name].alias(name) for name in made])
-
-
-def to_transactions(df: DataFrame, file_keys: list[str], order: str = "seq") -> DataFrame:
+def to_transactions(df: DataFrame, file_keys: list[str], order: str = "seq", segments: Segments | None = None) -> DataFrame:
     """classify() with an id from the row's place in its file, its date and its amount."""
-    at = F.row_number().over(Window.partitionBy(*file_keys).orderBy(order)) - 1
-    return classify(df).withColumn("id", F.concat(F.lit("tx-"), at.cast("string"), F.lit("-"), F.col("date").cast("string"), F.lit("-"), F.round("amount").cast("long").cast("string")))
+    cut = segments or Segments(df, file_keys, order)
+    out = classify(cut.place(cut.cut(df), "_place").drop("_segment"))
+    return out.withColumn("id", F.concat(F.lit("tx-"), F.col("_place").cast("string"), F.lit("-"), F.col("date").cast("string"), F.lit("-"), F.round("amount").cast("long").cast("string"))).drop("_place")
 
 
 def needs_enrichment() -> Column:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,9 +14,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text
 from tallyspark.operators.classify import needs_enrichment
+from tallyspark.sources import shared
 
 #: Rows in a call of the classifier; characters of a description, a merchant and a note that are used.
 BATCH, LONGEST, MERCHANT, NOTE = 30, 300, 60, 120
+#: Calls of a batch until it has failed, seconds before the second one, calls that a task has under way.
+TRIES, WAIT, AT_ONCE = 3, 1.0, 3
 REPLY = "array<struct<id:string,merchant:string,category:string,confidence:double,note:string>>"
 
 
@@ -36,21 +42,46 @@ def batches(reps: DataFrame, keys: list[str], size: int = BATCH, order: str = "s
     return out.select(*keys, "batch", "n", F.to_json(F.transform("_items", lambda x: x["item"])).alias("payload"))
 
 
-def answered(calls: DataFrame, keys: list[str], classifier: Callable[[str], str]) -> DataFrame:
-    """calls(keys, batch, payload) with reply: the classifier's text, null if the call failed; a failure fails no other call."""
-    schema = ", ".join([*[f"{k} {dict(calls.dtypes)[k]}" for k in keys], "batch int", "reply string"])
+def answered(calls: DataFrame, keys: list[str], classifier: Callable[[str], str], tries: int = TRIES, wait: float = WAIT, at_once: int = AT_ONCE) -> DataFrame:
+    """calls(keys, batch, n, payload) with what became of each: reply, status (answered or failed), tries, reason.
 
-    def call(payload: str) -> str | None:
-        try:
-            return classifier(payload)
-        except Exception:  # noqa: BLE001 - whatever an outside service raises, the rows keep what the rules said
-            return None
+    A call that raises is made again after wait, twice wait, and so on, tries times in all; then its batch is failed, with the last
+    error as reason, and no other call suffers. Each task has at_once calls under way. The outcome is written: the service is
+    called once, however often the answers are read."""
+    kinds = dict(calls.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "batch int", f"n {kinds['n']}", "payload string", "reply string", "status string", "tries int", "reason string"])
+
+    def call(payload: str) -> tuple[str | None, str, int, str | None]:
+        reason = None
+        for i in range(tries):
+            if i:
+                time.sleep(wait * 2 ** (i - 1))
+            try:
+                return classifier(payload), "answered", i + 1, None
+            except Exception as e:  # noqa: BLE001 - whatever an outside service raises, the batch is reported and the others go on
+                reason = f"{type(e).__name__}: {e}"
+        return None, "failed", tries, reason
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(reply=[call(p) for p in part["payload"]])[[*keys, "batch", "reply"]]
+        with ThreadPoolExecutor(at_once) as pool:
+            for part in parts:
+                got = pd.DataFrame([*pool.map(call, part["payload"])], columns=["reply", "status", "tries", "reason"], index=part.index)
+                yield pd.concat([part, got.astype({"tries": "int32"})], axis=1)
+
+    return shared.written(calls.select(*keys, "batch", "n", "payload").mapInPandas(run, schema), "answers")
+
+
+def failures(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """The batches that failed: (keys, batch, n, tries, reason)."""
+    return answers.filter(F.col("status") == "failed").select(*keys, "batch", "n", "tries", "reason")
 
-    return calls.select(*keys, "batch", "payload").mapInPandas(run, schema)
+
+def resumed(answers: DataFrame, keys: list[str], classifier: Callable[[str], str], **how: float) -> DataFrame:
+    """answers of an earlier run with its failed batches, and only these, called again; tries go on counting."""
+    failed = answers.filter(F.col("status") == "failed")
+    before = failed.select(*keys, "batch", F.col("tries").alias("_before"))
+    again = answered(failed, keys, classifier, **how).join(before, [*keys, "batch"]).withColumn("tries", F.col("tries") + F.col("_before"))
+    return answers.filter(F.col("status") != "failed").unionByName(again.drop("_before"))
 
 
 def validated(replies: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -71,13 +102,28 @@ def expanded(tx: DataFrame, reps: DataFrame, results: DataFrame, keys: list[str]
     return out.withColumns({**{c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("merchant", "category", "confidence", "note")}, "source": F.when(hit, "ai").otherwise(F.col("source"))}).select(tx.columns)
 
 
-def enrich(tx: DataFrame, keys: list[str], classifier: Callable[[str], str], order: list[str], overrides: DataFrame | None = None) -> DataFrame:
-    """The whole way: representatives, calls, checked answers, spread to all rows; corrections by hand before and after."""
+class Enriched(NamedTuple):
+    """Transactions after enrichment, and what became of each call, failed ones with their reasons."""
+
+    rows: DataFrame
+    answers: DataFrame
+
+
+def enriched(tx: DataFrame, keys: list[str], classifier: Callable[[str], str], order: list[str], overrides: DataFrame | None = None, answers: DataFrame | None = None, **how: float) -> Enriched:
+    """The whole way: representatives, calls, checked answers, spread to all rows; corrections by hand before and after.
+
+    Rows of a failed batch keep what the rules said. answers: the outcome of an earlier run over the same rows; then only its failed
+    batches are called. how: tries, wait and at_once of answered()."""
     tx = tx if overrides is None else apply_overrides(tx, overrides, keys)
     reps = representatives(tx, keys, order)
-    results = validated(answered(batches(reps, keys, order=order[-1]), keys, classifier), keys, order[-1])
-    out = expanded(tx, reps, results, keys, order[-1])
-    return out if overrides is None else apply_overrides(out, overrides, keys)
+    got = answered(batches(reps, keys, order=order[-1]), keys, classifier, **how) if answers is None else resumed(answers, keys, classifier, **how)
+    out = expanded(tx, reps, validated(got, keys, order[-1]), keys, order[-1])
+    return Enriched(out if overrides is None else apply_overrides(out, overrides, keys), got)
+
+
+def enrich(tx: DataFrame, keys: list[str], classifier: Callable[[str], str], order: list[str], overrides: DataFrame | None = None) -> DataFrame:
+    """The rows of enriched()."""
+    return enriched(tx, keys, classifier, order, overrides).rows
 
 
 def apply_overrides(tx: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:

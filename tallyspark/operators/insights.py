@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, values
 from tallyspark.operators import metrics
+from tallyspark.operators.rollup import rollup
+from tallyspark.sources import shared
 
 
 def filled(template: str, parts: dict[str, Column]) -> Column:
@@ -19,8 +21,10 @@ def filled(template: str, parts: dict[str, Column]) -> Column:
 def build_insights(tx: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ord, code, tone, title, body): up to ten findings for each key, in order, each only if its figures bear it.
 
-    The parts are one row for each key and join on it; the rules are one array of expressions on the joined row."""
+    tx is read twice: for its roll-up, which is written and which all figures come from, and for the anomalies among its rows. The
+    parts are one row for each key and join on it; the rules are one array of expressions on the joined row."""
     c, rp, said = F.col, values.rupiah, lambda x: F.col(x).cast("string")
+    rows, tx = tx, shared.written(rollup(tx, keys), "rollup")
     recurring = metrics.detect_recurring(tx, keys)
     first = F.min(F.struct((-c("monthly_estimate")).alias("by"), "merchant", "avg_amount", "interval_days")).alias("recurring_first")
     odd = F.coalesce("merchant", F.substring("description", 1, 40)).alias("odd_name")
@@ -32,7 +36,7 @@ def build_insights(tx: DataFrame, keys: list[str]) -> DataFrame:
         metrics.recurring_total(recurring, keys).select(*keys, "monthly_total", "n_tentative", c("n").alias("recurring_n")),
         recurring.groupBy(*keys).agg(first),
         metrics.busiest_weekday(tx, keys).select(*keys, *[c(x).alias(f"busy_{x}") for x in ("label", "total", "n", "average")]),
-        metrics.detect_anomalies(tx, keys, 1).select(*keys, odd, *[c(x).alias(f"odd_{x}") for x in ("amount", "date", "ratio", "label")]),
+        metrics.detect_anomalies(rows, keys, 1, tx).select(*keys, odd, *[c(x).alias(f"odd_{x}") for x in ("amount", "date", "ratio", "label")]),
     ]
     whole = metrics.headline_metrics(tx, keys)
     for part in parts:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.values import spaced
 from tallyspark.operators.classify import needs_enrichment
+from tallyspark.sources import shared
 
 ORDER = ["date", "file_idx", "seq"]
+#: Files that share days with others up to which their table is broadcast.
+MOST_FILES = 200_000
 
 
 def union_statements(files: list[DataFrame], names: list[str]) -> DataFrame:
@@ -28,11 +31,51 @@ def identity() -> list:
     return [F.col("date"), F.col("direction"), F.col("amount"), F.coalesce(F.col("balance").cast("string"), F.lit("-")).alias("balance_key"), said.alias("said")]
 
 
+def file_days(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, file_idx, period_start, period_end): the first and last day of each file's rows, whatever its heading says."""
+    return df.groupBy(*keys, "file_idx").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+
+
+def _pairs(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs a, b (structs) of an account's files whose periods share a day, a before b.
+
+    Files meet by account and month, in the first month that both are in, so that years of statements make no pairs."""
+    month = lambda c: F.trunc(c, "MM")
+    dealt = files.withColumn("_month", F.explode(F.sequence(month("period_start"), month("period_end"), F.expr("interval 1 month"))))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_month"]]) & (F.col("a.file_idx") < F.col("b.file_idx"))
+    meet = (F.col("a.period_start") <= F.col("b.period_end")) & (F.col("b.period_start") <= F.col("a.period_end")) & (F.col("a._month") == F.greatest(month("a.period_start"), month("b.period_start")))
+    return a.join(b, same & meet).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+
+
+def shared_days(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, file_idx, spans): for each file that shares days with others of its account, the days of each meeting (first, last)."""
+    span = F.struct(F.greatest("a.period_start", "b.period_start").alias("first"), F.least("a.period_end", "b.period_end").alias("last"))
+    both = _pairs(files, keys).select(F.explode(F.array("a", "b")).alias("f"), span.alias("span"))
+    return both.groupBy(*[F.col(f"f.{k}").alias(k) for k in [*keys, "file_idx"]]).agg(F.collect_set("span").alias("spans"))
+
+
 def remove_cross_file_duplicates(df: DataFrame, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
     """Rows without those that an earlier file of the account has too; repeats within one file stay.
 
-    The first file of each identity is an aggregate that is summed before the shuffle, joined back: a transaction that a third
-    of all rows repeat is no window of its own. What is shuffled for an identity is 128 bits of hash, not its description."""
+    Only a row of a day that another file of its account covers too can be a duplicate. The days that files share are a table of one
+    row for each file that shares any; it is broadcast up to MOST_FILES rows, so that all other rows stay where they are. Beyond
+    that, every row is compared. Rows without a date always are."""
+    spans = shared.written(shared_days(file_days(df, list(keys)), list(keys)), "spans")
+    if spans.count() > MOST_FILES:
+        return first_files(df, keys)
+    marked = df.join(F.broadcast(spans), [*keys, "file_idx"], "left")
+    day = F.col("date")
+    doubtful = day.isNull() | F.coalesce(F.exists("spans", lambda s: day.between(s["first"], s["last"])), F.lit(False))
+    return marked.filter(~doubtful).select(df.columns).union(first_files(marked.filter(doubtful).select(df.columns), keys))
+
+
+def first_files(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of the first file of the account that has their identity.
+
+    That file is an aggregate that is summed before the shuffle, joined back: a transaction that a third of all rows repeat is no
+    window of its own. What is shuffled for an identity is 128 bits of hash, not its description, and rows of equal bits are
+    taken for equal: the columns themselves are not compared again."""
     whole = [F.coalesce(c.cast("string"), F.lit("\0")) for c in identity()]
     keyed = df.withColumns({"_h1": F.xxhash64(*whole), "_h2": F.xxhash64(F.lit(1), *whole)})
     names = [*keys, "_h1", "_h2"]
@@ -41,28 +84,24 @@ def remove_cross_file_duplicates(df: DataFrame, keys: tuple[str, ...] = ("accoun
     return keyed.join(first, same & (keyed["file_idx"] == first["_first"]), "left_semi").select(df.columns)
 
 
-def statement_files(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a file of transactions: rows, needs_ai, period."""
-    return df.groupBy(*keys, "file_idx", "file_name").agg(F.count("*").alias("n_rows"), F.sum(needs_enrichment().cast("long")).alias("needs_ai"), F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+def statement_files(df: DataFrame, keys: list[str], banks: DataFrame | None = None) -> DataFrame:
+    """One row a file of transactions: rows, needs_ai, period; with banks(keys, file_idx, bank, bank_label), its bank and label too."""
+    out = df.groupBy(*keys, "file_idx", "file_name").agg(F.count("*").alias("n_rows"), F.sum(needs_enrichment().cast("long")).alias("needs_ai"), F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+    return out if banks is None else out.join(banks.select(*keys, "file_idx", "bank", "bank_label"), [*keys, "file_idx"], "left")
 
 
 def overlapping_files(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of an account's files whose periods share a day: file_a before file_b.
-
-    Files meet by account and month, in the first month that both are in, so that years of statements make no pairs."""
-    month = lambda c: F.trunc(c, "MM")
-    dealt = files.withColumn("_month", F.explode(F.sequence(month("period_start"), month("period_end"), F.expr("interval 1 month"))))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_month"]]) & (F.col("a.file_idx") < F.col("b.file_idx"))
-    shared = (F.col("a.period_start") <= F.col("b.period_end")) & (F.col("b.period_start") <= F.col("a.period_end")) & (F.col("a._month") == F.greatest(month("a.period_start"), month("b.period_start")))
-    return a.join(b, same & shared).select(*[F.col(f"a.{k}") for k in keys], F.col("a.file_name").alias("file_a"), F.col("b.file_name").alias("file_b"))
+    """Pairs of an account's files whose periods share a day: file_a before file_b."""
+    return _pairs(files, keys).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.file_name").alias("file_a"), F.col("b.file_name").alias("file_b"))
 
 
-def merge_summary(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Per account: files, rows, duplicates removed, period, rows that need enrichment or name no merchant."""
+def merge_summary(before: DataFrame, after: DataFrame, keys: list[str], banks: DataFrame | None = None) -> DataFrame:
+    """Per account: files, rows, duplicates removed, period, rows that need enrichment or name no merchant; with banks(keys, bank,
+    bank_label), one row a file, its banks in order and their label too."""
     n = before.groupBy(*keys).agg(F.count("*").alias("n_before"), F.count_distinct("file_idx").alias("n_files"))
     out = after.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.sum(needs_enrichment().cast("long")).alias("needs_ai"), F.sum(F.col("no_merchant_info").cast("long")).alias("no_merchant_info"))
-    return out.join(n, keys).withColumn("duplicates_removed", F.col("n_before") - F.col("n_rows")).drop("n_before")
+    out = out.join(n, keys).withColumn("duplicates_removed", F.col("n_before") - F.col("n_rows")).drop("n_before")
+    return out if banks is None else out.join(bank_label(banks, keys), keys, "left")
 
 
 def bank_label(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,6 +111,21 @@ def bank_label(files: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("bank_label", label).drop("_labels")
 
 
+def all_warnings(files: DataFrame, records: DataFrame, corrected: DataFrame, folded: DataFrame, rows: DataFrame, keys: list[str], file_keys: list[str]) -> DataFrame:
+    """Everything that reading and merging the files did, as one table (keys, file_idx, level, code, n): of each file directions
+    corrected, rows skipped, fee rows merged, no rows; of each account (no file_idx) duplicates removed, files that overlap,
+    several banks. files(file_keys, file_name, bank, bank_label, period_start, period_end as dates); records, corrected and folded as in
+    file_warnings; rows: all transactions of all files before duplicates go."""
+    own = file_warnings(files, records, corrected, folded, file_keys)
+    gone = rows.groupBy(*keys).agg(F.count("*").alias("_n")).join(remove_cross_file_duplicates(rows, tuple(keys)).groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    merged = [
+        ("info", "duplicates_removed", gone.select(*keys, (F.col("_n") - F.col("_m")).alias("n"))),
+        ("info", "files_overlap", overlapping_files(files, keys).groupBy(*keys).agg(F.count("*").alias("n"))),
+    ]
+    parts = [own, mixed_banks(files, keys), *[df.filter(F.col("n") > 0).select(*keys, F.lit(level).alias("level"), F.lit(code).alias("code"), F.col("n").cast("long").alias("n")) for level, code, df in merged]]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def statement_warnings(summary: DataFrame, overlaps: DataFrame, corrected: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, level, code, n) of what the merge did: directions corrected, duplicates removed, files that overlap."""
     of = lambda df, level, code, n: df.filter(n > 0).select(*keys, F.lit(level).alias("level"), F.lit(code).alias("code"), n.cast("long").alias("n"))

@@ -1,23 +1,21 @@
-"""Cash-flow metrics of classified transactions, for each combination of keys (none: of the whole table).
+"""Cash-flow metrics of classified transactions, or of a roll-up of them, for each combination of keys (none: of the whole table).
 
 Every list is one groupBy with sums taken before the shuffle; "first" and "last" mean the order of date, file and row, and are
 min_by and max_by over it, so that no group is ever collected or sorted in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, values
-from tallyspark.operators.classify import is_identified, is_spending, with_category
+from tallyspark.operators.classify import is_spending, with_category
+from tallyspark.operators.rollup import ORDER, deviation, rolled
+from tallyspark.sources import shared
 
 MONEY = "decimal(18,2)"
-ORDER = ("date", "file_idx", "seq")
-
-
-def place(df: DataFrame) -> Column:
-    """The order of rows, by as much of (date, file_idx, seq) as there is."""
-    return F.struct(*[F.col(c) for c in ORDER if c in df.columns])
 
 
 def money(c: Column) -> Column:
@@ -34,7 +32,12 @@ def total(test: Column, of: str = "amount") -> Column:
 
 
 def count_if(test: Column) -> Column:
-    return F.sum(F.when(test, 1).otherwise(0)).cast("long")
+    """Rows that meet the test."""
+    return F.coalesce(F.sum(F.when(test, F.col("rows"))), F.lit(0)).cast("long")
+
+
+def count() -> Column:
+    return F.coalesce(F.sum("rows"), F.lit(0)).cast("long")
 
 
 def debit() -> Column:
@@ -47,30 +50,31 @@ def credit() -> Column:
 
 def headline_metrics(tx: DataFrame, keys: list[str]) -> DataFrame:
     """income, expense (all debits), net, n, period, days, average spending a day, average debit, savings rate."""
-    out = tx.groupBy(*keys).agg(total(credit()).alias("income"), total(debit()).alias("expense"), F.count("*").alias("n"), F.min("date").alias("period_start"), F.max("date").alias("period_end"), total(is_spending()).alias("spending"), count_if(debit()).alias("n_debits"))
+    out = rolled(tx).groupBy(*keys).agg(total(credit()).alias("income"), total(debit()).alias("expense"), count().alias("n"), F.min("date").alias("period_start"), F.max("date").alias("period_end"), total(is_spending()).alias("spending"), count_if(debit()).alias("n_debits"))
     out = out.withColumn("net", (F.col("income") - F.col("expense")).cast(MONEY)).withColumn("days", values.days_inclusive(F.col("period_start"), F.col("period_end")))
     saved = F.when(F.col("income") > 0, ratio(F.col("net"), F.col("income"))).otherwise(0.0)
     return out.withColumns({"avg_daily_expense": ratio(F.col("spending"), F.col("days")), "avg_transaction": ratio(F.col("expense"), F.col("n_debits")), "savings_rate": saved}).drop("spending", "n_debits")
 
 
 def qris_metrics(tx: DataFrame, keys: list[str]) -> DataFrame:
-    return tx.groupBy(*keys).agg(count_if(F.col("kind") == "qris").alias("qris_count"), total(F.col("kind") == "qris").alias("qris_total"))
+    return rolled(tx).groupBy(*keys).agg(count_if(F.col("kind") == "qris").alias("qris_count"), total(F.col("kind") == "qris").alias("qris_total"))
 
 
 def identification_metrics(tx: DataFrame, keys: list[str]) -> DataFrame:
     """Share of rows that are identified, rows identified by the external classifier, rows without merchant information."""
-    out = tx.groupBy(*keys).agg(F.count("*").alias("n"), count_if(is_identified()).alias("n_identified"), count_if(F.col("source") == "ai").alias("ai_identified"), count_if(F.col("no_merchant_info")).alias("no_merchant_info_count"), total(F.col("no_merchant_info")).alias("no_merchant_info_total"))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = rolled(tx).groupBy(*keys).agg(count().alias("n"), add("identified").alias("n_identified"), add("by_ai").alias("ai_identified"), add("nameless").alias("no_merchant_info_count"), money(F.sum("nameless_amount")).alias("no_merchant_info_total"))
     return out.withColumn("identified_share", ratio(F.col("n_identified"), F.col("n"))).drop("n", "n_identified")
 
 
 def ending_balance(tx: DataFrame, keys: list[str]) -> DataFrame:
     """The last balance there is."""
-    return tx.filter(F.col("balance").isNotNull()).groupBy(*keys).agg(F.max_by("balance", place(tx)).cast(MONEY).alias("ending_balance"))
+    return rolled(tx).filter(F.col("balance").isNotNull()).groupBy(*keys).agg(F.max_by("balance", "balance_at").cast(MONEY).alias("ending_balance"))
 
 
 def by_category(tx: DataFrame, keys: list[str]) -> DataFrame:
     """Debits by category: total, n, share of all debits, label, emoji."""
-    groups = tx.filter(debit()).groupBy(*keys, "category").agg(money(F.sum("amount")).alias("total"), F.count("*").alias("n"))
+    groups = rolled(tx).filter(debit()).groupBy(*keys, "category").agg(money(F.sum("amount")).alias("total"), count().alias("n"))
     whole = F.sum("total").over(Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]))
     return with_category(groups.withColumn("share", ratio(F.col("total"), whole)))
 
@@ -78,19 +82,19 @@ def by_category(tx: DataFrame, keys: list[str]) -> DataFrame:
 def by_merchant(tx: DataFrame, keys: list[str]) -> DataFrame:
     """Debits by merchant (none: unidentified): total, n, average, category of the first."""
     name = F.trim(F.coalesce("merchant", F.lit("")))
-    rows = tx.filter(debit()).withColumn("merchant", F.when(name == "", dims.UNIDENTIFIED).otherwise(name))
-    out = rows.groupBy(*keys, "merchant").agg(money(F.sum("amount")).alias("total"), F.count("*").alias("n"), F.min_by("category", place(tx)).alias("category"))
+    rows = rolled(tx).filter(debit()).withColumn("merchant", F.when(name == "", dims.UNIDENTIFIED).otherwise(name))
+    out = rows.groupBy(*keys, "merchant").agg(money(F.sum("amount")).alias("total"), count().alias("n"), F.min_by("category", "first").alias("category"))
     return out.withColumn("average", ratio(F.col("total"), F.col("n")))
 
 
 def by_month(tx: DataFrame, keys: list[str]) -> DataFrame:
-    out = tx.groupBy(*keys, F.date_format("date", "yyyy-MM").alias("month")).agg(total(credit()).alias("income"), total(debit()).alias("expense"))
+    out = rolled(tx).groupBy(*keys, F.date_format("date", "yyyy-MM").alias("month")).agg(total(credit()).alias("income"), total(debit()).alias("expense"))
     return out.withColumns({"net": (F.col("income") - F.col("expense")).cast(MONEY), "label": values.month_label(F.concat("month", F.lit("-01")).cast("date"))})
 
 
 def by_day(tx: DataFrame, keys: list[str]) -> DataFrame:
     """income, expense and the last balance of each day."""
-    return tx.groupBy(*keys, "date").agg(total(credit()).alias("income"), total(debit()).alias("expense"), F.max_by("balance", F.when(F.col("balance").isNotNull(), place(tx))).cast(MONEY).alias("balance"))
+    return rolled(tx).groupBy(*keys, "date").agg(total(credit()).alias("income"), total(debit()).alias("expense"), F.max_by("balance", "balance_at").cast(MONEY).alias("balance"))
 
 
 def by_weekday(tx: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,39 +103,45 @@ def by_weekday(tx: DataFrame, keys: list[str]) -> DataFrame:
     sums = [x for i in range(7) for x in (total(on(i)).alias(f"_t{i}"), count_if(on(i)).alias(f"_n{i}"))]
     week = F.array(*[F.struct(F.lit(i).alias("weekday"), F.lit((i + 6) % 7).alias("place"), F.lit(dims.WEEKDAYS[i]).alias("label"), F.coalesce(f"_t{i}", F.lit(0)).cast(MONEY).alias("total"), F.coalesce(f"_n{i}", F.lit(0)).cast("long").alias("n")) for i in range(7)])
     # a row for each key that has any transaction; without keys none of an empty table
-    out = tx.groupBy(*keys).agg(F.count("*").alias("_rows"), *sums).filter(F.col("_rows") > 0).select(*keys, F.inline(week))
+    out = rolled(tx).groupBy(*keys).agg(count().alias("_rows"), *sums).filter(F.col("_rows") > 0).select(*keys, F.inline(week))
     return out.withColumn("average", ratio(F.col("total"), F.col("n")))
 
 
 def detect_recurring(tx: DataFrame, keys: list[str]) -> DataFrame:
     """Payments that come back: two a month apart of nearly one amount (tentative), or three and more of steady amount and pace.
 
-    Basket labels, which hold a good part of all rows, go before the window that measures the gaps."""
+    Basket labels, which hold a good part of all rows, go before the shuffle. Rows of one day are one row before the window that
+    measures the gaps: their gaps are 0, which add nothing to the gaps' sum (the days from first to last) and squares."""
     name = F.trim("merchant")
-    rows = tx.filter(debit() & F.col("merchant").isNotNull() & (name != "") & ~name.isin(dims.UNIDENTIFIED, dims.NO_NAME, *dims.GENERIC_LABELS)).withColumn("merchant", name)
-    order = [c for c in ORDER if c in tx.columns]
-    gap = F.datediff("date", F.lag("date").over(Window.partitionBy(*keys, "merchant").orderBy(*order)))
-    a = F.col("amount").cast("double")
-    out = rows.withColumn("gap", gap).groupBy(*keys, "merchant").agg(
-        F.max_by("category", place(tx)).alias("category"), F.count("*").alias("occurrences"), F.avg(a).alias("avg"), F.stddev_pop(a).alias("sd"), F.min(a).alias("low"), F.max(a).alias("high"), F.avg("gap").alias("pace"), F.stddev_pop("gap").alias("unrest"), F.max("date").alias("last_date")
-    )
+    rows = rolled(tx).filter(debit() & F.col("merchant").isNotNull() & (name != "") & ~name.isin(dims.UNIDENTIFIED, dims.NO_NAME, *dims.GENERIC_LABELS)).withColumn("merchant", name)
+    days = rows.groupBy(*keys, "merchant", "date").agg(count().alias("n"), F.sum("amount").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"), F.max_by("category", "last").alias("category"))
+    gap = F.datediff("date", F.lag("date").over(Window.partitionBy(*keys, "merchant").orderBy("date"))).cast("long")
+    out = days.withColumn("gap", gap).groupBy(*keys, "merchant").agg(
+        F.max_by("category", "last").alias("category"), F.sum("n").alias("occurrences"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").cast("double").alias("low"), F.max("high").cast("double").alias("high"),
+        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gaps"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    ).filter(F.col("occurrences") >= 2)
+    n, gaps = F.col("occurrences"), F.col("occurrences") - 1
+    span = F.datediff("last_date", "first_date")
+    out = out.withColumns({"avg": F.col("total").cast("double") / n, "sd": deviation(n, F.col("total"), F.col("squares")), "pace": span / gaps, "unrest": deviation(gaps, span, F.col("gaps"))})
     avg, pace, differ = F.col("avg"), F.col("pace"), F.col("high") - F.col("low")
-    twice = (F.col("occurrences") == 2) & pace.between(25, 35) & ~((differ / avg > 0.1) & (differ > 1000))
-    often = (F.col("occurrences") >= 3) & (F.col("sd") / avg <= 0.2) & pace.between(5, 45) & (F.col("unrest") <= pace * 0.5)
+    twice = (n == 2) & pace.between(25, 35) & ~((differ / avg > 0.1) & (differ > 1000))
+    often = (n >= 3) & (F.col("sd") / avg <= 0.2) & pace.between(5, 45) & (F.col("unrest") <= pace * 0.5)
     out = out.filter((avg > 0) & (twice | often))
-    return out.select(*keys, "merchant", "category", "occurrences", F.round(avg, 2).alias("avg_amount"), F.round(pace).cast("long").alias("interval_days"), "last_date", F.round(avg * 30 / F.greatest(F.lit(1.0), pace), 2).alias("monthly_estimate"), (F.col("occurrences") == 2).alias("tentative"))
+    return out.select(*keys, "merchant", "category", "occurrences", F.round(avg, 2).alias("avg_amount"), F.round(pace).cast("long").alias("interval_days"), "last_date", F.round(avg * 30 / F.greatest(F.lit(1.0), pace), 2).alias("monthly_estimate"), (n == 2).alias("tentative"))
 
 
 def recurring_total(recurring: DataFrame, keys: list[str]) -> DataFrame:
-    return recurring.groupBy(*keys).agg(F.round(F.sum("monthly_estimate"), 2).alias("monthly_total"), F.count("*").alias("n"), count_if(F.col("tentative")).alias("n_tentative"))
+    return recurring.groupBy(*keys).agg(F.round(F.sum("monthly_estimate"), 2).alias("monthly_total"), F.count("*").alias("n"), F.count_if("tentative").alias("n_tentative"))
 
 
-def detect_anomalies(tx: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
+def detect_anomalies(tx: DataFrame, keys: list[str], k: int = 8, of: DataFrame | None = None) -> DataFrame:
     """Spending far above its category's average: at least 2.5 deviations and twice the mean, in categories of five rows and
-    more; the k largest of each key. Statistics are a small table that is joined back: no category is a window."""
+    more; the k largest of each key. Statistics are a small table that is joined back: no category is a window. of: a roll-up of
+    tx to take them from."""
     a = F.col("amount").cast("double")
     spending = tx.filter(is_spending())
-    stats = spending.groupBy(*keys, "category").agg(F.count("*").alias("_n"), F.avg(a).alias("_mean"), F.stddev_pop(a).alias("_sd")).filter((F.col("_n") >= 5) & (F.col("_sd") > 0))
+    sums = rolled(tx if of is None else of).filter(is_spending()).groupBy(*keys, "category").agg(count().alias("_n"), F.sum("amount").alias("_t"), F.sum("squares").alias("_q"))
+    stats = sums.select(*keys, "category", "_n", (F.col("_t").cast("double") / F.col("_n")).alias("_mean"), deviation(F.col("_n"), F.col("_t"), F.col("_q")).alias("_sd")).filter((F.col("_n") >= 5) & (F.col("_sd") > 0))
     far = spending.join(stats, [*keys, "category"]).filter((a >= F.col("_mean") + 2.5 * F.col("_sd")) & (a >= 2 * F.col("_mean")))
     out = with_category(far.withColumn("ratio", F.round(a / F.col("_mean"), 6)).drop("_n", "_mean", "_sd"))
     order = [F.col("amount").desc(), *[F.col(c) for c in ("account_id", *ORDER) if c in tx.columns]]
@@ -176,9 +186,45 @@ def busiest_weekday(tx: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def page(tx: DataFrame, order: list[str], limit: int = 50, offset: int = 0) -> DataFrame:
+    """The first pages: offset and limit rows meet in one place. Deep ones: page_after and page_at."""
     return tx.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(tx: DataFrame, order: list[str], last: Sequence | None = None, limit: int = 50) -> DataFrame:
+    """The limit rows that follow the one whose values of the order columns are `last` (None: the first ones).
+
+    However deep the page, a task keeps limit rows. The first column alone also bounds the scan, so that files and row groups
+    before it are skipped. The order columns are never null and name one row."""
+    if last is not None:
+        kinds = {f.name: f.dataType for f in tx.schema}
+        values = [F.lit(v).cast(kinds[c]) for c, v in zip(order, last, strict=True)]
+        tx = tx.filter(F.col(order[0]) >= values[0]).filter(F.struct(*order) > F.struct(*[v.alias(c) for c, v in zip(order, values, strict=True)]))
+    return tx.orderBy(*order).limit(limit)
+
+
+def page_index(tx: DataFrame, order: list[str], limit: int = 50) -> DataFrame:
+    """(page, order columns): the first row of each page, pages from 0. One distributed sort: a row's rank is its place in its range
+    partition and the rows of those before, a table of one row a partition."""
+    rows = tx.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = shared.written(rows, "sorted")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(sizes, part == F.col("_of")).filter(rank % limit == 0).select(F.expr(f"(_before + (_at & {(1 << 33) - 1})) div {limit}").alias("page"), *order)
+
+
+def page_at(tx: DataFrame, order: list[str], index: DataFrame, number: int, limit: int = 50) -> DataFrame:
+    """Page `number` of tx by its page_index: the rows from that page's first one on."""
+    first = index.filter(F.col("page") == number).select(*order).first()
+    if first is None:
+        return tx.limit(0)
+    values = [F.lit(v).cast(t) for v, t in zip(first, [index.schema[c].dataType for c in order], strict=True)]
+    rows = tx.filter(F.col(order[0]) >= values[0]).filter(F.struct(*order) >= F.struct(*[v.alias(c) for c, v in zip(order, values, strict=True)]))
+    return rows.orderBy(*order).limit(limit)
+
+
 def daily_balance_series(tx: DataFrame, keys: list[str]) -> DataFrame:
     """Days with a balance, of keys that have at least two."""
     days = by_day(tx, keys).filter(F.col("balance").isNotNull()).select(*keys, "date", "balance")

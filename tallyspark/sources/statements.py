@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text, values
+from tallyspark.functions.frames import sealed
 from tallyspark.sources import shared
 
 #: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns.
@@ -188,9 +189,10 @@ def by_headings(rows: DataFrame, header: DataFrame, keys: list[str], default_yea
     period = head.select(*keys, values.find_period(F.col("_head")).alias("period"))
     data = rows.join(header, keys).join(period, keys).filter(F.col("line_no") > F.col("header_line"))
     cell = lambda f: F.get("cells", F.col(f"columns.{f}"))
-    data = data.withColumns({f"_{f}": cell(f) for f in FIELDS}).filter(F.trim(F.coalesce("_date", F.lit(""))) != "")
+    data = data.filter(F.trim(F.coalesce(cell("date"), F.lit(""))) != "").withColumns({f"_{f}": cell(f) for f in FIELDS})
     amount = lambda f: values.parse_amount(F.col(f"_{f}"))
-    data = data.withColumns({"_found": values.find_date(F.col("_date")), "_d": amount("debit"), "_c": amount("credit"), "_g": amount("amount"), "balance": amount("balance"), "_t": F.upper(F.trim(F.coalesce("_type", F.lit(""))))})
+    read = {"_found": values.find_date(F.col("_date")), "_d": amount("debit"), "_c": amount("credit"), "_g": amount("amount"), "balance": amount("balance"), "_t": F.upper(F.trim(F.coalesce("_type", F.lit(""))))}
+    data = sealed(data, [*keys, "line_no", "columns", "period", "_description", "_remark"], read)
     has = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
     typed_credit, typed_debit = F.col("_t").rlike("^(?:C|CR|K|KR|KREDIT|CREDIT|MASUK|IN)$"), F.col("_t").rlike("^(?:D|DB|DR|DEBIT|DEBET|KELUAR|OUT)$")
     bare = (F.col("_g") > 0) & F.col("columns.type").isNull() & F.col("columns.debit").isNull()
@@ -200,11 +202,12 @@ def by_headings(rows: DataFrame, header: DataFrame, keys: list[str], default_yea
     said = text.merge_description(F.col("_description"), F.col("_remark"))
     iso = values.resolve_year(F.col("_found.iso"), F.col("period.start"), F.col("period.end"), F.lit(default_year))
     value = F.abs(F.when(has("_d"), F.col("_d")).when(has("_c"), F.col("_c")).otherwise(F.col("_g")))
-    return data.select(
-        *keys, F.col("line_no").cast("long").alias("seq"), iso.try_cast("date").alias("date"), F.when(said == "", "(tanpa keterangan)").otherwise(said).alias("description"),
-        value.alias("amount"), F.when(has("_d"), "debit").when(has("_c"), "credit").otherwise(generic).alias("direction"), "balance",
-        F.when(one, 0.9).otherwise(sure).alias("direction_confidence"), (F.col("_found").isNull() | ~F.coalesce(value != 0, F.lit(False))).alias("skipped"),
-    )
+    out = {
+        "seq": F.col("line_no").cast("long"), "date": iso.try_cast("date"), "description": F.when(said == "", "(tanpa keterangan)").otherwise(said),
+        "amount": value, "direction": F.when(has("_d"), "debit").when(has("_c"), "credit").otherwise(generic), "balance": F.col("balance"),
+        "direction_confidence": F.when(one, 0.9).otherwise(sure), "skipped": F.col("_found").isNull() | ~F.coalesce(value != 0, F.lit(False)),
+    }
+    return sealed(data, keys, out)
 
 
 def detect_columns(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -270,11 +273,12 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
     head = head_text(lines, keys, PERIOD_CHARACTERS)
     rows = lines.filter(F.trim("text") != "").filter(~text.is_statement_noise(F.col("text"), bank))
     rows = rows.join(detect_columns(lines, keys), keys, "left").join(head.select(*keys, values.find_period(F.col("head")).alias("period")), keys, "left")
-    rows = rows.withColumns({"_found": values.find_leading_date(F.col("text")), "_cells": numeric_cells(F.col("text"), F.col("cells"))})
+    given = [*keys, "line_no", "text", "period", *[f"{h}_x" for h in dims.COLUMN_HEADS]]
+    rows = sealed(rows, given, {"_found": values.find_leading_date(F.col("text")), "_cells": numeric_cells(F.col("text"), F.col("cells"))})
     size = F.size("_cells")
     at_balance = (size >= 2) & (F.col("balance_x").isNull() | (F.abs(F.element_at("_cells", -1)["x"] - F.col("balance_x")) < NEAR_BALANCE))
     rows = rows.withColumn("_own", F.when(at_balance, F.slice("_cells", F.lit(1), size - 1)).otherwise(F.col("_cells")))
-    rows = rows.withColumns({"balance": F.when(at_balance, F.element_at("_cells", -1)["value"]), "_r": resolve_direction(F.col("text"), F.col("_own"), F.col("debit_x"), F.col("credit_x"))})
+    rows = sealed(rows, [*given, "_found", "_cells"], {"balance": F.when(at_balance, F.element_at("_cells", -1)["value"]), "_r": resolve_direction(F.col("text"), F.col("_own"), F.col("debit_x"), F.col("credit_x"))})
     accepted = F.col("_found").isNotNull() & (size > 0) & F.coalesce(F.col("_r.amount") != 0, F.lit(False))
     continues = F.col("_found").isNull() & (size == 0) & F.col("text").rlike("[A-Za-z]{3}")
     rows = rows.withColumns({"_is": accepted, "_goes_on": continues}).filter(F.col("_is") | F.col("_goes_on"))

@@ -151,3 +151,46 @@ def test_warnings_of_files(spark):
     out = merge.file_warnings(files, records.union(skipped), fixed, ledger.attach_fees(fixed, ["account_id"]), ["account_id"])
     assert {(r["account_id"], r["level"], r["code"], r["n"]) for r in out.collect()} == {(1, "info", "direction_corrected", 1), (1, "info", "rows_skipped", 1), (1, "info", "fees_merged", 1), (2, "warn", "no_rows", 1)}
     assert [(r["code"], r["n"]) for r in merge.mixed_banks(files.withColumn("owner", F.lit(1)), ["owner"]).collect()] == [("mixed_banks", 2)]
+
+
+def test_results_do_not_depend_on_where_files_are_cut(spark, monkeypatch):
+    """Directions, folded fees and places of files cut into a few rows each, against the rules applied row by row."""
+    import random
+    from decimal import Decimal
+
+    from tallyspark.operators import segments
+
+    rng, given = random.Random(3), []
+    for f, n in (("a", 61), ("b", 7), ("c", 1), ("d", 25)):
+        balance, day, said = Decimal(100000), 1, "x"
+        for i in range(n):
+            if rng.random() < 0.5:
+                day, said = day + rng.randrange(2), rng.choice(("Transfer X", "transfer  x ", "BELI"))
+            amount = Decimal(rng.choice((2500, 500, 6500, 90000, 150000)))
+            direction = rng.choice(("debit", "debit", "debit", "credit"))
+            balance += amount if direction == "credit" else -amount
+            shown = None if rng.random() < 0.2 else balance + (0 if rng.random() < 0.8 else 7)
+            given.append((f, 10 * i, D(2026, 1, 1 + day % 28), said, amount, rng.choice(("debit", direction)), shown))
+    df = spark.createDataFrame(given, "file string, seq long, date date, description string, amount decimal(18,2), direction string, balance decimal(18,2)").repartition(4)
+
+    want, places = {}, {}
+    for f in "abcd":
+        done, before = [], None
+        for _, seq, date, said, amount, direction, balance in [r for r in given if r[0] == f]:
+            if before is not None and balance is not None and abs(abs(balance - before) - amount) <= 1:
+                direction = "credit" if balance >= before else "debit"
+            before = balance
+            same = " ".join(said.upper().split())
+            p = done[-1] if done else None
+            if p and p["date"] == date and p["direction"] == direction == "debit" and p["same"] == same and amount < p["amount"] and amount <= 25000 and amount <= p["amount"] * Decimal("0.1"):
+                p |= {"amount": p["amount"] + amount, "fee": (p["fee"] or 0) + amount, "balance": p["balance"] if balance is None else balance}
+            else:
+                done.append({"seq": seq, "date": date, "direction": direction, "same": same, "amount": amount, "fee": None, "balance": balance})
+        want |= {(f, p["seq"]): (p["amount"], p["fee"], p["balance"], p["direction"]) for p in done}
+        places |= {(f, p["seq"]): f"tx-{i}-{p['date']}-{int(p['amount'])}" for i, p in enumerate(done)}
+    assert sum(v[1] is not None for v in want.values()) >= 5
+    for n in (1 << 20, 6, 3, 1):
+        monkeypatch.setattr(segments, "ROWS", n)
+        out = ledger.transactions(df, ["file"]).collect()
+        assert {(r["file"], r["seq"]): (r["amount"], r["fee"], r["balance"], r["direction"]) for r in out} == want, n
+        assert {(r["file"], r["seq"]): r["id"] for r in out} == places and len(out) == len(want)
