@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources.shared import leave
+
 #: White space as every operator here means it, and words between it (regular expressions).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,13 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str = "part") -> DataFrame:
-    """df written once as Parquet into the shared folder and read back: lineage ends there and a lost executor costs no recomputation."""
+    """df written once as Parquet into the shared folder and read back: lineage ends there and a lost executor costs no recomputation.
+    It is deleted when the program ends, or before by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # Spark deletes the shuffle files of what was just run once the driver's garbage is collected, and not before
     if (jvm := getattr(spark, "_jvm", None)) is not None:
         jvm.System.gc()
+    leave(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -9,7 +9,7 @@ no more than LEAST minima are candidates too, pair by pair.
 Regions form clusters (components of "in one region"). A cluster of at most SMALL members is settled in one place: every
 pair that is not yet connected is compared on full sets, so no link is lost there. In a larger cluster the regions are cut
 deeper as far as they are dense, each to the depth that leaves it at most REGION members, and a region is settled in one
-place, all its pairs at once. The trees come in turns: a turn skips the regions whose members confirmed links connect already.
+place, all its pairs at once. What is settled in one place also holds at most about LOAD shingles, be they many or few members'. The trees come in turns: a turn skips the regions whose members confirmed links connect already.
 A region that is dense at every depth (its members agree on DEEPEST minima in a row, so they are all but equal) is settled in
 parts that their smallest members tie together. All this only connects the most of a dense region cheaply: what it leaves
 apart is then compared at DEPTH, whole, each part of the region with each other one.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import stored, table
@@ -35,6 +35,8 @@ from tallyspark.llm.shingles import WORDS, shingle_sets
 TREES, STRIDE, LEAST, DEPTH, DEEPEST, RANGE = 16, 5, 3, 5, 8, 1 << 20
 #: Members of a cluster that is settled in one place, members of a region that is settled in one place, trees in each turn.
 SMALL, REGION, TURNS = 64, 1024, ((0, 1), (2, 5), (6, 15))
+#: Shingles of all members of what is settled in one place, and bytes of sets that a task gives out at once.
+LOAD, GIVEN = 1 << 21, 8 << 20
 #: Shingles that the intersections of a region are counted over at once.
 COLUMNS = 4096
 #: Links by percent of the union, as exact integers.
@@ -81,8 +83,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+        sets, held, at = [], 0, 0
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary())], ["id", "shingles"])  # noqa: B023 - used at once
+
+        for one in shingle_sets(batch.column(1)):
+            sets.append(one.tobytes())
+            held += one.nbytes
+            if held > GIVEN:
+                yield given()
+                at, sets, held = at + len(sets), [], 0
+        yield given()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -209,22 +221,33 @@ def _sorted_orders(classes: DataFrame) -> DataFrame:
     return found.filter(F.col("edge").isNull()).select("a", "b", "shared").union(ties.select("a", "b", F.lit(DEPTH).alias("shared")))
 
 
+def _fits(n: Column, load: Column) -> Column:
+    """Whether so many members with so many shingles can be settled in one place."""
+    return (n <= REGION) & (load <= LOAD)
+
+
+def _parts(n: Column, load: Column) -> Column:
+    return F.ceil(F.greatest(n / REGION, load / LOAD)).cast("int")
+
+
 def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links within clusters of more than SMALL members(id, cluster)."""
+    """Links within clusters of more than SMALL members(id, size), or of more than LOAD shingles."""
     if members.limit(1).count() == 0:
         return None
-    rings = _rings(classes.join(members, classes["rep"] == members["id"]), ["id"])
+    rings = _rings(classes.drop("size").join(members, classes["rep"] == members["id"]), ["id", "size"])
     depth = [F.xxhash64("tree", F.substring("ring", 1, d * 4)) for d in range(DEPTH, DEEPEST + 1)]
     rings = stored(rings.withColumns({f"p{i}": p for i, p in enumerate(depth)}), "rings")
-    region, size = rings, f"n{len(depth) - 1}"
+    region, last = rings, len(depth) - 1
     for i in range(len(depth)):
-        region = region.join(rings.groupBy(f"p{i}").agg(F.count("*").alias(f"n{i}")), f"p{i}")
-    cut = F.col(f"p{len(depth) - 1}")
-    part = F.when(F.col(size) > REGION, F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / REGION))).otherwise(F.lit(0))
-    for i in reversed(range(len(depth) - 1)):
-        cut = F.when(F.col(f"n{i}") <= REGION, F.col(f"p{i}")).otherwise(cut)
-    region = stored(region.select("id", "tree", "ring", F.xxhash64(cut, part).alias("region"), cut.alias("wide"), F.col("p0").alias("whole"), F.col("n0").alias("n")), "regions")
-    dense = region.filter(F.col("n") > REGION).select("id", "tree", "whole", "n")
+        region = region.join(rings.groupBy(f"p{i}").agg(F.count("*").alias(f"n{i}"), F.sum("size").alias(f"l{i}")), f"p{i}")
+    of = lambda i: (F.col(f"n{i}"), F.col(f"l{i}"))
+    cut = F.col(f"p{last}")
+    part = F.when(~_fits(*of(last)), F.pmod(F.xxhash64("id"), _parts(*of(last)))).otherwise(F.lit(0))
+    for i in reversed(range(last)):
+        cut = F.when(_fits(*of(i)), F.col(f"p{i}")).otherwise(cut)
+        part = F.when(_fits(*of(i)), F.lit(0)).otherwise(part)
+    region = stored(region.select("id", "tree", "ring", F.xxhash64(cut, part).alias("region"), cut.alias("wide"), F.col("p0").alias("whole"), F.when(~_fits(*of(0)), _parts(*of(0))).alias("parts")), "regions")
+    dense = region.filter(F.col("parts").isNotNull()).select("id", "tree", "whole", "parts")
     crowded = dense.limit(1).count() > 0
     links = None
     group = members.select("id", F.col("id").alias("component"))
@@ -253,12 +276,11 @@ def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _across(dense: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the regions dense(id, whole, n): every two parts of at most about REGION members, unless they are connected."""
+    """Links of the regions dense(id, whole, parts): every two of their parts, unless they are connected."""
     differ = F.min("component") < F.max("component")
     some = dense.join(group, "id")
     some = some.join(some.groupBy("whole").agg(differ.alias("open")).filter("open").select("whole"), "whole")
-    parts = F.ceil(F.col("n") / REGION).cast("int")
-    some = some.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    some = some.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = some.select("id", "component", F.xxhash64("whole", F.least("own", "other"), F.greatest("own", "other")).alias("region"))
     apart = dealt.join(dealt.groupBy("region").agg(differ.alias("open")).filter("open").select("region"), "region").select("id", "region")
     return apart.join(sets, "id").groupBy("region").applyInPandas(_settle(percent), "a long, b long")
@@ -275,11 +297,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
     real = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "classes")
+    classes = stored(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")), "classes")
     near = stored(_sorted_orders(classes), "near")
     clusters = components(near.filter(F.col("shared") >= DEPTH).select("a", "b"))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = stored(clusters.join(sizes, "component").select("id", F.col("component").alias("cluster"), "n"), "members")
+    sized = clusters.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size")), "id")
+    sizes = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("load"))
+    members = stored(sized.join(sizes, "component").select("id", "size", F.col("component").alias("cluster"), ((F.col("n") <= SMALL) & (F.col("load") <= LOAD)).alias("small")), "members")
     of = members.select("id", "cluster")
     sparse = near.filter(F.col("shared") < DEPTH).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sparse = sparse.join(of.withColumnsRenamed({"id": "a", "cluster": "ca"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "cluster": "cb"}), "b", "left")
@@ -287,9 +310,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = members.select("id").union(sparse.select("a")).union(sparse.select("b")).distinct()
     wanted = texts.join(some, texts["doc_id"] == some["id"], "left_semi")
     sets = stored(wanted.mapInArrow(_sets, "id long, shingles binary"), "sets")
-    small = members.filter(F.col("n") <= SMALL).join(sets, "id").select("cluster", "id", "shingles")
+    small = members.filter("small").join(sets, "id").select("cluster", "id", "shingles")
     links = small.groupBy("cluster").applyInPandas(_settle(percent), "a long, b long")
-    large = _large_clusters(members.filter(F.col("n") > SMALL).select("id"), classes, sets, percent)
+    large = _large_clusters(members.filter("NOT small").select("id", "size"), classes, sets, percent)
     links = links.union(_confirmed(sparse, sets, percent))
     links = stored(links if large is None else links.union(large), "links")
     found = components(links)

@@ -32,12 +32,12 @@ LOCAL = 40
 
 
 class Encoder:
-    """Ids of byte_bpe_50k.json. Its ranks in the other library give the same ids several times faster (tests compare them).
-    With special, its added tokens have the ids that the tokenizer gives them; else strings that look like them are ordinary text."""
+    """Ids of byte_bpe_50k.json, added tokens too. Its ranks in the other library give the same ids several times faster (tests
+    compare them)."""
 
     _made: dict[str, object] = {}
 
-    def __init__(self, name: str = "byte_bpe_50k", special: bool = False):
+    def __init__(self, name: str = "byte_bpe_50k"):
         if name not in self._made:
             import public_tokenizers
             import tiktoken
@@ -47,8 +47,7 @@ class Encoder:
             with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
                 added = {t["content"]: int(t["id"]) for t in json.load(f)["added_tokens"]}
             self._made[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        made = self._made[name]
-        self.ids = partial(made.encode, allowed_special="all", disallowed_special=()) if special else made.encode_ordinary
+        self.ids = partial(self._made[name].encode, allowed_special="all", disallowed_special=())
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.array([*self.ids(text or ""), END], "<u4")
@@ -119,7 +118,7 @@ def sum_at_most(pool: list[tuple[int, int, int]], n: int) -> bool:
 
 def _packed(tiers: tuple[int, ...], step: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(special=True), Packer(tiers, step, TaskContext.get().partitionId())
+        encode, packer = Encoder(), Packer(tiers, step, TaskContext.get().partitionId())
         docs: dict[int, tuple[object, np.ndarray]] = {}
         count = held = 0
 

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import stored, table
 
-#: Rows and queries in a block, bins of a histogram.
-ROWS, QUERIES, BINS = 4096, 1024, 256
+#: Rows and queries in a block, bins of a histogram, bytes of queries that go to the row blocks at once.
+ROWS, QUERIES, BINS, SENT = 4096, 1024, 256, 64 << 20
+#: Scores that a long cannot hold stop here.
+MOST = (1 << 63) - 2
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
@@ -57,13 +59,14 @@ def _pack(block: str, dim: int):
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; by double arithmetic where that is exact. What leaves 60 bits stops there."""
+    """Exact integer inner products: by doubles or 64-bit integers where no sum can leave these, else by integers of any length.
+    What a long cannot hold stops at its ends."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if most < 2**53:
         return (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    if most < 2**60:
+    if most < 2**62:
         return q @ c.T
-    return np.clip(q.astype(object) @ c.astype(object).T, -(1 << 60), 1 << 60).astype(np.int64)
+    return np.clip(q.astype(object) @ c.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
 def _blocks(row, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,10 +82,11 @@ def _count(dim: int, bins: int):
         for batch in batches:
             for row in batch.itertuples():
                 qids, _, s, lo, hi, need = _blocks(row, dim)
-                width = np.maximum(1, -((lo - hi) // bins))
+                span = hi.astype(np.uint64) - lo.astype(np.uint64)  # modulo 2**64: ranges may be longer than a signed long
+                width = np.maximum(np.uint64(1), span // np.uint64(bins) + (span % np.uint64(bins) > 0))
                 inside = (s >= lo[:, None]) & (s < hi[:, None])
                 q, at = np.nonzero(inside)
-                b = (s[q, at] - lo[q]) // width[q]
+                b = ((s[q, at].astype(np.uint64) - lo[q].astype(np.uint64)) // width[q]).astype(np.int64)
                 n = np.bincount(q * bins + b, minlength=len(qids) * bins).reshape(len(qids), bins)
                 above = n[:, ::-1].cumsum(1)[:, ::-1] - n
                 q, b = np.nonzero((n > 0) & (above < need[:, None]))
@@ -111,41 +115,51 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, scale: int = 64, bin
     """queries and rows(vec_id, embedding): each query's k highest scores among all rows but its own: query_id, rank, vec_id, score.
 
     Shorter vectors count as padded with zeros. Rows that repeat a vec_id count once, with the smallest vector. Fewer than k
-    rows: all of them. Empty tables: an empty result. Scores beyond 60 bits stop there, components at 62. Rows without vec_id
-    take no part. Other columns are ignored."""
+    rows: all of them. Empty tables: an empty result. Scores are exact; only those that a long cannot hold stop at its ends (MOST),
+    and components at 62 bits. Rows without vec_id take no part. Other columns are ignored.
+
+    Row blocks are written once and stay where they are read; the queries' blocks go to them, in batches of at most SENT bytes."""
     rows, queries = stored(quantised(rows, scale), "rows"), quantised(queries, scale)
     n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     n_q, dim_q = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     dim, row_blocks, query_blocks = max(dim, dim_q, 1), max(1, math.ceil(n / ROWS)), max(1, math.ceil(n_q / QUERIES))
     packed = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int"))
-    packed = stored(packed.groupBy("cb").applyInPandas(_pack("cb", dim), "cb int, ids binary, mat binary, norm double"), "blocks")
+    packed = packed.repartition(min(row_blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cb").groupBy("cb").applyInPandas(_pack("cb", dim), "cb int, ids binary, mat binary, norm double")
+    packed = stored(packed.withColumn("all", F.lit(0)), "blocks")
     longest = packed.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0]
     queries = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    top = (F.ceil(F.least(norm * longest, F.lit(float(1 << 60)))) + 1).cast("long")
-    state = stored(queries.select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), (-top).alias("lo"), (top + 1).alias("hi"), F.lit(k).cast("long").alias("need")), "queries")
-    widest = state.agg(F.coalesce(F.max(F.col("hi") - F.col("lo")), F.lit(0))).first()[0]
-    each_block = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    def pairs(state: DataFrame) -> DataFrame:
+    top = F.when(norm * longest * (1 + 1e-9) + 2 < float(1 << 62), F.ceil(norm * longest * (1 + 1e-9)).cast("long") + 1).otherwise(F.lit(MOST))
+    state = stored(queries.select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), (-top).cast("long").alias("lo"), (top + 1).cast("long").alias("hi"), F.lit(k).cast("long").alias("need")), "state")
+    wide = F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)")
+    widest = int(state.agg(F.coalesce(F.max(wide), F.lit(0))).first()[0])
+    at_once = max(1, SENT // (QUERIES * dim * 8))
+
+    def scored(state: DataFrame, run, schema: str) -> DataFrame:
+        """run over every block of rows with every block of queries, a batch of query blocks at a time."""
         q = state.groupBy("qb").applyInPandas(_pack("qb", dim), "qb int, ids binary, mat binary, norm double, lo binary, hi binary, need binary")
-        q = q.select("qb", F.col("ids").alias("qids"), F.col("mat").alias("qmat"), "lo", "hi", "need", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("cb"))
-        return each_block.join(q, ["qb", "cb"])
+        q = stored(q.select("qb", F.col("ids").alias("qids"), F.col("mat").alias("qmat"), "lo", "hi", "need", F.lit(0).alias("all")), "queries")
+        parts = [packed.join(F.broadcast(q.filter(F.expr(f"qb div {at_once}") == i)), "all").mapInPandas(run, schema) for i in range(math.ceil(query_blocks / at_once))]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
 
     while widest > 1:
-        counts = pairs(state).mapInPandas(_count(dim, bins), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = scored(state, _count(dim, bins), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         counts = counts.withColumn("above", F.sum("n").over(down) - F.col("n"))
         found = state.join(counts, state["vec_id"] == counts["query_id"]).filter((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need")))
-        width = F.greatest(F.lit(1), F.expr(f"(hi - lo + {bins - 1}) div {bins}"))
-        low = F.col("lo") + F.col("bin") * width
-        narrow = found.select("vec_id", low.alias("lo2"), F.least(F.col("hi"), low + width).alias("hi2"), (F.col("need") - F.col("above")).alias("need2"))
+        wide = "(cast(hi as decimal(20,0)) - cast(lo as decimal(20,0)))"
+        width = F.greatest(F.lit(1).cast("long"), F.expr(f"({wide} + {bins - 1}) div {bins}")).cast("decimal(20,0)")
+        low = (F.col("lo").cast("decimal(20,0)") + F.col("bin").cast("decimal(5,0)") * width).cast("decimal(20,0)")
+        narrow = found.select("vec_id", low.cast("long").alias("lo2"), F.least(F.col("hi").cast("decimal(20,0)"), (low + width).cast("decimal(20,0)")).cast("long").alias("hi2"), (F.col("need") - F.col("above")).alias("need2"))
         # a query that has fewer than k rows finds no bin: it keeps its low end and takes all
         one = F.col("lo2").isNull()
         state = state.join(narrow, "vec_id", "left").select("vec_id", "q", "qb", F.coalesce("lo2", "lo").alias("lo"), F.when(one, F.col("lo")).otherwise(F.col("hi2")).alias("hi"), F.when(one, F.lit(0)).otherwise(F.col("need2")).cast("long").alias("need"))
-        state = stored(state, "queries")
+        state = stored(state, "state")
         widest = -(-widest // bins)
-    best = pairs(state).mapInPandas(_take(dim, k), "query_id long, vec_id long, score long")
+    best = scored(state, _take(dim, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -257,3 +257,25 @@ def test_links_around_many_vectors(spark):
     want = int((np.triu(x @ x.T, 1) >= 0.9).sum())
     out = caps.near_vectors(df).collect()
     assert sum(r["n_links"] for r in out) / 2 >= 0.995 * want and want >= 750
+
+
+def test_regions_are_bounded_by_their_shingles(spark, documents, monkeypatch):
+    """Few members with many shingles are settled in parts, with the same links."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, seen = [], []
+    for g in range(3):
+        base = [word() for _ in range(600)]
+        for i in range(30):
+            text = list(base)
+            for _ in range(rng.randrange(12)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((1000 * g + i, " ".join(text)))
+    rows += [(5000 + i, " ".join(word() for _ in range(300))) for i in range(20)]
+    settle = minhash.all_links
+    for small, load in ((64, 1 << 21), (64, 3000), (4, 3000)):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        monkeypatch.setattr(minhash, "LOAD", load)
+        seen.append(sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(documents(rows), 85).collect()))
+    assert seen[0] == seen[1] == seen[2] and len({c for _, c in seen[0]}) < len(rows) - 60
+    assert settle([np.arange(5, dtype=np.uint64), np.arange(5, dtype=np.uint64)], 80)[0, 1]

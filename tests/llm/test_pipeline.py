@@ -125,10 +125,28 @@ def test_stages_against_brute_force(spark, documents, edge_rows, tmp_path):
     assert texts(after) == +want
 
     before, after = seen["packing"]
-    encode = packing.Encoder(special=True)
+    encode = packing.Encoder()
     want = Counter((r["doc_id"], len(encode(r["text"]))) for r in before.collect())
     got, tokens = Counter(), 0
     for r in after.collect():
         got[r["doc_id"], r["doc_tokens"]] += r["start"] == 0
         tokens += r["length"]
     assert +got == want and tokens == sum(n * c for (_, n), c in want.items())
+
+
+def test_columns_of_any_name_go_through_every_stage(spark, documents, tmp_path):
+    """Columns named like those that the operators add, and others, come out as they went in."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    common = "This very line stands in a good many of the documents here"
+    rows = [(i, "\n".join([" ".join(rng.choice(words) for _ in range(30)), common])) for i in range(40)] + [(100, None), (101, "")]
+    names = ["_score", "_kept", "_n_lines", "_n_dropped", "_copies", "_copy", "_size", "_source_size", "_target", "more0", "a.b", "row", "rank", "kept", "component_id"]
+    docs = documents(rows, lambda i: "ab"[i % 2]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and got, name
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in got for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0

@@ -39,7 +39,18 @@ def test_top_k_of_huge_components_and_missing_ids(spark):
     rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.filter("vec_id = 0"), df, 20).orderBy("rank").collect()]
-    assert got == [(1, 1, 1 << 60), (2, 3, 4096), (3, 2, -(1 << 60))]
+    assert got == [(1, 1, topk.MOST), (2, 3, 4096), (3, 2, -topk.MOST)]
+
+
+def test_top_k_scores_near_the_ends_of_a_long_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SENT", 1)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (rng.integers(-(1 << 20), 1 << 20, 2)) * (1 << 5 * (i % 2))]) for i in range(80)]
+    want = best(rows, range(0, 80, 20), 20)
+    assert 1 << 60 < max(abs(s) for *_, s in want) < topk.MOST
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(df.filter("vec_id % 20 = 0"), df, 20).collect()} == want
 
 
 def test_licenses(spark, documents, edge_rows):
