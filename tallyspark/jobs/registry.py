@@ -16,7 +16,7 @@ from tallyspark.jobs import oracles as o
 from tallyspark.jobs import whole
 from tallyspark.operators import classify, enrich, export, insights, ledger, merge, metrics, rollup
 from tallyspark.operators.overrides import Overrides
-from tallyspark.sources import events_ledger, shared, statements
+from tallyspark.sources import events_ledger, lineitem_ledger, shared, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -803,3 +803,52 @@ def all_warnings(spark, sf_dir):
 def headline_of_files(spark, sf_dir):
     """From text files to cash flow: read, corrected, folded, classified, merged."""
     return metrics.headline_metrics(owned(spark, sf_dir).merged, ["owner"])
+
+
+# The second ledger: the same jobs over other descriptions, accounts and seven years of days.
+_LINES = f"WITH {lineitem_ledger.SQL},\n{o.classification('led', 'account_id, seq, date, description, amount, direction')}"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of order lines, classified."""
+    return classify.classify(lineitem_ledger.ledger(spark, sf_dir))
+
+
+@registered(f"{_LINES} SELECT account_id, seq, date, description, amount, direction, kind, merchant, category, confidence, source, note, no_merchant_info FROM tx")
+def lines_classified(spark, sf_dir):
+    return lines(spark, sf_dir).drop("qris")
+
+
+@registered(f"{_LINES} {o.by_merchant(ACCOUNT)}")
+def lines_by_merchant(spark, sf_dir):
+    return metrics.by_merchant(lines(spark, sf_dir), ACCOUNT)
+
+
+@registered(f"{_LINES} {o.by_category(ACCOUNT)}")
+def lines_by_category(spark, sf_dir):
+    return metrics.by_category(lines(spark, sf_dir), ACCOUNT)
+
+
+@registered(ORACLES["by_month"].replace(LED, f"WITH {lineitem_ledger.SQL}"))
+def lines_by_month(spark, sf_dir):
+    return metrics.by_month(lineitem_ledger.ledger(spark, sf_dir), ACCOUNT)
+
+
+@registered(ORACLES["findings"].replace(o.BASE, _LINES))
+def lines_findings(spark, sf_dir):
+    return insights.build_insights(shared.written(lines(spark, sf_dir), "lines"), ACCOUNT)
+
+
+_YEARS_KEPT = "yk AS (SELECT * FROM years QUALIFY file_idx = min(file_idx) OVER (PARTITION BY account_id, date, direction, amount, upper(description)))"
+
+
+@registered(f"WITH {lineitem_ledger.SQL}, {_YEARS_KEPT} SELECT account_id, file_idx, seq, date, amount, direction FROM yk")
+def lines_dedup(spark, sf_dir):
+    """Eight files an account, of which neighbours share rows."""
+    rows = shared.written(lineitem_ledger.yearly(lineitem_ledger.ledger(spark, sf_dir)), "years")
+    return merge.remove_cross_file_duplicates(rows).select("account_id", "file_idx", "seq", "date", "amount", "direction")
+
+
+@registered(f"{_LINES}, {_REPS} SELECT account_id, dedup_key, seq FROM rp")
+def lines_representatives(spark, sf_dir):
+    return enrich.representatives(lines(spark, sf_dir), ACCOUNT, ["date", "seq"]).select("account_id", "dedup_key", "seq")

@@ -38,11 +38,11 @@ def rolled(tx: DataFrame) -> DataFrame:
 
 
 def rollup(tx: DataFrame, keys: list[str]) -> DataFrame:
-    """tx(keys, date, direction, category, merchant, kind, amount, balance, ...), classified, or a roll-up of it, in any parts, to
-    one row for each of keys and GROUPS. All sums are taken before the shuffle."""
+    """tx(keys, date, direction, category, merchant, kind, amount, ...), classified, or a roll-up of it, in any parts, to one row for
+    each of keys and GROUPS; with balances if tx has any. All sums are taken before the shuffle."""
     sums = [F.sum(c).cast(t).alias(c) for c, t in SUMS.items()]
     ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")]
-    balance = [F.max_by("balance", "balance_at").alias("balance"), F.max("balance_at").alias("balance_at")]
+    balance = [F.max_by("balance", "balance_at").alias("balance"), F.max("balance_at").alias("balance_at")] if "balance" in tx.columns else []
     return rolled(tx).groupBy(*keys, *GROUPS).agg(*sums, *ends, *balance)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dims, text, values
 from tallyspark.functions.frames import sealed
+from tallyspark.operators.segments import ROWS, Segments
 from tallyspark.sources import shared
 
 #: Delimiters, the first of equals wins; lines that are looked at for the delimiter, the headings, the columns.
@@ -45,7 +46,10 @@ def read_statement_text(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def head_text(lines: DataFrame, keys: list[str], characters: int) -> DataFrame:
-    """(keys, head): the lines of each file that hold its first characters, joined."""
+    """(keys, head): the lines of each file that hold its first characters, joined. A line counts one character at least, so that
+    of a long file its first segment is enough."""
+    cut = Segments(lines, keys, "line_no", max(ROWS, 2 * characters))
+    lines = lines if cut.cuts is None else cut.cut(lines).filter(F.col("_segment") == 0)
     before = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     some = lines.select(*keys, "line_no", "text", F.coalesce(before, F.lit(0)).alias("_before")).filter(F.col("_before") < characters)
     return some.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("head"))
@@ -269,7 +273,8 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
     """lines(keys, line_no, text, cells array of struct(str, x)) to records, as csv_records gives them, without skipped ones.
 
     A line that begins with a date and holds an amount is a record; one without date and amount, but with a word, continues the
-    description of the record before it."""
+    description of the record before it, in whatever segment of a long file that is."""
+    cut = Segments(lines, keys, "line_no")
     head = head_text(lines, keys, PERIOD_CHARACTERS)
     rows = lines.filter(F.trim("text") != "").filter(~text.is_statement_noise(F.col("text"), bank))
     rows = rows.join(detect_columns(lines, keys), keys, "left").join(head.select(*keys, values.find_period(F.col("head")).alias("period")), keys, "left")
@@ -282,7 +287,7 @@ def parse_statement_lines(lines: DataFrame, keys: list[str], bank: Column | None
     accepted = F.col("_found").isNotNull() & (size > 0) & F.coalesce(F.col("_r.amount") != 0, F.lit(False))
     continues = F.col("_found").isNull() & (size == 0) & F.col("text").rlike("[A-Za-z]{3}")
     rows = rows.withColumns({"_is": accepted, "_goes_on": continues}).filter(F.col("_is") | F.col("_goes_on"))
-    rows = rows.withColumn("_of", F.sum(F.col("_is").cast("int")).over(Window.partitionBy(*keys).orderBy("line_no"))).filter(F.col("_of") > 0)
+    rows = cut.last(cut.cut(rows), "_of", F.when(F.col("_is"), F.col("line_no"))).filter(F.col("_of").isNotNull())
     said = without_last(F.col("text"), F.transform("_cells", lambda c: c["raw"]))
     index, raw = F.col("_found.index"), F.col("_found.raw")
     said = F.concat(F.substr(said, F.lit(1), index), F.substr(said, index + F.length(raw) + 1))
