@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by rounds of joins."""
+"""Connected components of a table of links, by rounds of contraction."""
 
 from __future__ import annotations
 
@@ -11,17 +11,22 @@ from tallyspark.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) to (id, component): for every id in a link the smallest id that links reach from it.
 
-    Labels go to neighbours and then to the label's own label, so chains shorten by half each round; a hub's links meet in
-    joins that Spark can split and sums that it takes before the shuffle. Only one number a round reaches the driver."""
-    links = links.filter(F.col("a") != F.col("b"))
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
-    while True:
-        of = labels.withColumnsRenamed({"id": "b", "component": "c"})
-        near = both.join(of, "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        moved = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        jump = moved.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = stored(moved.join(jump, "component").select("id", "old", F.least("component", "further").alias("component")), "labels")
-        if moved.filter(F.col("old") != F.col("component")).limit(1).count() == 0:
-            return moved.select("id", "component")
-        labels = moved.select("id", "component")
+    In a round every id hooks on to its smallest neighbour, or stays, and then on to what that one hooked on to; links are
+    carried over to these, and those within one go. So the links, of which a hub's meet in joins that Spark can split, are fewer
+    from round to round. When none is left the rounds' hooks are followed one after the other: ids only ever move to smaller ones
+    of their component, whose smallest never moves. Only one number a round reaches the driver."""
+    onward = lambda hooks: hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
+    edges = stored(links.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds = []
+    while not rounds or edges.limit(1).count():
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("to")), "hooks")
+        hooks = stored(hooks.join(onward(hooks), "to").select("id", F.col("next").alias("to")), "hooks")
+        rounds.append(hooks)
+        left, right = hooks.select(F.col("id").alias("a"), F.col("to").alias("x")), hooks.select(F.col("id").alias("b"), F.col("to").alias("y"))
+        moved = edges.join(left, "a").join(right, "b").filter(F.col("x") != F.col("y"))
+        edges = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    out = rounds[0]
+    for hooks in rounds[1:]:
+        out = out.join(onward(hooks), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
+    return out.select("id", F.col("to").alias("component"))
