@@ -52,6 +52,6 @@ def merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def deviation(n: Column, total: Column, squares: Column) -> Column:
-    """The standard deviation of a whole, from its number, sum and sum of squares."""
+    """The standard deviation of a whole, from its number, sum and sum of squares; null of none."""
     n, total, squares = (c.cast("double") for c in (n, total, squares))
-    return F.sqrt(F.greatest(F.lit(0.0), n * squares - total * total)) / n
+    return F.try_divide(F.sqrt(F.greatest(F.lit(0.0), n * squares - total * total)), n)

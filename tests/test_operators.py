@@ -194,3 +194,24 @@ def test_results_do_not_depend_on_where_files_are_cut(spark, monkeypatch):
         out = ledger.transactions(df, ["file"]).collect()
         assert {(r["file"], r["seq"]): (r["amount"], r["fee"], r["balance"], r["direction"]) for r in out} == want, n
         assert {(r["file"], r["seq"]): r["id"] for r in out} == places and len(out) == len(want)
+
+
+def test_gaps_that_deviate_by_half_the_pace_are_told_as_sql_tells_them(spark):
+    import datetime
+
+    import duckdb
+
+    all_gaps = [[21, 18, 17, 3, 6, 23, 21, 13, 4, 14], [28, 12, 21, 18, 19, 6, 12, 4], [23, 8, 22, 3, 18, 12, 5, 20, 21], [1, 7, 7, 9], [7, 21], [5, 15], [9, 3], [0, 0, 30, 30, 30]]
+    given = []
+    for i, gaps in enumerate(all_gaps):
+        day = datetime.date(2020, 1, 1)
+        for at, gap in enumerate([0, *gaps]):
+            day += datetime.timedelta(gap)
+            given.append((i, at, day, "debit", "hiburan", "Netflix", "qris"))
+    df = spark.createDataFrame(given, "account_id long, seq long, date date, direction string, category string, merchant string, kind string").withColumn("amount", F.lit(50).cast("decimal(18,2)"))
+    got = {r["account_id"] for r in metrics.detect_recurring(df, ["account_id"]).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, place INTEGER, day DATE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [g[:3] for g in given])
+    sql = "SELECT i FROM (SELECT i, day - lag(day) OVER (PARTITION BY i ORDER BY day, place) AS gap FROM t) GROUP BY i HAVING avg(gap) BETWEEN 5 AND 45 AND stddev_pop(gap) <= avg(gap) * 0.5"
+    assert got == {i for (i,) in con.execute(sql).fetchall()} and 0 not in got and 3 in got
