@@ -23,15 +23,15 @@ class Statements(NamedTuple):
     warnings: DataFrame
 
 
-def read_and_merge(lines: DataFrame, keys: list[str], default_year: int = 2026) -> Statements:
+def read_and_merge(lines: DataFrame, keys: list[str], default_year: int = 2026, zeros: bool = False) -> Statements:
     """lines(keys, file_idx, file_name, line_no, text) of text files of any kind, as read_statement_text and the caller's own columns
-    give them: keys name an account, file_idx the order of its files.
+    give them: keys name an account, file_idx the order of its files. zeros: rows with an amount of zero are transactions too.
 
     Records, and rows after each step that several tables come from, are written once."""
     file_keys = [*keys, "file_idx"]
     lines = shared.written(lines.select(*file_keys, "file_name", "line_no", "text"), "lines")
     names = lines.groupBy(*file_keys).agg(F.min("file_name").alias("file_name"))
-    records = shared.written(statements.read_records(lines, file_keys, default_year), "records")
+    records = shared.written(statements.read_records(lines, file_keys, default_year, zeros), "records")
     kept = records.filter(~F.col("skipped")).drop("skipped")
     cut = Segments(kept, file_keys)
     corrected = ledger.reconcile_direction(kept, file_keys, segments=cut)
