@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,20 +20,42 @@ def among(w: Column, values: list[str]) -> Column:
     return F.array_contains(listed(values), w)
 
 
+def spaced_out(s: Column, kept: str) -> Column:
+    """Runs of characters that are not kept as one space, in one pass. White space is not kept; a single space, the usual case, is no
+    match, and a kept character is left by the first look."""
+    return F.regexp_replace(s, f"(?![{kept}])(?: [^{kept}]+|[^ {kept}][^{kept}]*)", " ")
+
+
 def normalize(s: Column) -> Column:
     """Upper case; all but letters, digits and . * / - as spaces; single spaces; trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(s), r"[^A-Z0-9\s.*/-]", " "), r"\s+", " "))
+    return F.trim(spaced_out(F.upper(s), "A-Z0-9.*/-"))
 
 
 def dedup_key(s: Column) -> Column:
     """What descriptions of one merchant share: runs of four digits or more are '#', other signs spaces."""
     long_numbers = F.regexp_replace(F.upper(s), r"\d{4,}", "#")
-    return F.trim(F.regexp_replace(F.regexp_replace(long_numbers, r"[^A-Z0-9#\s]", " "), r"\s+", " "))
+    return F.trim(spaced_out(long_numbers, "A-Z0-9#"))
+
+
+def begun(pattern: str) -> str:
+    """A pattern whose alternatives all begin with a word's beginning and a letter or digit, with that looked for first: a place is
+    left by its character, before any alternative is tried. Other patterns as they are."""
+    ways, depth, start = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            ways.append(pattern[start:i])
+            start = i + 1
+    ways.append(pattern[start:])
+    if not all(re.match(r"\\b[A-Z0-9](?![?*+{])", w) for w in ways):
+        return pattern
+    first = "".join(sorted({w[2] for w in ways}))
+    return rf"(?=[{first}])\b(?:{'|'.join(w[2:] for w in ways)})"
 
 
 def is_qris(n: Column) -> Column:
     """Whether normalised text n is a QRIS payment."""
-    return n.rlike("|".join(f"(?:{p})" for p in dims.QRIS_PATTERNS))
+    return n.rlike(begun("|".join(dims.QRIS_PATTERNS)))
 
 
 def or_null(s: Column) -> Column:
@@ -45,10 +69,11 @@ def qris_meta(n: Column) -> Column:
     number = or_null(F.regexp_extract(n, r"\b(\d{12,})\b", 1))
     acquirer = F.get(F.filter(literals(dims.ACQUIRERS), lambda a: F.contains(n, a)), 0)
 
-    def telling(w: Column) -> Column:
-        return (F.length(w) >= 2) & ~among(w, dims.NOISE_WORDS) & ~w.eqNullSafe(acquirer) & ~w.rlike(r"^\d+$") & ~(w.rlike(r"\d") & (F.length(w) > 5))
+    def telling(w: Column, acquirer: Column) -> Column:
+        return (F.length(w) >= 2) & ~w.rlike(r"^\d+$") & ~((F.length(w) > 5) & w.rlike(r"\d")) & ~w.eqNullSafe(acquirer) & ~among(w, dims.NOISE_WORDS)
 
-    hint = or_null(F.array_join(F.filter(F.split(n, " "), telling), " "))
+    # the acquirer is found once, not for each word
+    hint = or_null(F.array_join(let(acquirer, lambda a: F.filter(F.split(n, " "), lambda w: telling(w, a))), " "))
     return F.struct(
         F.concat(F.lit("ID"), nmid).alias("nmid"),
         or_null(F.regexp_extract(n, r"\b936\d{12,16}\b", 0)).alias("mpan"),
@@ -63,7 +88,7 @@ def detect_kind(n: Column, direction: Column) -> Column:
     """Kind of transaction of normalised text n: a QRIS payment, else the first rule that fits text and direction."""
     out = F.when(is_qris(n), F.lit("qris"))
     for kind, pattern, needed in dims.KIND_RULES:
-        fits = n.rlike(pattern) if needed is None else n.rlike(pattern) & (direction == needed)
+        fits = n.rlike(begun(pattern)) if needed is None else (direction == needed) & n.rlike(begun(pattern))
         out = out.when(fits, F.when(direction == "credit", "transfer_in").otherwise("transfer_out") if kind == "transfer" else F.lit(kind))
     return out.otherwise("other")
 
@@ -86,6 +111,24 @@ def tree_pattern(words: list[str]) -> str:
     return written(tree)
 
 
+def places_pattern(words: list[str], most: int = 4) -> str:
+    """tree_pattern, for places most of which begin none of the words: first letters are told apart by halves, down to a few, and
+    these by the letters that come second. A row of alternatives is tried one by one at each place."""
+    if not all(words):
+        return tree_pattern(words)
+    of = lambda letters: "[" + "".join(c if c.isalnum() or c == " " else "\\" + c for c in letters) + "]"
+
+    def told(letters: list[str]) -> str:
+        mine = [w for w in words if w[0] in letters]
+        if len(letters) <= most:
+            second = of(sorted({w[1] for w in mine})) if all(len(w) > 1 for w in mine) else ""
+            return f"(?={of(letters)}{second}){tree_pattern(mine)}"
+        half = len(letters) // 2
+        return f"(?:{'|'.join(f'(?={of(part)}){told(part)}' for part in (letters[:half], letters[half:]))})"
+
+    return told(sorted({w[0] for w in words}))
+
+
 def first_entry(n: Column, entries: list[list[str]]) -> Column:
     """The place, from 0, of the first of entries (lists of keywords) with a keyword anywhere in n, or null.
 
@@ -97,7 +140,7 @@ def first_entry(n: Column, entries: list[list[str]]) -> Column:
             first.setdefault(k, i)
     best = {k: min(first[k[:j]] for j in range(1, len(k) + 1) if k[:j] in first) for k in first}
     keys, places = listed([*best]), listed([str(i) for i in best.values()]).cast("array<int>")
-    found = F.array_distinct(F.regexp_extract_all(n, F.lit(f"(?=({tree_pattern([*best])}))"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(n, F.lit(f"(?=({places_pattern([*best])}))"), F.lit(1)))
     return F.array_min(F.transform(found, lambda k: F.get(places, F.array_position(keys, k).cast("int") - 1)))
 
 

@@ -45,3 +45,41 @@ def test_rows_of_files_that_share_no_day_are_not_shuffled(spark, tmp_path):
     whole = out._jdf.queryExecution().executedPlan().toString()
     one = whole[whole.index(":-") : whole.index("\n   +-")] if "\n   +-" in whole else ""
     assert "Exchange hashpartitioning" not in one and out.filter(F.col("account_id") == 0).count() == 60
+
+
+@pytest.mark.parametrize("name", ["lines_classified", "lines_by_category", "lines_by_merchant", "lines_representatives", "lines_findings"])
+def test_order_lines_are_summed_by_hash_and_descriptions_read_in_one_pass(spark, name):
+    """No order line is sorted to be summed or named, and normalising is one replacement."""
+    from tallyspark.sources import lineitem_ledger
+
+    text = lineitem_ledger.ledger(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort [" not in text
+    if name != "lines_findings":  # it writes the classified rows first
+        text = plan(registry.QUERIES[name](spark, SF))
+        assert text.count("regexp_replace") <= (3 if name == "lines_representatives" else 1)
+
+
+def test_patterns_that_look_first_find_what_plain_ones_find(spark):
+    """Kinds, dictionary words and normalised text are those of the plain patterns, on odd words and white space too."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import dims, text
+
+    draw = random.Random(3)
+    words = [k for _, _, keys in dims.MERCHANTS for k in keys] + ["QRIS", "QR PAY", "BI-FAST", "TOP UP", "VA 1", "THR", "X", "ADMIN FEE", "PLN-PRA", "936123456789012", "BAYAR QR"]
+    said = ["".join(draw.choice(words)[: draw.choice((2, 5, 20))] + draw.choice((" ", "  ", "\t", "-", "é", "#", "", "_", "1", "\u00a0")) for _ in range(draw.randrange(6))) for _ in range(3000)]
+    keys = [k for _, _, ks in dims.MERCHANTS for k in ks]
+    patterns = ["|".join(f"(?:{p})" for p in dims.QRIS_PATTERNS), *[p for _, p, _ in dims.KIND_RULES]]
+    begun = ["|".join(dims.QRIS_PATTERNS), *patterns[1:]]
+    assert all(text.begun(p).startswith("(?=[") for p in begun)
+    s = F.col("s")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.upper(s), r"[^A-Z0-9\s.*/-]", " "), r"\s+", " "))
+    found = lambda tree: F.regexp_extract_all(s, F.lit(f"(?=({tree}))"), F.lit(1))
+    rows = spark.createDataFrame([(x,) for x in said], "s string").select(
+        "s", (plain == text.normalize(s)).alias("same"), (found(text.tree_pattern(keys)) == found(text.places_pattern(keys))).alias("found"), F.array(*[s.rlike(p) == s.rlike(text.begun(b)) for p, b in zip(patterns, begun, strict=True)]).alias("kinds")
+    )
+    assert all(r.same and r.found and all(r.kinds) for r in rows.collect())
+    assert re.fullmatch(text.places_pattern(["AB", "A", "CDE"]), "AB") and text.begun("TUNAI") == "TUNAI" and text.begun(r"\bA?B") == r"\bA?B"
