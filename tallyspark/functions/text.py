@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -204,18 +205,36 @@ def is_statement_noise(line: Column, bank: Column | None = None) -> Column:
     return out
 
 
+def needed(pattern: str) -> list[str]:
+    """Letters, in lower case, that are in all a pattern matches: its runs of plain ones, the longest first. Patterns with groups,
+    alternatives or rarer escapes have none."""
+    plain = pattern.removeprefix("(?i)")
+    if re.search(r"[|(\[{]|\\(?![bBsSdDwW]|\W)", plain):
+        return []
+    return sorted((w.lower() for w in re.findall(r"[A-Za-z]+(?![?*])", re.sub(r"\\.", " ", plain))), key=len, reverse=True)
+
+
 def detect_bank(text: Column) -> Column:
-    """struct(bank, label, confidence) by signatures in the first 6000 characters; the first of the best, generic without any."""
-    head = F.substring(text, 1, 6000)
-    scores = []
-    for at, (bank, label, signatures) in enumerate(dims.BANKS):
-        score = F.lit(0)
-        for pattern, weight in signatures:
-            score = score + F.when(head.rlike(pattern), weight).otherwise(0)
-        scores.append(F.struct(score.alias("score"), F.lit(-at).alias("order"), F.lit(bank).alias("bank"), F.lit(label).alias("label")))
-    best = F.array_max(F.array(*scores))
-    none = best["score"] == 0
-    return F.struct(F.when(none, dims.GENERIC_BANK[0]).otherwise(best["bank"]).alias("bank"), F.when(none, dims.GENERIC_BANK[1]).otherwise(best["label"]).alias("label"), F.least(F.lit(1.0), best["score"] / 5.0).alias("confidence"))
+    """struct(bank, label, confidence) by signatures in the first 6000 characters; the first of the best, generic without any.
+
+    A signature is tried where the letters are that it cannot do without: most texts hold those of few, and to look for them is
+    much less than to try a pattern at each place."""
+
+    def scored(head: Column, lower: Column) -> Column:
+        scores = []
+        for at, (bank, label, signatures) in enumerate(dims.BANKS):
+            score = F.lit(0)
+            for pattern, weight in signatures:
+                fits = reduce(lambda rest, w: F.contains(lower, F.lit(w)) & rest, reversed(needed(pattern)), head.rlike(pattern))
+                score = score + F.when(fits, weight).otherwise(0)
+            scores.append(F.struct(score.alias("score"), F.lit(-at).alias("order"), F.lit(bank).alias("bank"), F.lit(label).alias("label")))
+        return F.array_max(F.array(*scores))
+
+    def told(best: Column) -> Column:
+        none = best["score"] == 0
+        return F.struct(F.when(none, dims.GENERIC_BANK[0]).otherwise(best["bank"]).alias("bank"), F.when(none, dims.GENERIC_BANK[1]).otherwise(best["label"]).alias("label"), F.least(F.lit(1.0), best["score"] / 5.0).alias("confidence"))
+
+    return let(F.substring(text, 1, 6000), lambda head: let(let(F.lower(head), lambda lower: scored(head, lower)), told))
 
 
 def match_field(header: Column) -> Column:

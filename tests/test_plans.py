@@ -83,3 +83,42 @@ def test_patterns_that_look_first_find_what_plain_ones_find(spark):
     )
     assert all(r.same and r.found and all(r.kinds) for r in rows.collect())
     assert re.fullmatch(text.places_pattern(["AB", "A", "CDE"]), "AB") and text.begun("TUNAI") == "TUNAI" and text.begun(r"\bA?B") == r"\bA?B"
+
+
+def test_files_are_told_by_one_reading_of_their_lines(spark):
+    """ingest_files makes each line and each balance once: events are read for the lines and for the headings, no more."""
+    text = plan(registry.QUERIES["ingest_files"](spark, SF))
+    reads = [line for line in text.splitlines() if "Relation [" in line]
+    windows = [line for line in text.splitlines() if line.lstrip(" :+-").startswith("Window [")]
+    assert len(reads) == 2 and len(windows) == 2 and "Join" not in text
+    # where lines are only counted, neither texts nor balances are made
+    counted = plan(registry.csv_lines(spark, SF, whole=False).groupBy("account_id", "file_idx").count())
+    assert "Window" not in counted and "format_number" not in counted
+
+
+def test_banks_are_those_of_plain_patterns(spark):
+    """A signature is tried only where its letters are, and no bank is lost by that."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import dims, text, values
+
+    draw = random.Random(4)
+    signatures = [(p, w) for _, _, s in dims.BANKS for p, w in s]
+    assert all(text.needed(p) for p, _ in signatures) and text.needed("neo|blu") == text.needed(r"\x41b") == [] and text.needed("abc?d*") == ["ab"]
+    parts = [re.sub(r"\(\?i\)|\\b|\?", "", p).replace("\\s", draw.choice(("", " ", "\t"))).replace("\\+", "+") for p, _ in signatures]
+    said = [" ".join(draw.choice((str, str.upper, str.title))(draw.choice(parts))[draw.choice((0, 0, 0, 1)) :] + draw.choice(("", "x", "\u0130", "\u212a", "\n")) for _ in range(draw.randrange(5))) for _ in range(1500)] + ["x" * 5995 + " BCA", "x" * 5995 + " flazz"]
+
+    def plainly(found):
+        found = iter(found)
+        score, at = max((sum(w for _, w in s if next(found)), -at) for at, (_, _, s) in enumerate(dims.BANKS))
+        return (*(dims.BANKS[-at][:2] if score else dims.GENERIC_BANK), min(1.0, score / 5))
+
+    s = F.col("s")
+    rows = spark.createDataFrame([(t,) for t in said], "s string").select(text.detect_bank(s).alias("b"), F.array(*[F.substring(s, 1, 6000).rlike(p) for p, _ in signatures]).alias("found")).collect()
+    assert [tuple(r["b"]) for r in rows] == [plainly(r["found"]) for r in rows] and len({r["b"]["bank"] for r in rows}) == 10
+    white = "".join(f"{w}{c}" for w in values.WHITE for c in ("a", " ", "\U0001f600"))
+    assert spark.range(1).select(values.spaced(F.lit(white))).first()[0] == white.translate({ord(w): " " for w in values.WHITE})
+    assert spark.range(1).select(text.detect_bank(F.lit(None).cast("string")).alias("b")).first()["b"]["bank"] == "generic"
