@@ -38,20 +38,25 @@ def dedup_key(s: Column) -> Column:
     return F.trim(spaced_out(long_numbers, "A-Z0-9#"))
 
 
-def begun(pattern: str) -> str:
-    """A pattern whose alternatives all begin with a word's beginning and a letter or digit, with that looked for first: a place is
-    left by its character, before any alternative is tried. Other patterns as they are."""
-    ways, depth, start = [], 0, 0
+def ways(pattern: str) -> list[str]:
+    """The alternatives of a pattern."""
+    out, depth, start = [], 0, 0
     for i, c in enumerate(pattern):
         depth += (c in "([") - (c in ")]")
         if c == "|" and not depth:
-            ways.append(pattern[start:i])
+            out.append(pattern[start:i])
             start = i + 1
-    ways.append(pattern[start:])
-    if not all(re.match(r"\\b[A-Z0-9](?![?*+{])", w) for w in ways):
+    return [*out, pattern[start:]]
+
+
+def begun(pattern: str) -> str:
+    """A pattern whose alternatives all begin with a word's beginning and a letter or digit, with that looked for first: a place is
+    left by its character, before any alternative is tried. Other patterns as they are."""
+    own = ways(pattern)
+    if not all(re.match(r"\\b[A-Z0-9](?![?*+{])", w) for w in own):
         return pattern
-    first = "".join(sorted({w[2] for w in ways}))
-    return rf"(?=[{first}])\b(?:{'|'.join(w[2:] for w in ways)})"
+    first = "".join(sorted({w[2] for w in own}))
+    return rf"(?=[{first}])\b(?:{'|'.join(w[2:] for w in own)})"
 
 
 def is_qris(n: Column) -> Column:
@@ -194,10 +199,22 @@ def merge_description(desc: Column, remark: Column) -> Column:
     return F.when(r == "", d).when(d == "", r).when((rl == "") | F.contains(dl, rl), d).otherwise(F.concat(r, F.lit(" · "), d))
 
 
+def at_words(patterns: list[str]) -> list[str]:
+    """Patterns of which any may fit, those whose alternatives all begin at the beginning or end of a word as one: of most places one look is enough."""
+    words, others = [], []
+    for p in patterns:
+        own = ways(p.removeprefix("(?i)"))
+        if p.startswith("(?i)") and all(w.startswith(r"\b") for w in own):
+            words += own
+        else:
+            others.append(p)
+    return [*others, *([rf"(?i)\b(?:{'|'.join(w[2:] for w in words)})"] if words else [])]
+
+
 def is_statement_noise(line: Column, bank: Column | None = None) -> Column:
     """Whether a line of a statement is no transaction: page numbers, totals, headings, disclaimers."""
-    out = line.rlike(dims.NOISE_LINES[0])
-    for p in dims.NOISE_LINES[1:]:
+    out = F.lit(False)
+    for p in at_words(dims.NOISE_LINES):
         out = out | line.rlike(p)
     if bank is not None:
         for name, p in dims.BANK_NOISE_LINES.items():
