@@ -189,14 +189,18 @@ def extract_counterparty(n: Column) -> Column:
 
 
 def letters(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(s), "[^A-Z ]", " "), r"\s+", " "))
+    return F.trim(spaced_out(F.upper(s), "A-Z"))
 
 
 def merge_description(desc: Column, remark: Column) -> Column:
     """remark · desc, unless the remark's letters add nothing to desc."""
-    d, r = F.trim(F.coalesce(desc, F.lit(""))), F.trim(F.coalesce(remark, F.lit("")))
-    dl, rl = letters(d), letters(r)
-    return F.when(r == "", d).when(d == "", r).when((rl == "") | F.contains(dl, rl), d).otherwise(F.concat(r, F.lit(" · "), d))
+
+    def merged(p: Column) -> Column:
+        d, r = p["d"], p["r"]
+        told = let(F.struct(letters(d).alias("d"), letters(r).alias("r")), lambda own: (own["r"] == "") | F.contains(own["d"], own["r"]))
+        return F.when(r == "", d).when(d == "", r).when(told, d).otherwise(F.concat(r, F.lit(" · "), d))
+
+    return let(F.struct(F.trim(F.coalesce(desc, F.lit(""))).alias("d"), F.trim(F.coalesce(remark, F.lit(""))).alias("r")), merged)
 
 
 def at_words(patterns: list[str]) -> list[str]:

@@ -31,14 +31,15 @@ def read_and_merge(lines: DataFrame, keys: list[str], default_year: int = 2026,
     file_keys = [*keys, "file_idx"]
     lines = shared.written(lines.select(*file_keys, "file_name", "line_no", "text"), "lines")
     names = lines.groupBy(*file_keys).agg(F.min("file_name").alias("file_name"))
-    records = shared.written(statements.read_records(lines, file_keys, default_year, zeros), "records")
+    told = shared.written(statements.statement_files(lines, file_keys, delimiters=True), "files")
+    records = shared.written(statements.read_records(lines, file_keys, default_year, zeros, told), "records")
     kept = records.filter(~F.col("skipped")).drop("skipped")
     cut = Segments(kept, file_keys)
     corrected = ledger.reconcile_direction(kept, file_keys, segments=cut)
     folded = shared.written(ledger.attach_fees(corrected, file_keys, segments=cut), "folded")
     rows = classify.to_transactions(folded, file_keys, segments=cut).join(names, file_keys)
     rows = shared.written(rows.withColumn("id", F.concat(F.lit("f"), F.col("file_idx").cast("string"), F.lit("-"), F.col("id"))), "transactions")
-    banks = shared.written(statements.with_periods(statements.statement_files(lines, file_keys), records, file_keys).join(names, file_keys), "banks")
+    banks = shared.written(statements.with_periods(told.drop("delimiter"), records, file_keys).join(names, file_keys), "banks")
     found = merge.statement_files(rows, keys).select(*file_keys, F.col("n_rows").alias("_rows"), "needs_ai")
     files = banks.join(found, file_keys, "left").withColumns({"n_rows": F.coalesce("_rows", F.lit(0)), "needs_ai": F.coalesce("needs_ai", F.lit(0))}).drop("_rows")
     merged = merge.remove_cross_file_duplicates(rows, tuple(keys))
