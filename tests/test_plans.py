@@ -122,3 +122,9 @@ def test_banks_are_those_of_plain_patterns(spark):
     white = "".join(f"{w}{c}" for w in values.WHITE for c in ("a", " ", "\U0001f600"))
     assert spark.range(1).select(values.spaced(F.lit(white))).first()[0] == white.translate({ord(w): " " for w in values.WHITE})
     assert spark.range(1).select(text.detect_bank(F.lit(None).cast("string")).alias("b")).first()["b"]["bank"] == "generic"
+
+
+def test_positioned_lines_are_made_once(spark):
+    """ingest_lines writes its lines before several steps read them: events and balances are in none of these."""
+    text = plan(registry.QUERIES["ingest_lines"](spark, SF))
+    assert "user_id" not in text and "format_number" not in text
